@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "mixing")
+MODULES = ("line_dedup", "mixing", "packing", "token_counts", "secrets")
 
 
 def _gather(name: str) -> dict:
