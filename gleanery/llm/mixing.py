@@ -82,14 +82,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     n = sized.count()
     slices = max(1, -(-n // rows_per_range))
     vt = F.least(F.lit(slices - 1), F.floor(F.col("virtual_finish") * slices))
-    copies = copies.withColumn("__vt", F.coalesce(vt, F.lit(-1)))
-    # rows outside the queue need no order: spread them
-    spread = F.when(F.col("__vt") < 0, F.col("__rng")).otherwise(F.lit(-1))
-    copies = copies.withColumn("__sp", spread)
+    # rows outside the queue need no order: they are spread over slices of their own
+    copies = copies.withColumn("__vt", F.coalesce(vt, -1 - F.pmod(F.xxhash64("__k"), F.lit(slices))))
     vsum = copies.where("__vt >= 0").groupBy("__vt").agg(F.sum("__q").alias("__sum"))
     vsum = vsum.select(F.col("__vt").alias("__vt2"), F.coalesce(F.sum("__sum").over(Window.orderBy("__vt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__vahead"))
     copies = copies.join(vsum, F.col("__vt") == F.col("__vt2"), "left")
-    order = Window.partitionBy("__vt", "__sp").orderBy("virtual_finish", F.col("__s").asc_nulls_last(), "pass", "__rng", "__rn").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__vt").orderBy("virtual_finish", F.col("__s").asc_nulls_last(), "pass", "__rng", "__rn").rowsBetween(Window.unboundedPreceding, -1)
     copies = copies.withColumn("before", F.coalesce(F.col("__vahead"), F.lit(0)) + F.coalesce(F.sum("__q").over(order), F.lit(0)))
     total = sized.agg(F.sum("size").alias("__total"))
     total = total.select(F.floor(F.coalesce(F.col("__total"), F.lit(0)) * F.lit(float(budget))).alias("__total"))
