@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "mixing", "packing", "warc", "ann", "token_counts", "secrets")
+MODULES = ("line_dedup", "mixing", "packing", "warc", "ann", "quality", "token_counts", "secrets")
 
 
 def _gather(name: str) -> dict:
