@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "jaccard", "mixing", "packing", "warc", "ann", "quality", "token_counts", "secrets")
+MODULES = ("line_dedup", "suffix_dedup", "jaccard", "mixing", "packing", "warc", "ann", "quality", "token_counts", "secrets")
 
 
 def _gather(name: str) -> dict:
