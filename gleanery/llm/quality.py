@@ -37,6 +37,8 @@ BIN = 0.002
 BELOW, ABOVE = 6.0, 6.0
 #: Names the model of all languages; no language is called so.
 POOLED = "*"
+#: Bytes of text that are worked on at once: the arrays of a block take about 80 times as much.
+WORK_BYTES = 1 << 20
 START = 2  # stands before a text's first character
 
 _SPACE = np.zeros(256, bool)
@@ -120,7 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = held.pop(lang)
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
 
-    for block in blocks(batches):
+    for block in blocks(batches, 1, WORK_BYTES):
         langs = block.column(0).to_pylist()
         texts = block.column(1).to_pylist()
         for lang in dict.fromkeys(langs):
@@ -240,7 +242,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, 2, WORK_BYTES):
             texts = pc.fill_null(block.column(2), "")
             stats = base_stats(texts)
             loss = shared.value.mean_loss(block.column(1).to_pylist(), texts.to_pylist())
