@@ -11,9 +11,12 @@ Inner product becomes distance by one more coordinate: a vector x gets
 sqrt(m^2 - |x|^2), m the largest norm, and a query 0.
 
 Scale. Equal vectors are one index entry that keeps its ``k + 1`` smallest ids,
-cut down on the map side, so copies cost nothing and lose nothing. A leaf is
-dealt out in chunks of bounded size; queries stream past one chunk at a time.
-The tree is bounded by its sample (``SAMPLE`` vectors), whatever the corpus.
+cut down on the map side, so copies cost nothing and lose nothing. Leaves that
+follow each other in the tree share a bucket of about ``BUCKET`` entries (a
+larger leaf is dealt over several); a query goes to each bucket that it visits
+once, with the leaves to look at there, and queries stream past the bucket. The
+tree has about as many leaves as the square root of the entries and is bounded
+by its sample (``SAMPLE`` vectors), whatever the corpus.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ from pyspark.sql import types as T
 from ..session import cut
 
 #: The bounded, documented sample that the tree is fitted on, and that of calibration queries.
-SAMPLE, CALIBRATION = 16384, 200
-BRANCHES, LEAF, CHUNK = 16, 64, 4096
+SAMPLE, CALIBRATION = 65536, 200
+BRANCHES, LEAST_LEAF, BUCKET = 16, 32, 4096
+BATCH = 128  # queries of a bucket that are answered together
 
 
 @dataclass
@@ -91,7 +95,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return centres
 
 
-def build_tree(x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, seed: int = 7) -> Tree:
+def build_tree(x: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int = 7) -> Tree:
     rng = np.random.default_rng(seed)
     width = x.shape[1] if x.ndim == 2 else 1
     centres, first, count, leaves = [np.zeros(width)], [0], [0], [-1]
@@ -111,9 +115,13 @@ def build_tree(x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, seed:
             first.append(0)
             count.append(0)
             leaves.append(-1)
-    number = 0
-    for n in range(len(centres)):
-        if not count[n]:
+    # numbered depth first: leaves near in the tree have near numbers
+    number, stack = 0, [0]
+    while stack:
+        n = stack.pop()
+        if count[n]:
+            stack += range(first[n] + count[n] - 1, first[n] - 1, -1)
+        else:
             leaves[n], number = number, number + 1
     return Tree(np.array(centres), np.array(first), np.array(count), np.array(leaves))
 
@@ -166,52 +174,62 @@ def _calibrate(entries: DataFrame, queries: DataFrame, tree: Tree, most: float,
     return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) if len(depth) else 1
 
 
+def _top(q: np.ndarray, wanted: list[np.ndarray], x: np.ndarray, leaf: np.ndarray, ids: list, k: int) -> Iterator[list[tuple[float, int]]]:
+    """The nearest ``k + 1`` of a bucket's ids for each query, among the leaves that it wants."""
+    some = np.unique(np.concatenate(wanted))
+    columns = np.flatnonzero(np.isin(leaf, some))
+    place = np.searchsorted(some, leaf[columns])
+    use = np.zeros((len(q), len(some)), bool)
+    for row, w in zip(use, wanted, strict=True):
+        row[np.searchsorted(some, w)] = True
+    near = np.where(use[:, place], q @ x[columns].T, -np.inf)
+    most = min(k + 1, len(columns))
+    edges = np.partition(near, len(columns) - most, axis=1)[:, len(columns) - most]
+    for row, edge, mine in zip(near, edges, q, strict=True):
+        # a little below the edge, so that rounding can't lose a place; then scored one by one
+        take = columns[(row >= edge - 1e-9 * max(1.0, abs(edge))) & (row > -np.inf)]
+        scores = np.einsum("ij,j->i", x[take], mine)
+        yield sorted((-s, i) for s, j in zip(scores.tolist(), take, strict=True) for i in ids[j])[: k + 1]
+
+
 def _search(k: int) -> Callable:
-    """Rows sorted by (leaf, chunk), a chunk's vectors before its queries: the nearest entries of each query in it."""
+    """Rows sorted by bucket, its entries before its queries: the nearest entries of each query in it."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, vectors, ids = None, [], []
-        x = None
+        at, held, x = None, [], None
         for b in batches:
-            where = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)], axis=1)
+            where = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
             edges = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
             for a, z in zip(edges[:-1], edges[1:], strict=True):
                 if a == z:
                     continue
-                leaf, chunk, kind = where[a].tolist()
+                bucket, kind = where[a].tolist()
                 part = b.slice(a, z - a)
-                if (leaf, chunk) != at:
-                    at, vectors, ids, x = (leaf, chunk), [], [], None
+                if bucket != at:
+                    at, held, x = bucket, [], None
                 if kind == 0:
-                    vectors.append(_matrix(part.column(4)))
-                    ids += part.column(5).to_pylist()
+                    held.append(part)
                     continue
-                if not vectors:
+                if not held:
                     continue
                 if x is None:
-                    x = np.vstack(vectors)
-                    low = np.array([i[0] for i in ids])
-                for o in range(0, part.num_rows, 512):
-                    some = part.slice(o, 512)
-                    s = np.einsum("id,jd->ij", _matrix(some.column(4)), x)
-                    out: list[list] = [[], [], []]
-                    for name, row in zip(some.column(3).to_pylist(), s, strict=True):
-                        take = np.arange(len(x))
-                        if len(x) > k + 1:
-                            edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                            take = np.flatnonzero(row >= edge)
-                        take = take[np.lexsort((low[take], -row[take]))]
-                        # entries with equal scores share the places: all of their ids that may count
-                        got = sorted(((-row[j], i) for j in take for i in ids[j]))[: k + 1]
-                        out[0] += [name] * len(got)
-                        out[1] += [i for _, i in got]
-                        out[2] += [-s for s, _ in got]
+                    x = np.vstack([_matrix(h.column(3)) for h in held])
+                    ids = [i for h in held for i in h.column(4).to_pylist()]
+                    leaf = np.concatenate([h.column(5).to_numpy() for h in held])
+                for o in range(0, part.num_rows, BATCH):
+                    some = part.slice(o, BATCH)
+                    names, out = some.column(2).to_pylist(), ([], [], [])
+                    wanted = [np.array(w, np.int64) for w in some.column(4).to_pylist()]
+                    for name, got in zip(names, _top(_matrix(some.column(3)), wanted, x, leaf, ids, k), strict=True):
+                        out[0].extend([name] * len(got))
+                        out[1].extend(i for _, i in got)
+                        out[2].extend(-s for s, _ in got)
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["vh", "vec_id", "score"])
 
     return search
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.94) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of each query's ``k`` nearest rows but itself.
 
     Scores are inner products of the original vectors in double precision;
@@ -237,7 +255,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     most, n = entries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
 
     sample = entries.select("v").orderBy(F.xxhash64("vh"), "vh").limit(SAMPLE).toArrow().column("v").combine_chunks()
-    tree = build_tree(_lift(_matrix(sample), most))
+    tree = build_tree(_lift(_matrix(sample), most), leaf=max(LEAST_LEAF, int(len(sample) / max(n, 1) ** 0.5)))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,21 +267,46 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     asked = rows.where("is_q").groupBy("vh").agg(F.any_value("v").alias("v"))
     visits = _calibrate(entries, asked, tree, most, k, recall)
 
+    # consecutive leaves fill buckets; one row per leaf, at most SAMPLE of them
+    sizes = dict(entries.groupBy("leaf").count().collect())
+    start, buckets, room = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0
+    last = -1
+    for leaf in range(tree.leaves):
+        size = sizes.get(leaf, 0)
+        if last < 0 or room < size:
+            start[leaf], buckets[leaf] = last + 1, max(1, -(-size // BUCKET))
+            last += int(buckets[leaf])
+            room = BUCKET - size if size < BUCKET else 0
+        else:
+            start[leaf], room = last, room - size
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf, vh = b.column(3).to_numpy(), b.column(0).to_numpy()
+            bucket = start[leaf] + np.abs(vh % 1_000_003) % buckets[leaf]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.zeros(len(vh), np.int32)), b.column(0), b.column(1), b.column(2), b.column(3)], names=layout)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for o in range(0, b.num_rows, 1000):
-                part = b.slice(o, 1000)
-                bins = [tree.best_bins(q, visits) for q in _lift_query(_matrix(part.column(1)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bins, pa.list_(pa.int64()))], names=["vh", "v", "leaves"])
-
-    sizes = entries.groupBy("leaf").count()
-    chunks = sizes.select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    # one row per leaf, at most SAMPLE of them
-    held = entries.join(F.broadcast(chunks), "leaf").select("leaf", F.pmod(F.xxhash64("vh", F.lit(5)), F.col("chunks")).cast("long").alias("chunk"), F.lit(0).alias("kind"), "vh", "v", "ids")
-    visited = asked.mapInArrow(walk, "vh long, v array<double>, leaves array<long>").select("vh", "v", F.explode("leaves").alias("leaf"))
-    visiting = visited.join(F.broadcast(chunks), "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.lit(1).alias("kind"), "vh", "v", F.lit(None).cast("array<long>").alias("ids"))
-    parts = max(1, min(4096, -(-n // 2000)))
-    work = held.unionByName(visiting).repartition(parts, "leaf", "chunk").sortWithinPartitions("leaf", "chunk", "kind")
+            for o in range(0, b.num_rows, 200):
+                part = b.slice(o, 200)
+                rows: list[tuple] = []
+                for i, q in enumerate(_lift_query(_matrix(part.column(1)))):
+                    found = np.array(tree.best_bins(q, visits))
+                    home, found = int(found[0]), np.sort(found)
+                    found = found[[int(x) in sizes for x in found]]
+                    went = start[found]
+                    for bucket in np.unique(went):
+                        mine = found[went == bucket].tolist()
+                        rows += [(int(bucket) + more, i, mine, home) for more in range(int(buckets[mine[0]]))]
+                at = pa.array([r[1] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], names=layout)
+
+    layout = ["bucket", "kind", "vh", "v", "numbers", "leaf"]
+    shape = "bucket long, kind int, vh long, v array<double>, numbers array<long>, leaf long"
+    work = entries.mapInArrow(place, shape).unionByName(asked.mapInArrow(walk, shape))
+    # queries of one home leaf follow each other and want nearly the same leaves
+    work = work.repartition(max(1, min(last + 1, 4096)), "bucket").sortWithinPartitions("bucket", "kind", "leaf")
     found = work.mapInArrow(_search(k), "vh long, vec_id long, score double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("vh").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     answers = best.groupBy("vh").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("hits"))
