@@ -1,13 +1,63 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, packing."""
+"""Corpus pipeline: quality rules, line dedup, near copies, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one
+before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import functions as F
+
+from gleanery.llm.jaccard import drop_near_copies
+from gleanery.llm.line_dedup import line_dedup
+from gleanery.llm.mixing import mix_documents
+from gleanery.llm.packing import pack_digest
+from gleanery.llm.quality import keep_good
+from gleanery.session import shared_dir
+
+
+def quality_rules(spark, docs, sf_dir):
+    return keep_good(docs)
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    out = line_dedup(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_copies(spark, docs, sf_dir):
+    return drop_near_copies(docs, words=5, num=80, den=100)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mix_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack_sequences(spark, docs, sf_dir):
+    return pack_digest(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The language model, the tokenizer and the packing heuristic can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over documents; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{root}/{i}")
+            docs = spark.read.parquet(f"{root}/{i}")
     return docs

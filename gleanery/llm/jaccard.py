@@ -494,6 +494,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(null_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null_id(F.coalesce("least", "id")).alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component; rows with a null id stay.
+
+    Only ids that go are joined with the texts. Defined cases are those of
+    ``near_components``; rows that share the smallest id stay together.
+    """
+    found = near_components(docs, id_col, text_col, **options)
+    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct())
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def _run_tasks(tasks: DataFrame, num: int, den: int) -> DataFrame:
     n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tasks.repartition(n, "root", "task").sortWithinPartitions("root", "task", "side").mapInArrow(_join_blocks(num, den), "a long, b long")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import WORD
 
+KEY = "__row_key"
+
 
 def _targets(stats: DataFrame, weights: Sequence[float], max_repeats: int) -> DataFrame:
     """One row per source: its weight, and its target by water-filling.
@@ -42,7 +44,7 @@ def _targets(stats: DataFrame, weights: Sequence[float], max_repeats: int) -> Da
     return s.withColumn("target", F.when(F.col("__capped"), F.col("__cap").cast("double")).otherwise(level.getField("v") * F.col("__w"))).select("__s", "source_size", "n_docs", "target")
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, budget: float = 1.0, seed: str = "mix", rows_per_range: int = 1024) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, budget: float = 1.0, seed: str = "mix", rows_per_range: int = 1024, carry: str | None = None) -> DataFrame:
     """One row per copy of a document that stands in the queue, and per document that has none.
 
     Columns: the id, ``size``, ``source_size``, ``target``, ``__src``, ``pass``
@@ -50,6 +52,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     copy that the mix takes, from its start), ``before`` (words that the mix
     emits before it), ``__rng`` and ``__rn`` (with ``__src``, they name the row).
 
+    ``carry`` names a column of ``docs`` to pass on.
     ``budget`` is a share of all words; sources' targets sum to all words.
 
     Defined cases. Null or empty text: size 0, never queued. Null ids and null
@@ -57,7 +60,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     repeat an id are documents of their own. No rows: no rows.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), key.alias("__k"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), *([carry] if carry else []), key.alias("__k"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = cut(sized)
     stats = sized.groupBy("__s").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     target = _targets(stats, weights, max_repeats)
@@ -93,7 +96,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     total = total.select(F.floor(F.coalesce(F.col("__total"), F.lit(0)) * F.lit(float(budget))).alias("__total"))
     copies = copies.join(F.broadcast(total))  # one row
     take = F.greatest(F.lit(0), F.least(F.col("__q"), F.col("__total") - F.col("before"))).cast("long")
-    return copies.select(F.col("__id").alias(id_col), F.col("__s").alias("__src"), "size", "source_size", "target", "pass", "virtual_finish", take.alias("take"), "before", "__rng", "__rn")
+    return copies.select(F.col("__id").alias(id_col), F.col("__s").alias("__src"), "size", "source_size", "target", "pass", "virtual_finish", take.alias("take"), "before", "__rng", "__rn", *([carry] if carry else []))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -104,6 +107,30 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return out.select(id_col, F.col("size").cast("long"), F.col("source_size").cast("long"), "target", F.col("taken").cast("long"))
 
 
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each copy that is taken, in the order of virtual finish times within a partition.
+
+    A copy that the target or the budget cuts keeps its first words. Every
+    partition holds a random share of the documents, so each is a mix of its
+    own. Rows that are equal in id, source and text share their copies.
+    """
+    columns, key = docs.columns, F.xxhash64(F.col(f"`{source_col}`"), F.col(f"`{text_col}`"))
+    mine = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("__i"), key.alias("__h"))
+    plan = mix_plan(docs.withColumn(KEY, key), id_col=id_col, text_col=text_col, source_col=source_col, carry=KEY, **options)
+    taken = plan.where("take > 0").select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__i2"), F.col(KEY).alias("__h2"), "__rng", "__rn", F.struct("virtual_finish", "take", "size").alias("__copy"))
+    taken = taken.groupBy("__i2", "__h2").agg(F.array_sort(F.collect_list("__copy")).alias("__copies"))
+    equal = Window.partitionBy("__i", "__h").orderBy("__i")
+    rows = mine.join(taken, (F.col("__i") == F.col("__i2")) & (F.col("__h") == F.col("__h2"))).withColumns({"__at": F.row_number().over(equal) - 1, "__n": F.count("*").over(Window.partitionBy("__i", "__h"))})
+    rows = rows.select("__row", F.explode(F.filter("__copies", lambda c, i: i % F.col("__n") == F.col("__at"))).alias("__copy"))
+    text = F.col("__row").getField(text_col)
+    # a word and the white space behind it; white space in front makes one entry more
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut_text = F.array_join(F.slice(parts, F.lit(1), F.col("__copy.take").cast("int") + F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)), "")
+    whole = F.when(F.col("__copy.take") < F.col("__copy.size"), cut_text).otherwise(text)
+    out = rows.withColumn("__v", F.col("__copy.virtual_finish")).select("__v", *[(whole if c == text_col else F.col("__row").getField(c)).alias(c) for c in columns])
+    return out.sortWithinPartitions("__v").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def op7_mixing(spark, sf_dir):
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
