@@ -17,30 +17,31 @@ _REKEY = 0x27D4EB2F
 MOST_ROUNDS = 60
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Columns a, b, and m: the smallest of a and its b."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One half round over rows (a, b): each a's smallest neighbour m, itself counted, takes over.
+
+    Large: a's larger neighbours and a itself link to m; small: all its (smaller) neighbours and a do.
+    """
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     # another key expression than the aggregate's: both sides get exchanges that can be split
     least = least.select(F.col("a").bitwiseXOR(F.lit(_REKEY)).alias("k"), F.least("a", "m").alias("m"))
-    return edges.withColumn("k", F.col("a").bitwiseXOR(F.lit(_REKEY))).join(least, "k").drop("k")
+    rows = edges.withColumn("k", F.col("a").bitwiseXOR(F.lit(_REKEY))).join(least, "k")
+    other = F.when((F.col("b") > F.col("a")) if large else (F.col("b") != F.col("m")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    own = F.when(F.col("m") < F.col("a"), F.struct("a", F.col("m").alias("b")))
+    return rows.select(F.explode(F.array(other, own)).alias("e")).where("e IS NOT NULL").select("e.a", "e.b").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the component's smallest node, as a number) of each node that an edge names."""
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    e = cut(e)
+    e = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     last = None
     for _ in range(MOST_ROUNDS):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(_with_least(both).where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        star = _with_least(large)
-        small = star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(star.select("a", F.col("m").alias("b"))).distinct()
-        e = cut(small)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == last:
+        if now == last or not now[0]:
             break
         last = now
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        e = cut(_star(cut(_star(both, large=True)), large=False))
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
