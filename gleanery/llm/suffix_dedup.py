@@ -275,10 +275,12 @@ class LoserTree:
 
 
 def _pack(lcp: np.ndarray, rest: bytes, size: np.ndarray, a: np.ndarray, left: bytes) -> bytes:
-    return b"".join([np.array([len(a), len(rest)], "<u4").tobytes(), lcp.tobytes(), size.astype(np.uint8).tobytes(), a.tobytes(), rest, left])
+    data = b"".join([np.array([len(a), len(rest)], "<u4").tobytes(), lcp.tobytes(), size.astype(np.uint8).tobytes(), a.tobytes(), rest, left])
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes]:
+    data = pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
     n, r = (int(x) for x in np.frombuffer(data, "<u4", 2))
     at = 8
     lcp = np.frombuffer(data, np.uint8, n, at)
