@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 #: Fixed values of the lexical profile.
@@ -28,7 +29,7 @@ def fold_text(value: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", lowered) if not unicodedata.category(c).startswith("M"))
 
 
-@arrow_udf("string")
+@arrow_udf(T.StringType())
 def fold(values: pa.Array) -> pa.Array:
     """Folding of a column; ASCII batches never leave Arrow."""
     if pc.all(pc.string_is_ascii(values), min_count=0).as_py() is not False:
@@ -126,7 +127,7 @@ def snippet(terms: list[str], width: int = 160):
 
     wanted = sorted({fold_text(t) for t in terms if t}, key=len, reverse=True)
 
-    @arrow_udf("string")
+    @arrow_udf(T.StringType())
     def run(values: pa.Array) -> pa.Array:
         out = []
         for v in values.to_pylist():

@@ -70,12 +70,16 @@ def identifier_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(identifiers(F.col("content"))).alias("identifier"))
 
 
+def _named(name: str):
+    return lambda x: F.struct(F.lit(name).alias("field"), x.alias("raw"))
+
+
 def exact_rows(chunks: DataFrame) -> DataFrame:
     """(chunk_id, field, value) of all values that an exact query may equal."""
     has = set(chunks.columns)
     nothing = F.array().cast("array<string>")
     lists = {"filename": F.array(filename(F.col("path"))), "stem": F.array(stem(F.col("path"))), "aliases": F.col("aliases") if "aliases" in has else nothing, "title": F.array("title") if "title" in has else nothing, "heading": F.array(F.array_join("heading_path", " ")) if "heading_path" in has else nothing}
-    pairs = F.flatten(F.array(*[F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("field"), x.alias("raw"))) for k, v in lists.items()]))
+    pairs = F.flatten(F.array(*[F.transform(v, _named(k)) for k, v in lists.items()]))
     named = chunks.select("chunk_id", F.explode(pairs).alias("e")).select("chunk_id", "e.field", normalized(F.col("e.raw")).alias("value")).where("value IS NOT NULL")
     return named.unionByName(identifier_rows(chunks).select("chunk_id", F.lit("identifier").alias("field"), F.col("identifier").alias("value")))
 

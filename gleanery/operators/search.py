@@ -73,6 +73,10 @@ def authorised(frame: DataFrame, resources: list[tuple[str, str | None]] | None)
     return frame.where(allowed)
 
 
+def _back(places: int):
+    return lambda x: x - places
+
+
 class Index:
     """The tables that a query reads, for one set of resources."""
 
@@ -170,7 +174,7 @@ class Index:
         at = lambda w: F.element_at("m", F.lit(w))
         starts = at(words[0])["positions"]
         for i, w in enumerate(words[1:], 1):
-            starts = F.array_intersect(starts, F.transform(at(w)["positions"], lambda x, i=i: x - i))
+            starts = F.array_intersect(starts, F.transform(at(w)["positions"], _back(i)))
         rows = rows.where(F.size("m") == len(set(words))).withColumn("tf", F.size(starts)).where("tf > 0")
         rows = rows.join(self.lengths, ["field", "chunk_id"]).join(F.broadcast(self.stats), "field").join(F.broadcast(self.scope))
         idf = sum((F.log(1 + (F.col("n") - at(w)["df"] + 0.5) / (at(w)["df"] + 0.5)) for w in words), F.lit(0.0))

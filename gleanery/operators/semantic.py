@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 RRF_K, LEG = 60, 100
@@ -61,15 +62,15 @@ def knn_batch(vectors: DataFrame, queries: dict[int, list[float]], k: int = 10,
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, k: int = RRF_K, limit: int = 20, key: str = "chunk_id") -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists of (key, rank)."""
+    """Reciprocal-rank fusion of two ranked lists of (key, rank); rank 0 stands for a list that lacks the key."""
     a, b = lexical.select(key, F.col("rank").alias("r1")), semantic.select(key, F.col("rank").alias("r2"))
     part = lambda r: F.coalesce(1 / (k + F.col(r)), F.lit(0.0))
-    rows = a.join(b, key, "full_outer").select(key, "r1", "r2", F.round(part("r1") + part("r2"), 9).alias("score"))
+    rows = a.join(b, key, "full_outer").select(key, F.coalesce("r1", F.lit(0)).alias("r1"), F.coalesce("r2", F.lit(0)).alias("r2"), F.round(part("r1") + part("r2"), 9).alias("score"))
     rows = rows.orderBy(F.desc("score"), key).limit(limit)
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-@arrow_udf("array<float>")
+@arrow_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(texts: pa.Array) -> pa.Array:
     """A deterministic 32-dimensional stand-in for a model: signed hashed words, unit length."""
     import zlib

@@ -31,9 +31,9 @@ def classify(events: DataFrame, roots: DataFrame) -> DataFrame:
 def debounce_batches(events: DataFrame, quiet_ms: int = QUIET_MS, key: str = "vault_id", ts: str = "ts") -> DataFrame:
     """The batch rule over a finished table of events: a pause of ``quiet_ms`` ends a batch."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    ms = F.unix_micros(ts)
+    ms = F.unix_micros(F.col(ts).cast("timestamp"))
     start = F.coalesce((ms - F.lag(ms).over(w) >= quiet_ms * 1000).cast("int"), F.lit(1))
-    rows = events.withColumn("batch", F.sum(start).over(w))
+    rows = events.withColumn("starts", start).withColumn("batch", F.sum("starts").over(w))
     return rows.groupBy(key, "batch").agg(F.count("*").alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
@@ -75,7 +75,7 @@ def _pending(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
 
 def pending_batches(classified: DataFrame) -> DataFrame:
     """The streaming form: state per vault holds at most ``MOST_PATHS`` paths, then only the latch."""
-    rows = classified.select("vault_id", "path", F.unix_millis("ts").alias("ms"), "rescan")
+    rows = classified.select("vault_id", "path", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "rescan")
     return rows.groupBy("vault_id").applyInPandasWithState(_pending, BATCHES, STATE, "append", "ProcessingTimeTimeout")
 
 
