@@ -18,6 +18,8 @@ from .operators import search as S
 from .operators import semantic as V
 from .plans import planner as P
 from .session import table
+from .sources import prepare as PR
+from .sources.formats import format_of
 from .streaming import reconcile as ST
 from .tables import document_chunks, document_sources
 
@@ -499,3 +501,40 @@ def retrieval_metrics(spark, sf_dir):
 @_query("SELECT quantile_cont(value, 0.95) AS p95 FROM events")
 def latency_p95(spark, sf_dir):
     return E.latency_percentile(table(spark, sf_dir, "events"), "value")
+
+
+# Readers
+
+
+@_query("""SELECT doc_id, CASE lower(regexp_extract(p, '[^/]\\.([^./]+)$', 1)) WHEN 'md' THEN 'markdown' WHEN 'txt' THEN 'text' WHEN 'html' THEN 'html' WHEN 'xlsm' THEN 'excel' END AS format
+ FROM (SELECT doc_id, 'a/b' || doc_id || '.' || ['MD', 'txt', 'Html', 'xlsm', 'zip'][doc_id % 5 + 1] AS p FROM documents)""")
+def format_classification(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a/b"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("MD", "txt", "Html", "xlsm", "zip"))), (F.col("doc_id") % 5 + 1).cast("int"))).alias("p"))
+    return d.select("doc_id", format_of(F.col("p")).alias("format"))
+
+
+@_query()
+def html_sections(spark, sf_dir):
+    """Chunks of all web pages, with headings and roles."""
+    c = PR.chunks(PR.prepare(PR.pages_as_files(table(spark, sf_dir, "pages"))))
+    return c.select("path", "chunk_ix", "heading_path", "role", "content", "chunk_id")
+
+
+@_query()
+def markdown_sections(spark, sf_dir):
+    c = PR.chunks(PR.prepare(PR.conversations_as_files(table(spark, sf_dir, "conversations"))))
+    return c.select("path", "chunk_ix", "heading_path", "content", "chunk_id")
+
+
+@_query()
+def chunk_windows(spark, sf_dir):
+    """All documents cut at 4000 characters, with overlap."""
+    c = PR.chunks(PR.prepare(PR.documents_as_files(table(spark, sf_dir, "documents"))))
+    return c.select("path", "chunk_ix", F.length("content").alias("chars"), "chunk_id")
+
+
+@_query()
+def page_search(spark, sf_dir):
+    """A query over the sections of web pages, hits as a reader sees them."""
+    c = PR.chunks(PR.prepare(PR.pages_as_files(table(spark, sf_dir, "pages"))))
+    return S.Index(c).cached().hits("of", limit=20).select("rank", "tier", "score", "path", "chunk_id", "heading_path", "coverage", "excerpt")
