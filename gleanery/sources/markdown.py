@@ -123,7 +123,7 @@ def sections(text: str) -> list[Section]:
     before = "\n".join(lines[: marks[0][0] if marks else len(lines)])
     if before.strip():
         out.append(Section(before))
-    for (start, level, name), end in zip(marks, [*(m[0] for m in marks[1:]), len(lines)], strict=True):
+    for (start, level, name), end in zip(marks, [m[0] for m in marks[1:]] + [len(lines)] * bool(marks), strict=True):
         while stack and stack[-1][0] >= level:
             stack.pop()
         stack.append((level, name))

@@ -107,7 +107,7 @@ def read_tree(spark: SparkSession, root: str, vault_id: str, room: str | None =
     clean = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     prefix = "/" + base.split(":", 1)[-1].lstrip("/") + "/"
     path = F.substring(clean, len(prefix) + 1, 1 << 20)
-    hidden = path.rlike(r"(^|/)\.") | path.rlike(r"(^|/)(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/")
+    hidden = F.col("path").rlike(r"(^|/)\.") | F.col("path").rlike(r"(^|/)(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/")
     rows = files.select(F.lit(vault_id).alias("vault_id"), F.lit(room).cast("string").alias("room"), path.alias("path"), "content", F.col("length").alias("byte_length"), F.unix_timestamp("modificationTime").alias("mtime"))
     return rows.where(~hidden & format_of(F.col("path")).isNotNull())
 
