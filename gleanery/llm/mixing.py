@@ -84,7 +84,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     n = sized.count()
     slices = max(1, -(-n // rows_per_range))
-    vt = F.least(F.lit(slices - 1), F.floor(F.col("virtual_finish") * slices))
+    vt = F.when(F.col("virtual_finish").isNotNull(), F.least(F.lit(slices - 1), F.floor(F.col("virtual_finish") * slices)))
     # rows outside the queue need no order: they are spread over slices of their own
     copies = copies.withColumn("__vt", F.coalesce(vt, -1 - F.pmod(F.xxhash64("__k"), F.lit(slices))))
     vsum = copies.where("__vt >= 0").groupBy("__vt").agg(F.sum("__q").alias("__sum"))
