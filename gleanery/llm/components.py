@@ -41,7 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         last = now
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-        e = cut(_star(cut(_star(both, large=True)), large=False))
+        e = cut(_star(_star(both, large=True), large=False))
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

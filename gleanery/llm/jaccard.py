@@ -468,11 +468,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     layout = ["root", "task", "side", "node", "label", "tokens"]
     tasks = held.select("root", F.explode(everywhere).alias("task"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "tokens")
-    links = cut(_run_tasks(tasks.select(*layout), num, den))
+    joined = cut(components(_run_tasks(tasks.select(*layout), num, den)))
 
     if wanted.where("blocks > 1").limit(1).count():
         # nodes of large clusters that are not in the hub's component yet meet all blocks
-        label = components(links).select(F.col("node").alias("node3"), F.col("root").alias("label"))
+        label = joined.select(F.col("node").alias("node3"), F.col("root").alias("label"))
         large = wanted.where("blocks > 1").select("root", "blocks", "block", F.col("node2").alias("node"))
         large = large.join(label, large["node"] == label["node3"], "left").select("root", "blocks", "block", "node", F.coalesce("label", "node").alias("label"))
         hub = large.where("node = root").select(F.col("root").alias("root2"), F.col("label").alias("hub"))
@@ -485,9 +485,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             every = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("r")).select("root", number(F.col("r"), F.col("block")).alias("task"), F.lit(0).alias("side"), "node", "label", "tokens")
             mine = F.pmod(F.xxhash64("node", F.lit(9)), F.col("rounds")).cast("int")
             asking = rest.where("apart").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select("root", number(mine, F.col("b")).alias("task"), F.lit(1).alias("side"), "node", "label", "tokens")
-            links = links.unionByName(_run_tasks(every.unionByName(asking).select(*layout), num, den))
+            more = _run_tasks(every.unionByName(asking).select(*layout), num, den)
+            joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    joined = components(links).select(F.col("node").alias("node5"), "root")
+    joined = joined.select(F.col("node").alias("node5"), "root")
     named = sets.join(joined, sets["node"] == joined["node5"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("c"))
     least = named.where("n > 0").groupBy("c").agg(F.min("id").alias("least")).select(F.col("c").bitwiseXOR(F.lit(79)).alias("k"), "least")
     out = named.withColumn("k", F.col("c").bitwiseXOR(F.lit(79))).join(least, "k", "left")
