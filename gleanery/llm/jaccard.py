@@ -40,6 +40,7 @@ from .components import components
 BLOCK = 1000
 #: Keys that one task of the key exchange holds, about.
 KEYS_PER_PART = 400_000
+TASK_BYTES = 128 << 20  # of sets that one join task reads, at most
 FILTER_WORDS = 1 << 20  # 64-bit words of the broadcast bitmap
 _MULTIPLIER, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -468,7 +469,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     layout = ["root", "task", "side", "node", "label", "tokens"]
     tasks = held.select("root", F.explode(everywhere).alias("task"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "tokens")
-    joined = cut(components(_run_tasks(tasks.select(*layout), num, den)))
+    joined = cut(components(_run_tasks(tasks.select(*layout), num, den, total)))
 
     if wanted.where("blocks > 1").limit(1).count():
         # nodes of large clusters that are not in the hub's component yet meet all blocks
@@ -485,7 +486,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             every = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("r")).select("root", number(F.col("r"), F.col("block")).alias("task"), F.lit(0).alias("side"), "node", "label", "tokens")
             mine = F.pmod(F.xxhash64("node", F.lit(9)), F.col("rounds")).cast("int")
             asking = rest.where("apart").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select("root", number(mine, F.col("b")).alias("task"), F.lit(1).alias("side"), "node", "label", "tokens")
-            more = _run_tasks(every.unionByName(asking).select(*layout), num, den)
+            more = _run_tasks(every.unionByName(asking).select(*layout), num, den, total)
             joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     joined = joined.select(F.col("node").alias("node5"), "root")
@@ -506,8 +507,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
-def _run_tasks(tasks: DataFrame, num: int, den: int) -> DataFrame:
-    n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _run_tasks(tasks: DataFrame, num: int, den: int, total: int) -> DataFrame:
+    """``total``: shingles of the corpus, a bound on what the tasks read."""
+    n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * total // TASK_BYTES))
     return tasks.repartition(n, "root", "task").sortWithinPartitions("root", "task", "side").mapInArrow(_join_blocks(num, den), "a long, b long")
 
 

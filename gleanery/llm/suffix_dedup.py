@@ -44,6 +44,7 @@ RUN = 300_000  # anchors in a run
 #: A gram is frequent from this many occurrences on, or 1/MOST_HOT of all bytes.
 HOT, MOST_HOT = 4096, 1 << 22
 PART_BYTES = 8 << 20  # of text for each part of an exchange
+TASK_BYTES = 128 << 20  # of text in a task that reads texts again, at most
 
 _B = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -535,7 +536,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for row in matched.where("kind = 2").select("data").collect():
         often |= set(np.frombuffer(row[0], "<u8").tolist())
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the session's number, or more where its share of the texts would be too large
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     texts = base.select("doc", "data", "id").repartition(n, "doc")
     lists = matched.where("kind = 1").groupBy("doc").agg(F.collect_list("data").alias("lists"))
     sent = texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "data", "lists").mapInArrow(_send_suffixes(length, parts, often), ROWS)
