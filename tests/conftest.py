@@ -32,7 +32,7 @@ def same_rows(frame, relation) -> None:
     def plain(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("nan", "NaT", "<NA>"):
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) if hasattr(v, "isoformat") else v
 
