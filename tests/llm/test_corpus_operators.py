@@ -202,7 +202,7 @@ def test_queue_order_and_budget(docs):
 
 def test_mix_of_odd_rows(odd, nothing):
     rows = Counter((r.doc_id, r.size) for r in M.mix(odd).collect())
-    assert rows[(4, 11)] == 2 and rows[(1, 0)] == 1 and sum(rows.values()) == 9
+    assert rows[(4, 12)] == 2 and rows[(1, 0)] == 1 and sum(rows.values()) == 9
     assert M.mix(nothing).count() == 0
     out = M.mix_documents(odd)
     assert out.columns == odd.columns
@@ -296,7 +296,7 @@ def test_clean_stays_and_junk_goes(spark):
 
 def test_quality_of_odd_rows(odd, nothing):
     got = Counter((r.doc_id, r.n_words, r.base_failed, r.kept) for r in Q.judge(odd).collect())
-    assert got[(1, 0, True, False)] == 1 and got[(4, 11, True, False)] == 2 and got[(7, 30000, True, False)] == 1
+    assert got[(1, 0, True, False)] == 1 and got[(4, 12, True, False)] == 2 and got[(7, 30000, True, False)] == 1
     assert Q.judge(nothing).count() == 0 and Q.keep_good(nothing).count() == 0
 
 
