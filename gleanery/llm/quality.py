@@ -1,4 +1,4 @@
-"""Quality rules: repetition and length rules, then n-gram perplexity bands.
+"""Quality rules: repetition and length rules, then n-gram perplexity bands of characters and of words.
 
 The language model is an interpolated modified Kneser-Ney model over runs of
 ``ORDER`` characters, one per language, case kept. Spark counts every run of
@@ -8,21 +8,31 @@ of 64-bit keys (four 16-bit character codes) that are searched by bisection.
 Per language, documents whose log perplexity leaves the band around the
 median, in robust deviations, are rejected on either side.
 
+Beside it stands a model of word unigrams per language, absolutely discounted:
+four characters of context learn the habits of junk that it was trained on,
+words show them as words that hardly any other document has. Of a document's
+mean each word counts ``REPEATS`` times at most, so that one frequent separator
+does not make up for the rest. Documents above the word band are rejected.
+
 Scale. Counting pre-aggregates per task, so the shuffle carries distinct runs.
 The model that goes to the executors is bounded by construction: an entry must
 have at least 1/``ENTRIES`` of its order's total count, so no more than
 ``ENTRIES`` per language's model and pooled exist at any corpus size; the mass of the others goes to the
 back-off weight. Bands come from a histogram with bins of fixed width. Scoring
-is one pass without a shuffle. Languages are assumed to be few.
+reads the texts once and shuffles none. Of the words, each is counted and kept
+at any size: the executors get those that make up 1/``COMMON`` of their
+language or more, occurrences of all others are joined to the table of words
+by their hash, so no key of the join is hot. Languages are assumed to be few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +45,13 @@ ORDER, ENTRIES = 4, 1 << 19
 BIN = 0.002
 #: Robust deviations (1.4826 times the median absolute deviation) below and above the median.
 BELOW, ABOVE = 6.0, 6.0
+#: Of a word's share in its language, what makes it common; how often a word counts in one document; the word band.
+COMMON, REPEATS, WORDS_ABOVE = 1 << 20, 3, 3.0
+#: Costs of words are whole numbers of this many to a nat, so that sums don't depend on their order.
+UNITS = 1_000_000
+#: Rejected texts that are sent to the executors, more are joined by a shuffle.
+SENT = 1 << 18
+MARK = "__text_mark"
 #: Names the model of all languages; no language is called so.
 POOLED = "*"
 #: Bytes of text that are worked on at once: the arrays of a block take about 80 times as much.
@@ -115,30 +132,56 @@ def run_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep].view(np.int64), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+def word_keys(texts: pa.Array, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and its language, text after text, and the number of the word's text."""
+    import pandas as pd
 
-    def out(lang) -> pa.RecordBatch:
-        keys, counts = held.pop(lang)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
+    split = pc.ascii_split_whitespace(texts)
+    flat, doc = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(offsets_of(split)))
+    real = pc.greater(pc.binary_length(flat), 0)
+    number, words = _encode(flat.filter(real))
+    salt = pd.util.hash_array(np.array([repr(lang)], object), categorize=False)
+    keys = pd.util.hash_array(words.astype(object), categorize=False) * np.uint64(0x9E3779B97F4A7C15) ^ salt
+    return keys.view(np.int64)[number], doc[real.to_numpy(zero_copy_only=False)]
 
-    for block in blocks(batches, 1, WORK_BYTES):
-        langs = block.column(0).to_pylist()
-        texts = block.column(1).to_pylist()
-        for lang in dict.fromkeys(langs):
-            keys, _ = run_keys([t for t, other in zip(texts, langs, strict=True) if t and other == lang])
-            number, keys = _encode(keys)
-            counts = np.bincount(number, minlength=len(keys))
-            if lang in held:
-                keys, counts = np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], counts])
+
+def _runs_of(texts: list[str], lang: str | None) -> np.ndarray:
+    return run_keys(texts)[0]
+
+
+def _words_of(texts: list[str], lang: str | None) -> np.ndarray:
+    return word_keys(pa.array(texts, pa.string()), lang)[0]
+
+
+def _count(keys_of: Callable) -> Callable:
+    """Rows (lang, key, n): the counts of the keys that ``keys_of`` finds in a task's texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out(lang) -> pa.RecordBatch:
+            keys, counts = held.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
+
+        for block in blocks(batches, 1, WORK_BYTES):
+            langs = block.column(0).to_pylist()
+            texts = block.column(1).to_pylist()
+            for lang in dict.fromkeys(langs):
+                keys = keys_of([t for t, other in zip(texts, langs, strict=True) if t and other == lang], lang)
                 number, keys = _encode(keys)
-                counts = np.bincount(number, counts, minlength=len(keys)).astype(np.int64)
-            held[lang] = (keys, counts)
-            if len(keys) > 2_000_000:
+                counts = np.bincount(number, minlength=len(keys))
+                if lang in held:
+                    keys, counts = np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], counts])
+                    number, keys = _encode(keys)
+                    counts = np.bincount(number, counts, minlength=len(keys)).astype(np.int64)
+                held[lang] = (keys, counts)
+                if len(keys) > 2_000_000:
+                    yield out(lang)
+        for lang in list(held):
+            if len(held[lang][0]):
                 yield out(lang)
-    for lang in list(held):
-        if len(held[lang][0]):
-            yield out(lang)
+
+    return count
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -202,7 +245,7 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES) -> Model:
     """Counts all runs of all documents; keeps those with 1/``entries`` of their order's total."""
-    found = docs.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_count, "lang string, key long, n long")
+    found = docs.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_count(_runs_of), "lang string, key long, n long")
     own = found.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     # a run's count over all languages stands as one more language
     counts = cut(own.withColumn("lang", F.explode(F.array("lang", F.lit(POOLED)))).groupBy("lang", "key").agg(F.sum("n").alias("n")))
@@ -236,29 +279,93 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entri
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: id, language, base statistics and ``loss`` (log perplexity per character; null without text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def word_costs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> tuple[DataFrame, dict]:
+    """The cost (negative log probability in ``UNITS``) of every word, by its key; per language the common words' sorted keys and costs."""
+    found = docs.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_count(_words_of), "lang string, key long, n long")
+    counts = cut(found.groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)]).collect()
+    cost, least = F.lit(0.0), F.lit(0)
+    for r in totals:
+        mine = F.col("lang").eqNullSafe(F.lit(r.lang))
+        discount = min(max(r.n1 / (r.n1 + 2 * r.n2), 0.1), 0.9) if r.n1 and r.n2 else 0.5
+        cost = F.when(mine, -F.log((F.col("n") - discount) / r.total)).otherwise(cost)
+        least = F.when(mine, F.lit(-(-r.total // common))).otherwise(least)
+    costs = counts.select("lang", "key", F.round(cost * UNITS).cast("long").alias("cost"), (F.col("n") >= least).alias("common"))
+    got = costs.where("common").select("lang", "key", "cost").toArrow()
+    lang, key, price = got.column("lang").to_numpy(), got.column("key").to_numpy(), got.column("cost").to_numpy()
+    sent = {}
+    for r in totals:
+        mine = np.flatnonzero(np.equal(lang, r.lang))
+        mine = mine[np.argsort(key[mine])]
+        sent[r.lang] = (key[mine], price[mine])
+    return costs.where("NOT common").select("key", "cost"), sent
+
+
+def _word_sums(texts: pa.Array, langs: list, common: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text: words that count, the cost of the common ones, keys of the others (as often as they count)."""
+    n = len(texts)
+    counted, cost = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    rare_keys, rare_docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lang in dict.fromkeys(langs):
+        at = np.array([i for i, other in enumerate(langs) if other == lang])
+        keys, doc = word_keys(texts.take(pa.array(at)), lang)
+        if not len(keys):
+            continue
+        number, distinct = _encode(keys)
+        pair, pairs = _encode(doc * len(distinct) + number)
+        times = np.minimum(np.bincount(pair), REPEATS)
+        doc, number = at[pairs // len(distinct)], pairs % len(distinct)
+        table = common.get(lang, (np.zeros(0, np.int64),) * 2)
+        place = np.minimum(np.searchsorted(table[0], distinct), max(len(table[0]) - 1, 0))
+        known = table[0][place] == distinct if len(table[0]) else np.zeros(len(distinct), bool)
+        price = np.where(known, table[1][place], 0) if len(table[0]) else np.zeros(len(distinct), np.int64)
+        np.add.at(counted, doc, times)
+        np.add.at(cost, doc, times * price[number])
+        rare = ~known[number]
+        rare_keys.append(np.repeat(distinct[number[rare]], times[rare]))
+        rare_docs.append(np.repeat(doc[rare], times[rare]))
+    docs, keys = np.concatenate(rare_docs), np.concatenate(rare_keys)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))])
+    return counted, cost, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[np.argsort(docs, kind="stable")], pa.int64()))
+
+
+def score(docs: DataFrame, model: Model, words: tuple[DataFrame, dict], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Per row: id, language, base statistics, ``loss`` (log perplexity per character), ``word_loss`` (per word; both null without text) and a hash of language and text."""
+    costs, common = words
+    shared = docs.sparkSession.sparkContext.broadcast((model, common))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for block in blocks(batches, 2, WORK_BYTES):
-            texts = pc.fill_null(block.column(2), "")
+            texts, langs = pc.fill_null(block.column(2), ""), block.column(1).to_pylist()
             stats = base_stats(texts)
-            loss = shared.value.mean_loss(block.column(1).to_pylist(), texts.to_pylist())
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(stats[n], pa.int64()) for n in names], pa.array(loss, pa.float64(), from_pandas=True)], names=[id_col, "lang", *names, "loss"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), *[T.StructField(n, T.LongType()) for n in names], T.StructField("loss", T.DoubleType())])
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+            loss = shared.value[0].mean_loss(langs, texts.to_pylist())
+            counted, cost, rare = _word_sums(texts, langs, shared.value[1])
+            rows = pa.array(np.arange(row, row + len(texts)))
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(stats[n], pa.int64()) for n in names], pa.array(loss, pa.float64(), from_pandas=True), block.column(3), rows, pa.array(counted), pa.array(cost), rare], names=schema.names)
+
+    long = T.LongType()
+    schema = T.StructType([
+        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), *[T.StructField(n, long) for n in names], T.StructField("loss", T.DoubleType()),
+        T.StructField(MARK, long), T.StructField("__row", long), T.StructField("__counted", long), T.StructField("__cost", long), T.StructField("__rare", T.ArrayType(long)),
+    ])
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    # kept between jobs: row numbers hold only as long as the rows stand as they are
+    found = cut(docs.select(F.col(f"`{id_col}`"), lang, text, F.xxhash64(lang, text)).mapInArrow(run, schema))
+    rare = found.select("__row", F.explode("__rare").alias("key")).join(costs, "key").groupBy("__row").agg(F.sum("cost").alias("__more"))
+    word_loss = (F.col("__cost") + F.coalesce("__more", F.lit(0))) / F.lit(float(UNITS)) / F.col("__counted")
+    return found.drop("__rare").join(rare, "__row", "left").select(id_col, "lang", *names, "loss", F.when(F.col("__counted") > 0, word_loss).alias("word_loss"), MARK)
 
 
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> dict[str | None, tuple[float, float]]:
+def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE, loss: str = "loss") -> dict[str | None, tuple[float, float]]:
     """Per language the lowest and highest loss that is kept, from all documents that pass the base rules."""
-    histogram = scored.where(~base_failed() & F.col("loss").isNotNull()).groupBy("lang", F.floor(F.col("loss") / BIN).alias("bin")).count().collect()
+    histogram = scored.where(~base_failed() & F.col(loss).isNotNull()).groupBy("lang", F.floor(F.col(loss) / BIN).alias("bin")).count().collect()
     out = {}
     for lang in {r.lang for r in histogram}:
         at, n = map(np.array, zip(*sorted((r.bin, r["count"]) for r in histogram if r.lang == lang), strict=True))
@@ -275,48 +382,43 @@ def _middle(x: np.ndarray, n: np.ndarray) -> float:
     return float(x[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """Per row: the id, base statistics, ``base_failed``, ``loss`` and ``kept``.
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, entries: int, below: float, above: float, words_above: float, common: int) -> DataFrame:
+    model = train(docs, text_col, lang_col, entries)
+    scored = cut(score(docs, model, word_costs(docs, text_col, lang_col, common), id_col, text_col, lang_col))
+    limits, most = bands(scored, below, above), bands(scored, 0.0, words_above, "word_loss")
+    inside = F.lit(False)
+    for lang, (low, high) in limits.items():
+        inside = inside | (F.col("lang").eqNullSafe(F.lit(lang)) & F.col("loss").between(low, high) & (F.col("word_loss") <= most[lang][1]))
+    return scored.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & F.coalesce(inside, F.lit(False))})
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES, below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON) -> DataFrame:
+    """Per row: the id, base statistics, ``base_failed``, ``kept``, ``loss`` and ``word_loss``.
 
-    A row is kept when it passes the base rules and its loss lies in its
-    language's band.
+    A row is kept when it passes the base rules, its loss lies in its
+    language's band and its word loss not above that of words. ``common``
+    changes no result.
 
     Defined cases. Null or empty text: no words, base rules failed. A null
     language is a language of its own. Null ids and repeated rows pass
     through, a result for each row. No rows: no rows. Texts are read whole.
     Other input columns are not looked at.
     """
-    model = train(docs, text_col, lang_col, entries)
-    scored = cut(score(docs, model, id_col, text_col, lang_col))
-    limits = bands(scored, below, above)
-    inside = F.lit(False)
-    for lang, (low, high) in limits.items():
-        inside = inside | (F.col("lang").eqNullSafe(F.lit(lang)) & F.col("loss").between(low, high))
-    kept = ~base_failed() & F.coalesce(inside, F.lit(False))
-    return scored.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"), "lang", "loss")
+    found = _verdicts(docs, id_col, text_col, lang_col, entries, below, above, words_above, common)
+    return found.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "loss", "word_loss")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES, below: float = BELOW, above: float = ABOVE) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES, below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are.
 
-    The second scoring pass costs less than a shuffle of all texts would.
-    Defined cases are those of ``judge``.
+    A verdict depends on language and text alone, so the rejected ones are
+    taken out by a hash of both. Up to ``SENT`` of them go to the executors;
+    with more, the planner shuffles. Defined cases are those of ``judge``.
     """
-    model = train(docs, text_col, lang_col, entries)
-    limits = bands(score(docs, model, id_col, text_col, lang_col), below, above)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text_at, WORK_BYTES):
-            texts, langs = pc.fill_null(block.column(text_at), ""), block.column(lang_at).to_pylist()
-            stats, loss = base_stats(texts), shared.value.mean_loss(langs, texts.to_pylist())
-            good = (stats["n_words"] >= 50) & (100 * stats["n_repeat_words"] <= 50 * stats["n_words"])
-            low, high = (np.array([limits.get(x, (np.inf, -np.inf))[i] for x in langs]) for i in (0, 1))
-            good &= (loss >= low) & (loss <= high)
-            yield block.filter(pa.array(good))
-
-    return docs.mapInArrow(keep, docs.schema)
+    bad = cut(_verdicts(docs, id_col, text_col, lang_col, entries, below, above, words_above, common).where("NOT kept").select(MARK).distinct())
+    mark = F.xxhash64(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
+    bad = F.broadcast(bad) if bad.count() <= SENT else bad
+    return docs.withColumn(MARK, mark).join(bad, MARK, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_quality(spark, sf_dir):
