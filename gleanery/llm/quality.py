@@ -3,8 +3,8 @@
 The language model is an interpolated modified Kneser-Ney model over runs of
 ``ORDER`` characters, one per language, case kept. Spark counts every run of
 every document; continuation counts, counts of counts, discounts and back-off
-weights are aggregates over all of them. The model is stored as sorted arrays
-of 64-bit keys (four 16-bit character codes) that are searched by bisection.
+weights are aggregates over all of them, and every counted run is in the model,
+however rare. Its keys are 64-bit (four 16-bit character codes).
 Per language, documents whose log perplexity leaves the band around the
 median, in robust deviations, are rejected on either side.
 
@@ -14,15 +14,13 @@ words show them as words that hardly any other document has. Of a document's
 mean each word counts ``REPEATS`` times at most, so that one frequent separator
 does not make up for the rest. Documents above the word band are rejected.
 
-Scale. Counting pre-aggregates per task, so the shuffle carries distinct runs.
-The model that goes to the executors is bounded by construction: an entry must
-have at least 1/``ENTRIES`` of its order's total count, so no more than
-``ENTRIES`` per language's model and pooled exist at any corpus size; the mass of the others goes to the
-back-off weight. Bands come from a histogram with bins of fixed width. Scoring
-reads the texts once and shuffles none. Of the words, each is counted and kept
-at any size: the executors get those that make up 1/``COMMON`` of their
-language or more, occurrences of all others are joined to the table of words
-by their hash, so no key of the join is hot. Languages are assumed to be few.
+Scale. Counting pre-aggregates per task, so the shuffle carries distinct runs
+and words. What each costs stands in a table that grows with the corpus and is
+never in one place whole. The executors get what makes up 1/``COMMON`` of a
+language or more, which is bounded at any size and changes no result;
+occurrences of all else are joined to the table, so no key of that join is
+hot. Texts are read once for scoring and not shuffled. Bands come from a
+histogram with bins of fixed width. Languages are assumed to be few.
 """
 
 from __future__ import annotations
@@ -40,14 +38,16 @@ from pyspark.sql import types as T
 from ..session import cut
 from .blocks import blocks, offsets_of
 
-ORDER, ENTRIES = 4, 1 << 19
+ORDER = 4
 #: Bins of log perplexity in the bands' histogram.
 BIN = 0.002
 #: Robust deviations (1.4826 times the median absolute deviation) below and above the median.
 BELOW, ABOVE = 6.0, 6.0
-#: Of a word's share in its language, what makes it common; how often a word counts in one document; the word band.
-COMMON, REPEATS, WORDS_ABOVE = 1 << 20, 3, 3.0
-#: Costs of words are whole numbers of this many to a nat, so that sums don't depend on their order.
+#: The share of a language's words, and of its runs, that makes one common is 1 to this.
+COMMON, COMMON_RUNS = 1 << 20, 1 << 22
+#: How often a word counts in one document; the word band.
+REPEATS, WORDS_ABOVE = 3, 3.0
+#: Costs are whole numbers of this many to a nat, so that sums don't depend on their order.
 UNITS = 1_000_000
 #: Rejected texts that are sent to the executors, more are joined by a shuffle.
 SENT = 1 << 18
@@ -194,7 +194,7 @@ def _discounts(n: list[int]) -> list[float]:
 
 
 class Model:
-    """Per language and order: sorted keys with their probability above back-off, sorted contexts with their weights."""
+    """A model that fits one process. Per language and order: sorted keys with their probability above back-off, sorted contexts with their weights."""
 
     def __init__(self):
         self.grams: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -218,57 +218,40 @@ class Model:
             p = self._find(self.grams.get((lang, n)), run, 0.0) + self._find(self.weights.get((lang, n)), context, 1.0) * p
         return np.log(np.maximum(p, 1e-12))
 
-    def mean_loss(self, langs: list, texts: list[str]) -> np.ndarray:
-        """Mean negative log probability of each text's characters; nan where there are none.
-
-        A sentence counts by its language's model or by that of all languages,
-        whichever predicts it better: a passage in another language is no junk.
-        """
-        out = np.full(len(texts), np.nan)
-        for lang in dict.fromkeys(langs):
-            at = np.array([i for i, other in enumerate(langs) if other == lang])
-            keys, bounds = run_keys([texts[i] for i in at])
-            number, distinct = _encode(keys)
-            loss = np.zeros(1)
-            if len(keys):
-                last = keys & 0xFFFF
-                ends = (last == ord("\n")) | (last == ord("."))
-                starts = np.unique(np.concatenate([bounds[:-1][np.diff(bounds) > 0], np.flatnonzero(ends[:-1]) + 1]))
-                own, pooled = (np.add.reduceat(-self.log_p(x, distinct)[number], starts) for x in (lang, POOLED))
-                loss = np.zeros(len(keys) + 1)
-                loss[starts + 1] = np.minimum(own, pooled)
-                loss = np.cumsum(loss)
-            size = np.diff(bounds)
-            out[at] = np.where(size > 0, (loss[bounds[1:]] - loss[bounds[:-1]]) / np.maximum(size, 1), np.nan)
-        return out
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES) -> Model:
-    """Counts all runs of all documents; keeps those with 1/``entries`` of their order's total."""
+
+def _orders(docs: DataFrame, text_col: str, lang_col: str, entries: int | None = None) -> Iterator[tuple[int, list, DataFrame, DataFrame]]:
+    """From ``ORDER`` down: totals, runs (count, probability above back-off, weight of the context), contexts with their weights.
+
+    The null language is called ''. With ``entries``, runs under 1/``entries`` of their order's total are left out.
+    """
     found = docs.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_count(_runs_of), "lang string, key long, n long")
     own = found.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     # a run's count over all languages stands as one more language
-    counts = cut(own.withColumn("lang", F.explode(F.array("lang", F.lit(POOLED)))).groupBy("lang", "key").agg(F.sum("n").alias("n")))
-    model, table = Model(), counts
+    table = cut(own.withColumn("lang", F.explode(F.array("lang", F.lit(POOLED)))).groupBy("lang", "key").agg(F.sum("n").alias("n")))
     for n in range(ORDER, 0, -1):
         if n < ORDER:
             # how many different characters stand before the run
             table = cut(table.groupBy("lang", F.col("key").bitwiseAND((1 << 16 * n) - 1).alias("key")).agg(F.count("*").alias("n")))
         totals = table.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).collect()
+        if not totals:
+            return
         # the pooled counts are as many again: no more than twice ``entries`` stay
-        least = max(1, -(-sum(r.total for r in totals if r.lang == POOLED) // entries))
-        cuts = F.create_map(*[x for r in totals for x in (F.lit(r.lang or ""), F.array(*[F.lit(float(d)) for d in _discounts([r.n1, r.n2, r.n3, r.n4])]))]) if totals else None
-        if cuts is None:
-            continue
+        least = max(1, -(-sum(r.total for r in totals if r.lang == POOLED) // entries)) if entries else 1
+        cuts = F.create_map(*[x for r in totals for x in (F.lit(r.lang or ""), F.array(*[F.lit(float(d)) for d in _discounts([r.n1, r.n2, r.n3, r.n4])]))])
         d = F.element_at(F.element_at(cuts, F.coalesce("lang", F.lit(""))), F.least(F.col("n"), F.lit(3)).cast("int"))
-        context = F.shiftrightunsigned("key", 16)
-        rows = table.withColumns({"context": context, "rest": F.col("n") - d})
-        sums = rows.groupBy(F.coalesce("lang", F.lit("")).alias("l"), "context").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= least, F.col("rest"))).alias("kept"))
-        sums = sums.where("kept IS NOT NULL")
-        grams = rows.where(F.col("n") >= least).withColumn("l", F.coalesce("lang", F.lit(""))).join(sums, ["l", "context"]).select("l", "key", (F.col("rest") / F.col("all")).alias("p"))
-        weights = sums.select("l", F.col("context").alias("key"), (1 - F.col("kept") / F.col("all")).alias("p"))
-        for frame, into in ((grams, model.grams), (weights, model.weights)):
-            got = frame.toArrow()
+        rows = table.select(F.coalesce("lang", F.lit("")).alias("l"), "key", "n", F.shiftrightunsigned("key", 16).alias("context"), (F.col("n") - d).alias("rest"))
+        sums = rows.groupBy("l", "context").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= least, F.col("rest"))).alias("kept"))
+        sums = sums.where("kept IS NOT NULL").withColumn("weight", 1 - F.col("kept") / F.col("all"))
+        runs = rows.where(F.col("n") >= least).join(sums, ["l", "context"]).select("l", "key", "n", (F.col("rest") / F.col("all")).alias("p"), "weight")
+        yield n, totals, runs, sums.select("l", F.col("context").alias("key"), F.col("weight").alias("p"))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entries: int | None = None) -> Model:
+    """Counts all runs of all documents and collects the model; ``entries`` keeps those with 1/``entries`` of their order's total."""
+    model = Model()
+    for n, totals, runs, weights in _orders(docs, text_col, lang_col, entries):
+        for frame, into in ((runs, model.grams), (weights, model.weights)):
+            got = frame.select("l", "key", "p").toArrow()
             l, key, p = got.column("l").to_numpy(), got.column("key").to_numpy().view(np.uint64), got.column("p").to_numpy()
             for r in totals:
                 mine = np.flatnonzero(l == (r.lang or ""))
@@ -279,6 +262,85 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entri
     return model
 
 
+def run_costs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON_RUNS) -> tuple[DataFrame, dict]:
+    """What every run costs by its language's model (``own``) and by the pooled one, in ``UNITS``; per language the common runs' sorted keys and costs.
+
+    From the lowest order up, a run's probability is that above back-off and
+    its context's weight times the probability of the run without its first
+    character, which was counted as well.
+    """
+    orders = list(_orders(docs, text_col, lang_col))
+    if not orders:
+        return docs.sparkSession.createDataFrame([], "l string, key long, own long, pooled long"), {}
+    full = None
+    for n, totals, runs, _ in reversed(orders):
+        if full is None:
+            floor = F.element_at(F.create_map(*[x for r in totals for x in (F.lit(r.lang or ""), F.lit(1.0 / (r.kinds + 1)))]), F.col("l"))
+            full = runs.select("l", "key", "n", (F.col("p") + F.col("weight") * floor).alias("p"))
+        else:
+            lower = full.select("l", F.col("key").alias("end"), F.col("p").alias("less"))
+            runs = runs.withColumn("end", F.col("key").bitwiseAND((1 << 16 * (n - 1)) - 1))
+            full = runs.join(lower, ["l", "end"]).select("l", "key", "n", (F.col("p") + F.col("weight") * F.col("less")).alias("p"))
+    full = full.select("l", "key", "n", F.round(-F.log("p") * UNITS).cast("long").alias("cost"))
+    pooled = full.where(F.col("l") == POOLED).select("key", F.col("cost").alias("pooled"))
+    totals = [r for r in orders[0][1] if r.lang != POOLED]
+    least = F.element_at(F.create_map(*[x for r in totals for x in (F.lit(r.lang or ""), F.lit(-(-r.total // common)))]), F.col("l"))
+    costs = cut(full.where(F.col("l") != POOLED).join(pooled, "key").select("l", "key", F.col("cost").alias("own"), "pooled", (F.col("n") >= least).alias("common")))
+    got = costs.where("common").toArrow()
+    l, key = got.column("l").to_numpy(), got.column("key").to_numpy()
+    prices = [got.column(c).to_numpy().astype(np.int32) for c in ("own", "pooled")]
+    sent = {}
+    for r in totals:
+        mine = np.flatnonzero(l == (r.lang or ""))
+        mine = mine[np.argsort(key[mine])]
+        sent[r.lang] = (key[mine], *[x[mine] for x in prices])
+    return costs.where("NOT common").drop("common"), sent
+
+
+def _look_up(table: tuple, keys: np.ndarray) -> tuple:
+    """Which keys the table has, and the values of those in each of its columns (0: absent)."""
+    if not len(table[0]):
+        return np.zeros(len(keys), bool), *[np.zeros(len(keys), np.int64) for _ in table[1:]]
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    known = table[0][at] == keys
+    return known, *[np.where(known, x[at], 0).astype(np.int64) for x in table[1:]]
+
+
+def _run_sums(texts: list[str], langs: list, common: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text: characters, the cost of sentences whose runs are all common, and the other sentences.
+
+    A sentence costs what its language's model or that of all languages gives,
+    whichever is less: a passage in another language is no junk. Of the other
+    sentences: the cost of their common runs by either model, the keys of the others.
+    """
+    none = np.zeros(0, np.int64)
+    size, cost = np.array([len(t) for t in texts], np.int64), np.zeros(len(texts), np.int64)
+    open_docs, open_own, open_pooled, open_sizes, open_keys = ([none] for _ in range(5))
+    for lang in dict.fromkeys(langs):
+        at = np.array([i for i, other in enumerate(langs) if other == lang])
+        keys, bounds = run_keys([texts[i] for i in at])
+        if not len(keys):
+            continue
+        number, distinct = _encode(keys)
+        known, own, pooled = _look_up(common.get(lang, (none,) * 3), distinct)
+        last = keys & 0xFFFF
+        ends = (last == ord("\n")) | (last == ord("."))
+        starts = np.unique(np.concatenate([bounds[:-1][np.diff(bounds) > 0], np.flatnonzero(ends[:-1]) + 1]))
+        own, pooled = (np.add.reduceat(x[number], starts) for x in (own, pooled))
+        rare = ~known[number]
+        rares = np.add.reduceat(rare.astype(np.int64), starts)
+        doc = at[np.searchsorted(bounds, starts, "right") - 1]
+        whole = rares == 0
+        np.add.at(cost, doc[whole], np.minimum(own, pooled)[whole])
+        for into, x in ((open_docs, doc[~whole]), (open_own, own[~whole]), (open_pooled, pooled[~whole]), (open_sizes, rares[~whole]), (open_keys, keys[rare])):
+            into.append(x)
+    doc, own, pooled, sizes, keys = map(np.concatenate, (open_docs, open_own, open_pooled, open_sizes, open_keys))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys, pa.int64()))
+    order = np.argsort(doc, kind="stable")
+    rows = pa.StructArray.from_arrays([pa.array(own[order]), pa.array(pooled[order]), lists.take(pa.array(order))], names=["own", "pooled", "keys"])
+    return size, cost, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]), pa.int32()), rows)
+
+
 def word_costs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> tuple[DataFrame, dict]:
     """The cost (negative log probability in ``UNITS``) of every word, by its key; per language the common words' sorted keys and costs."""
     found = docs.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_count(_words_of), "lang string, key long, n long")
@@ -315,10 +377,7 @@ def _word_sums(texts: pa.Array, langs: list, common: dict) -> tuple[np.ndarray,
         pair, pairs = _encode(doc * len(distinct) + number)
         times = np.minimum(np.bincount(pair), REPEATS)
         doc, number = at[pairs // len(distinct)], pairs % len(distinct)
-        table = common.get(lang, (np.zeros(0, np.int64),) * 2)
-        place = np.minimum(np.searchsorted(table[0], distinct), max(len(table[0]) - 1, 0))
-        known = table[0][place] == distinct if len(table[0]) else np.zeros(len(distinct), bool)
-        price = np.where(known, table[1][place], 0) if len(table[0]) else np.zeros(len(distinct), np.int64)
+        known, price = _look_up(common.get(lang, (np.zeros(0, np.int64),) * 2), distinct)
         np.add.at(counted, doc, times)
         np.add.at(cost, doc, times * price[number])
         rare = ~known[number]
@@ -329,10 +388,9 @@ def _word_sums(texts: pa.Array, langs: list, common: dict) -> tuple[np.ndarray,
     return counted, cost, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[np.argsort(docs, kind="stable")], pa.int64()))
 
 
-def score(docs: DataFrame, model: Model, words: tuple[DataFrame, dict], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score(docs: DataFrame, runs: tuple[DataFrame, dict], words: tuple[DataFrame, dict], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, language, base statistics, ``loss`` (log perplexity per character), ``word_loss`` (per word; both null without text) and a hash of language and text."""
-    costs, common = words
-    shared = docs.sparkSession.sparkContext.broadcast((model, common))
+    shared = docs.sparkSession.sparkContext.broadcast((runs[1], words[1]))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,23 +398,29 @@ def score(docs: DataFrame, model: Model, words: tuple[DataFrame, dict], id_col:
         for block in blocks(batches, 2, WORK_BYTES):
             texts, langs = pc.fill_null(block.column(2), ""), block.column(1).to_pylist()
             stats = base_stats(texts)
-            loss = shared.value[0].mean_loss(langs, texts.to_pylist())
+            size, run_cost, sentences = _run_sums(texts.to_pylist(), langs, shared.value[0])
             counted, cost, rare = _word_sums(texts, langs, shared.value[1])
             rows = pa.array(np.arange(row, row + len(texts)))
             row += len(texts)
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(stats[n], pa.int64()) for n in names], pa.array(loss, pa.float64(), from_pandas=True), block.column(3), rows, pa.array(counted), pa.array(cost), rare], names=schema.names)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(stats[n], pa.int64()) for n in names], block.column(3), rows, pa.array(size), pa.array(run_cost), sentences, pa.array(counted), pa.array(cost), rare], names=schema.names)
 
     long = T.LongType()
+    sentence = T.StructType([T.StructField("own", long), T.StructField("pooled", long), T.StructField("keys", T.ArrayType(long))])
     schema = T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), *[T.StructField(n, long) for n in names], T.StructField("loss", T.DoubleType()),
-        T.StructField(MARK, long), T.StructField("__row", long), T.StructField("__counted", long), T.StructField("__cost", long), T.StructField("__rare", T.ArrayType(long)),
+        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), *[T.StructField(n, long) for n in names], T.StructField(MARK, long), T.StructField("__row", long),
+        T.StructField("__size", long), T.StructField("__runs", long), T.StructField("__open", T.ArrayType(sentence)), T.StructField("__counted", long), T.StructField("__cost", long), T.StructField("__rare", T.ArrayType(long)),
     ])
     lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     # kept between jobs: row numbers hold only as long as the rows stand as they are
     found = cut(docs.select(F.col(f"`{id_col}`"), lang, text, F.xxhash64(lang, text)).mapInArrow(run, schema))
-    rare = found.select("__row", F.explode("__rare").alias("key")).join(costs, "key").groupBy("__row").agg(F.sum("cost").alias("__more"))
-    word_loss = (F.col("__cost") + F.coalesce("__more", F.lit(0))) / F.lit(float(UNITS)) / F.col("__counted")
-    return found.drop("__rare").join(rare, "__row", "left").select(id_col, "lang", *names, "loss", F.when(F.col("__counted") > 0, word_loss).alias("word_loss"), MARK)
+    rare = found.select("__row", F.explode("__rare").alias("key")).join(words[0], "key").groupBy("__row").agg(F.sum("cost").alias("__more"))
+    parts = found.select("__row", F.coalesce("lang", F.lit("")).alias("l"), F.posexplode("__open").alias("at", "s"))
+    asked = parts.select("__row", "at", "l", F.explode("s.keys").alias("key")).join(runs[0], ["l", "key"])
+    sums = parts.select("__row", "at", "s.own", "s.pooled").unionByName(asked.select("__row", "at", "own", "pooled"))
+    sums = sums.groupBy("__row", "at").agg(F.least(F.sum("own"), F.sum("pooled")).alias("cost")).groupBy("__row").agg(F.sum("cost").alias("__rest"))
+    mean = lambda known, more, n: F.when(F.col(n) > 0, (F.col(known) + F.coalesce(more, F.lit(0))) / F.lit(float(UNITS)) / F.col(n))
+    out = found.drop("__rare", "__open").join(rare, "__row", "left").join(sums, "__row", "left")
+    return out.select(id_col, "lang", *names, mean("__runs", "__rest", "__size").alias("loss"), mean("__cost", "__more", "__counted").alias("word_loss"), MARK)
 
 
 def base_failed():
@@ -382,9 +446,8 @@ def _middle(x: np.ndarray, n: np.ndarray) -> float:
     return float(x[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def _verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, entries: int, below: float, above: float, words_above: float, common: int) -> DataFrame:
-    model = train(docs, text_col, lang_col, entries)
-    scored = cut(score(docs, model, word_costs(docs, text_col, lang_col, common), id_col, text_col, lang_col))
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, below: float, above: float, words_above: float, common: int, common_runs: int) -> DataFrame:
+    scored = cut(score(docs, run_costs(docs, text_col, lang_col, common_runs), word_costs(docs, text_col, lang_col, common), id_col, text_col, lang_col))
     limits, most = bands(scored, below, above), bands(scored, 0.0, words_above, "word_loss")
     inside = F.lit(False)
     for lang, (low, high) in limits.items():
@@ -392,30 +455,30 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, entrie
     return scored.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & F.coalesce(inside, F.lit(False))})
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES, below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON, common_runs: int = COMMON_RUNS) -> DataFrame:
     """Per row: the id, base statistics, ``base_failed``, ``kept``, ``loss`` and ``word_loss``.
 
     A row is kept when it passes the base rules, its loss lies in its
     language's band and its word loss not above that of words. ``common``
-    changes no result.
+    and ``common_runs`` change no result.
 
     Defined cases. Null or empty text: no words, base rules failed. A null
     language is a language of its own. Null ids and repeated rows pass
     through, a result for each row. No rows: no rows. Texts are read whole.
     Other input columns are not looked at.
     """
-    found = _verdicts(docs, id_col, text_col, lang_col, entries, below, above, words_above, common)
+    found = _verdicts(docs, id_col, text_col, lang_col, below, above, words_above, common, common_runs)
     return found.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "loss", "word_loss")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES, below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON, common_runs: int = COMMON_RUNS) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are.
 
     A verdict depends on language and text alone, so the rejected ones are
     taken out by a hash of both. Up to ``SENT`` of them go to the executors;
     with more, the planner shuffles. Defined cases are those of ``judge``.
     """
-    bad = cut(_verdicts(docs, id_col, text_col, lang_col, entries, below, above, words_above, common).where("NOT kept").select(MARK).distinct())
+    bad = cut(_verdicts(docs, id_col, text_col, lang_col, below, above, words_above, common, common_runs).where("NOT kept").select(MARK).distinct())
     mark = F.xxhash64(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
     bad = F.broadcast(bad) if bad.count() <= SENT else bad
     return docs.withColumn(MARK, mark).join(bad, MARK, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
