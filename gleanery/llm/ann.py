@@ -249,9 +249,11 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     if not widths:
         return empty
     rows = rows.where(F.size("v") == widths[0].w).withColumn("vh", F.xxhash64("v"))
-    # one entry per distinct vector with its k + 1 smallest ids: more can't be answers. The limit works before the shuffle.
-    ranked = rows.select("vh", "v", "id").withColumn("r", F.rank().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("r") <= k + 1)
-    entries = ranked.groupBy("vh").agg(F.any_value("v").alias("v"), F.array_sort(F.collect_set("id")).alias("ids"))
+    # one entry per distinct vector with its k + 1 smallest ids: more can't be answers. Rows that repeat an id and its
+    # vector are made one before they are ranked; the limit works before the second shuffle.
+    ranked = rows.select("vh", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("r") <= k + 1)
+    ids = ranked.groupBy("vh").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = rows.groupBy("vh").agg(F.any_value("v").alias("v")).join(ids, "vh")
     most, n = entries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
 
     sample = entries.select("v").orderBy(F.xxhash64("vh"), "vh").limit(SAMPLE).toArrow().column("v").combine_chunks()
