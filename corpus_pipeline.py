@@ -6,8 +6,6 @@ before it kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleanery.llm.jaccard import drop_near_copies
@@ -15,7 +13,7 @@ from gleanery.llm.line_dedup import line_dedup
 from gleanery.llm.mixing import mix_documents
 from gleanery.llm.packing import pack_digest
 from gleanery.llm.quality import keep_good
-from gleanery.session import shared_dir
+from gleanery.session import scratch
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -54,7 +52,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    root = scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +31,13 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) a local folder is made and set.
+    Where the session names none, a local master gets a folder of its own (tests, benchmarks); a cluster is refused.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="gleanery-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -40,6 +45,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or named
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder for what a run keeps there; it is removed when the driver's process ends."""
+    uri = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+    def end() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            remove(spark, uri)
+
+    atexit.register(end)
+    return uri
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
