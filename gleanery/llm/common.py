@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for a null id inside an operator: it sorts after every real id.
-NULL_ID = 9223372036854775807
+#: Stands for a null id inside an operator: it sorts after every real id, and no real id is so large.
+NULL_ID = "9223372036854775808"
+ORDERED = "decimal(20,0)"
 
 #: Code points 20 and 09 to 0D (hex): the white space of every contract here.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -20,11 +21,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def id_or_last(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
+    """A whole number that orders rows by id, a null id last."""
+    return F.coalesce(F.col(f"`{name}`").cast("long").cast(ORDERED), F.lit(NULL_ID).cast(ORDERED))
 
 
-def null_id(column: Column) -> Column:
-    return F.when(column != NULL_ID, column)
+def id_of(ordered: Column) -> Column:
+    """The id that ``id_or_last`` has put in order."""
+    return F.when(ordered < F.lit(NULL_ID).cast(ORDERED), ordered.cast("long"))
 
 
 def with_columns_last(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:

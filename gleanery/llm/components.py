@@ -4,14 +4,18 @@ Alternating large-star and small-star rounds: every node links its neighbours
 to the smallest of them. Each half round is a minimum per node, pre-aggregated,
 and a join that may be split where a node is hot; neighbour lists are never
 collected. The rounds end when the edges no longer change.
+
+A round is one job: it writes its edges to the shared folder and counts them as
+it writes. What is read back has the statistics of its files; a checkpoint
+keeps estimates of where it came from, which joins multiply round by round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, remove, scratch
 
 _REKEY = 0x27D4EB2F
 MOST_ROUNDS = 60
@@ -33,15 +37,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the component's smallest node, as a number) of each node that an edge names."""
-    e = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    last = None
-    for _ in range(MOST_ROUNDS):
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == last or not now[0]:
+    spark = edges.sparkSession
+    folder = scratch(spark, "components")
+
+    def kept(e: DataFrame, number: int) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).write.parquet(f"{folder}/{number}")
+        return spark.read.schema("a long, b long").parquet(f"{folder}/{number}"), (seen.get["n"], seen.get["x"])
+
+    e, now = kept(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), 0)
+    for number in range(1, MOST_ROUNDS):
+        if not now[0]:
             break
-        last = now
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-        e = cut(_star(_star(both, large=True), large=False))
+        last = now
+        e, now = kept(_star(_star(both, large=True), large=False), number)
+        remove(spark, f"{folder}/{number - 1}")
+        if now == last:
+            break
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = cut(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    remove(spark, folder)
+    return out

@@ -9,19 +9,23 @@ sets' token bitmaps and the range of their sizes, and a dual traversal drops
 node pairs whose largest possible overlap is too small. What is left is
 verified on the sets themselves. No link between different sets is lost.
 
-Scale. Keys travel as packed arrays, not as rows. Inside a candidate group a
-key links its nodes to one of them, never all pairs. Clusters above ``BLOCK``
-nodes are cut into blocks; every block is joined in itself and with the
-cluster's hub, and only nodes that have not reached the hub's component meet
-the other blocks. Components come from star rounds over spanning edges. The
-only broadcast is a bitmap of 8 MB, whatever the corpus.
-
-Nodes are named by 64-bit hashes of their sets and shingles by 64-bit hashes:
-two different sets share a name with a chance of about 1e-5 in 16 million.
+Scale. One pass over the texts gives set sizes, names and keys; keys travel as
+packed arrays, not as rows, and nodes that share a key within a task are linked
+there, so a key that many nodes hold says one entry per task. A second pass
+reads the sets of candidates alone. Clusters above ``BLOCK`` nodes or
+``BLOCK_TOKENS`` shingles are cut into blocks; every block is joined in itself
+and with the cluster's hub, and only nodes that have not reached the hub's
+component meet the blocks of their own and the neighbouring range of sizes.
+Components come from star rounds over spanning edges. The only broadcast is a
+bitmap of 8 MB, whatever the corpus.
+
+Nodes are named by 128-bit hashes of their sets. Candidates go by one half of
+the name, where a clash only makes a cluster larger.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,14 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .blocks import RecentCache, blocks, offsets_of
-from .common import NULL_ID, id_or_last, null_id
+from .blocks import RecentCache, blocks, offsets_of, tidy
+from .common import id_of, id_or_last
 from .components import components
 
-BLOCK = 1000
-#: Keys that one task of the key exchange holds, about.
-KEYS_PER_PART = 400_000
+BLOCK, BLOCK_TOKENS = 1000, 1 << 20
+#: Bytes of text whose keys are matched at once; tasks of the key exchange at most, each with parts one after the other.
+PART_BYTES, MOST_TASKS = 8 << 20, 1 << 16
 TASK_BYTES = 128 << 20  # of sets that one join task reads, at most
+HELD_KEYS = 1_000_000  # that a task gathers before it sends them
 FILTER_WORDS = 1 << 20  # 64-bit words of the broadcast bitmap
 _MULTIPLIER, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -97,19 +102,12 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _names(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two words for each set: its name."""
     import xxhash
 
     data = sets.tobytes()
-    return np.array([xxhash.xxh3_64_intdigest(data[8 * a : 8 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64).view(np.int64)
-
-
-def _measure(k: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            sets, bounds = shingle_sets(block.column(1), k)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(bounds)), pa.array(_names(sets, bounds))], names=["id", "n", "node"])
-
-    return run
+    found = b"".join(xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
 # Candidate keys
@@ -186,42 +184,66 @@ def _scheme(num: int, den: int) -> Buckets:
     return Buckets(num, den)
 
 
-def _emit_keys(k: int, num: int, den: int, parts: int) -> Callable:
+#: Rows of the key exchange: 0 keys and their nodes, 1 measures of documents, 2 edges that a task has found.
+_PACKED = "part long, kind int, data binary"
+_FOUND = "kind int, id long, n long, a long, b long, h long, g long"
+
+
+def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+
+
+def _emit(k: int, num: int, den: int, parts: int) -> Callable:
+    """Texts to packed rows of the key exchange."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         scheme, seen = _scheme(num, den), RecentCache(100_000)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        turn = itertools.count(TaskContext.get().partitionId() if TaskContext.get() else 0)  # measures and edges may go anywhere
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            names, roots = _linked(keys, nodes)
+            if len(names):
+                yield _packed([(next(turn) % parts, 2, np.stack([names, roots]).tobytes())])
+            # what shares a key here is linked here, one node speaks for the key elsewhere
+            first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+            keys, nodes = keys[first], nodes[first]
             part = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             keys, nodes, part = keys[order], nodes[order], part[order]
             edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
-            rows = list(zip(edges[:-1], edges[1:], strict=True))
+            rows = [(int(part[a]), 0, keys[a:b].tobytes() + nodes[a:b].tobytes()) for a, b in itertools.pairwise(edges)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in rows], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in rows]), pa.array([nodes[a:b].tobytes() for a, b in rows])], names=["part", "keys", "nodes"])
+                yield _packed(rows)
 
         for block in blocks(batches):
             sets, bounds = shingle_sets(block.column(1), k)
             names = _names(sets, bounds)
+            ids = block.column(0)
+            measures = [pc.is_null(ids).cast(pa.int64()).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), np.diff(bounds), *names.T, *(block.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))]
+            yield _packed([(next(turn) % parts, 1, np.stack(measures).astype(np.int64).tobytes())])
             fresh: set[int] = set()
-            seen.get_all(names.tolist(), lambda new: (fresh.update(new), [True] * len(new))[1])
+            nodes = names[:, 0]
+            seen.get_all(nodes.tolist(), lambda new: (fresh.update(new), [True] * len(new))[1])
             # copies within a task say nothing new: a node's keys are sent once
-            first = np.zeros(len(names), bool)
-            first[np.unique(names, return_index=True)[1]] = True
-            first &= np.isin(names, np.fromiter(fresh, np.int64, len(fresh)))
-            keys, nodes = scheme.keys(sets, bounds, names)
-            keep = np.isin(nodes, names[first])
-            keys, nodes = keys[keep], nodes[keep]
-            pairs = np.unique(np.stack([keys.view(np.int64), nodes], 1), axis=0) if not first.all() else np.stack([keys.view(np.int64), nodes], 1)
-            held.append((pairs[:, 0].copy().view(np.uint64), pairs[:, 1].copy()))
-            if sum(len(x) for x, _ in held) > 2_000_000:
+            first = np.zeros(len(nodes), bool)
+            first[np.unique(nodes, return_index=True)[1]] = True
+            first &= np.isin(nodes, np.fromiter(fresh, np.int64, len(fresh)))
+            keys, nodes = scheme.keys(sets, bounds, np.where(first, np.arange(len(nodes)), -1))
+            held.append((keys[nodes >= 0], names[nodes[nodes >= 0], 0]))
+            if sum(len(x) for x, _ in held) > HELD_KEYS:
                 yield from out()
         if held:
             yield from out()
 
-    return run
+    return tidy(run)
 
 
 def _roots(groups: np.ndarray, members: np.ndarray, n: int) -> np.ndarray:
@@ -239,28 +261,51 @@ def _roots(groups: np.ndarray, members: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one part: nodes that share keys, each with the smallest it reaches."""
-    keys, nodes = [], []
-    for b in batches:
-        keys += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-        nodes += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-    if not keys:
-        return
-    k, v = np.concatenate(keys), np.concatenate(nodes)
-    keys, nodes = [], []
-    order = np.lexsort((v, k))
-    k, v = k[order], v[order]
-    same = (k[1:] == k[:-1]) & (v[1:] != v[:-1])
-    shared = np.unique(k[1:][same])
+def _linked(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries sorted by key and node: nodes that share keys with smaller ones, and the smallest that each reaches."""
+    same = (keys[1:] == keys[:-1]) & (nodes[1:] != nodes[:-1])
+    shared = np.unique(keys[1:][same])
     if not len(shared):
-        return
-    at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
-    hit = shared[at] == k
-    names, member = np.unique(v[hit], return_inverse=True)
-    root = names[_roots(k[hit], member, len(names))]
+        return nodes[:0], nodes[:0]
+    at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+    hit = shared[at] == keys
+    names, member = np.unique(nodes[hit], return_inverse=True)
+    root = names[_roots(keys[hit], member, len(names))]
     differ = root != names
-    yield pa.RecordBatch.from_arrays([pa.array(names[differ]), pa.array(root[differ])], names=["a", "b"])
+    return names[differ], root[differ]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in which a part's rows follow each other: measures, and edges from each node to the smallest that it reaches."""
+
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), none, none, pa.array(a), pa.array(b), none, none], names=names)
+
+    def matched() -> Iterator[pa.RecordBatch]:
+        if held:
+            packed = [np.frombuffer(x, np.int64).reshape(2, -1) for x in held]
+            keys, nodes = (np.concatenate([p[i] for p in packed]) for i in (0, 1))
+            order = np.lexsort((nodes, keys))
+            a, b = _linked(keys[order], nodes[order])
+            if len(a):
+                yield edges(a, b)
+
+    names = ["kind", "id", "n", "a", "b", "h", "g"]
+    at, held = None, []
+    for batch in batches:
+        for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if kind == 0:
+                if part != at:
+                    yield from matched()
+                    at, held = part, []
+                held.append(data)
+            elif kind == 1:
+                missing, ids, *rest = np.frombuffer(data, np.int64).reshape(7, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), np.int32)), pa.array(ids, mask=missing.astype(bool)), *map(pa.array, rest)], names=names)
+            else:
+                yield edges(*np.frombuffer(data, np.int64).reshape(2, -1))
+    yield from matched()
 
 
 # The signature tree
@@ -390,7 +435,7 @@ def _join_blocks(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, ({}, {})
         pairs: list[tuple[int, int]] = []
-        for batch in batches:
+        for batch in blocks(batches, 5):
             columns = [c.to_pylist() for c in batch.columns]
             for cluster, number, side, node, label, data in zip(*columns, strict=True):
                 if (cluster, number) != at:
@@ -402,7 +447,7 @@ def _join_blocks(num: int, den: int) -> Callable:
                 pairs = []
         yield _edges([*pairs, *task(sides)])
 
-    return run
+    return tidy(run)
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -428,10 +473,95 @@ def _fetch_sets(k: int, bitmap) -> Callable:
             if not some.num_rows:
                 continue
             sets, bounds = shingle_sets(some.column(1), k)
-            data = sets.tobytes()
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(_names(sets, bounds)), pa.array([data[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])], names=["id", "node", "tokens"])
+            data, names = sets.tobytes(), _names(sets, bounds)
+            tokens = pa.array([data[8 * a : 8 * b] for a, b in itertools.pairwise(bounds)], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), tokens], names=["id", "node", "mark", "tokens"])
+
+    return tidy(run)
 
-    return run
+
+def _other(column: str, salt: int):
+    """Another key expression than the one before it: the join gets exchanges that can be split where a key is hot."""
+    return F.col(column).bitwiseXOR(F.lit(salt))
+
+
+def _number_of_blocks(rows, tokens):
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(tokens / BLOCK_TOKENS), F.lit(1)).cast("long")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """Per row: ``id`` (as ``id_or_last`` has it), ``n``, two hashes of the text, and ``c1, c2, c3``, which name its component."""
+    if not 0 < num <= den:
+        raise ValueError("the similarity must lie in (0, 1]")
+    spark = docs.sparkSession
+    text = F.col(f"`{text_col}`").cast("string")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = int(max(1, -(-total // PART_BYTES)))
+    tasks = min(parts, MOST_TASKS)
+    packed = base.select("id", "text", F.xxhash64("text"), F.xxhash64(F.lit(97), "text")).mapInArrow(_emit(words, num, den, parts), _PACKED)
+    packed = packed.repartitionById(tasks, F.expr(f"cast(part % {tasks} as int)"))
+    found = cut((packed.sortWithinPartitions("part") if tasks < parts else packed).mapInArrow(_meet, _FOUND))
+    sets = found.where("kind = 1").select(id_or_last("id").alias("id"), "n", F.col("a").alias("node"), F.col("b").alias("mark"), "h", "g")
+    clusters = components(found.where("kind = 0").select("a", "b"))
+
+    nodes = sets.where("n > 0").groupBy("node", "mark").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    # numbers that the checkpoint keeps: no two nodes share one
+    wanted = cut(nodes.join(clusters.withColumnRenamed("node", "short"), F.col("node") == F.col("short")).select("id", "node", "mark", "n", "root", F.monotonically_increasing_id().alias("num")))
+    sizes = wanted.groupBy("root").agg(F.min("num").alias("hub"), _number_of_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    sizes = sizes.select(_other("root", 77).alias("k"), "hub", "blocks")
+    placed = cut(wanted.withColumn("k", _other("root", 77)).join(sizes, "k").drop("k").withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks"))))
+    bitmap = spark.sparkContext.broadcast(_bitmap(placed.select("id")))
+    ordered = docs.select(id_or_last(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("id"))
+    tokens = ordered.mapInArrow(_fetch_sets(words, bitmap), "id decimal(20,0), node long, mark long, tokens binary")
+    held = tokens.join(placed.drop("n"), ["id", "node", "mark"])
+    # a cluster's hub goes to every block
+    everywhere = F.when(F.col("num") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = held.select("root", F.explode(everywhere).alias("task"), F.lit(0).alias("side"), "num", F.col("num").alias("label"), "tokens")
+    joined = components(_run_tasks(first, num, den, total))
+    if num < den and not placed.where("blocks > 1").isEmpty():
+        joined = _off_the_hub(placed.where("blocks > 1"), held.where("blocks > 1"), joined, num, den, total)
+
+    joined = joined.select(F.col("node").alias("num"), F.col("root").alias("c"))
+    names = placed.join(joined, "num").select(F.col("node").alias("node2"), F.col("mark").alias("mark2"), "c")
+    named = sets.join(names, (F.col("node") == F.col("node2")) & (F.col("mark") == F.col("mark2")), "left")
+    return named.select("id", "n", "h", "g", F.coalesce("c", "node").alias("c1"), F.when(F.col("c").isNull(), F.col("mark")).otherwise(0).alias("c2"), F.col("c").isNull().alias("c3"))
+
+
+def _off_the_hub(placed: DataFrame, held: DataFrame, joined: DataFrame, num: int, den: int, total: int) -> DataFrame:
+    """Components with the links of nodes in large clusters that the hubs' components don't hold.
+
+    Sizes of a linked pair lie in one class or two neighbouring ones, so a
+    cluster is looked at class by class, each with the next one.
+    """
+    label = joined.select(F.col("node").alias("num2"), F.col("root").alias("label"))
+    large = placed.join(label, F.col("num") == F.col("num2"), "left").select("root", "hub", "num", "n", F.coalesce("label", "num").alias("label"))
+    hubs = large.where("num = hub").select(F.col("root").alias("root2"), F.col("label").alias("of_hub"))
+    # a little wider than the ratio of linked sizes, so that rounding can't part a pair by two
+    size = F.floor(F.log("n") / (1.0001 * math.log(den / num)))
+    large = large.join(hubs, F.col("root") == F.col("root2")).select("root", "num", "n", "label", (F.col("label") != F.col("of_hub")).alias("apart"), size.alias("class"))
+    large = cut(large.withColumn("class", F.explode(F.array("class", F.col("class") - 1))).withColumn("root", F.xxhash64("root", "class")).drop("class"))
+    asked = F.col("apart").cast("int")
+    work = large.groupBy("root").agg(_number_of_blocks(F.count("*"), F.sum("n")).alias("blocks"), _number_of_blocks(F.sum(asked), F.sum(asked * F.col("n"))).alias("rounds"), F.sum(asked).alias("asked"))
+    work = work.where("asked > 0").select(_other("root", 78).alias("k"), "blocks", "rounds")
+    if work.isEmpty():
+        return joined
+    texts = held.select(F.col("num").alias("num3"), "tokens")
+    rest = large.withColumn("k", _other("root", 78)).join(work, "k").join(texts, F.col("num") == F.col("num3"))
+    block, mine = F.pmod(F.xxhash64("num"), F.col("blocks")), F.pmod(F.xxhash64("num", F.lit(9)), F.col("rounds"))
+    several = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    layout = ["root", "task", "side", "num", "label", "tokens"]
+    every = rest.withColumn("r", F.explode(several("rounds"))).withColumns({"task": F.col("r") * F.col("blocks") + block, "side": F.lit(0)}).select(*layout)
+    asking = rest.where("apart").withColumn("b", F.explode(several("blocks"))).withColumns({"task": mine * F.col("blocks") + F.col("b"), "side": F.lit(1)}).select(*layout)
+    more = _run_tasks(every.unionByName(asking), num, den, total)
+    return components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def _with_least(named: DataFrame) -> DataFrame:
+    """Adds ``least``, the smallest id of a row's component; empty sets are alone."""
+    least = named.where("n > 0").groupBy("c1", "c2", "c3").agg(F.min("id").alias("least")).select(_other("c1", 79).alias("k"), F.col("c2").alias("k2"), F.col("c3").alias("k3"), "least")
+    out = named.withColumn("k1", _other("c1", 79)).join(least, (F.col("n") > 0) & (F.col("k1") == F.col("k")) & (F.col("c2") == F.col("k2")) & (F.col("c3") == F.col("k3")), "left")
+    return out.select("id", "n", "h", "g", "c1", "c2", "c3", F.coalesce("least", "id").alias("least"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -446,70 +576,51 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result each, and link like others. No rows: no rows. Texts are read whole.
     Other input columns are not looked at.
     """
-    if not 0 < num <= den:
-        raise ValueError("the similarity must lie in (0, 1]")
-    spark = docs.sparkSession
-    base = docs.select(id_or_last(id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sets = cut(base.mapInArrow(_measure(words), "id long, n long, node long"))
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = int(max(1, -(-total * 0.4 // KEYS_PER_PART)))
-    packed = base.mapInArrow(_emit_keys(words, num, den, parts), "part int, keys binary, nodes binary")
-    candidates = packed.repartitionById(parts, F.col("part")).mapInArrow(_meet, "a long, b long").distinct()
-    clusters = components(candidates)
-
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    sizes = sizes.select(F.col("root").bitwiseXOR(F.lit(77)).alias("k"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.withColumn("k", F.col("root").bitwiseXOR(F.lit(77))).join(sizes, "k").drop("k")
-    holders = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = cut(holders.join(members, "node").select("id", F.col("node").alias("node2"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("id")))
-    tokens = base.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_fetch_sets(words, bitmap), "id long, node long, tokens binary")
-    held = tokens.withColumnRenamed("id", "id2").join(wanted, (F.col("id2") == F.col("id")) & (F.col("node") == F.col("node2"))).select("root", "blocks", "block", "node", "tokens")
-    # a cluster's hub is its root; it goes to every block of a cluster that has several
-    everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    layout = ["root", "task", "side", "node", "label", "tokens"]
-    tasks = held.select("root", F.explode(everywhere).alias("task"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "tokens")
-    joined = cut(components(_run_tasks(tasks.select(*layout), num, den, total)))
-
-    if wanted.where("blocks > 1").limit(1).count():
-        # nodes of large clusters that are not in the hub's component yet meet all blocks
-        label = joined.select(F.col("node").alias("node3"), F.col("root").alias("label"))
-        large = wanted.where("blocks > 1").select("root", "blocks", "block", F.col("node2").alias("node"))
-        large = large.join(label, large["node"] == label["node3"], "left").select("root", "blocks", "block", "node", F.coalesce("label", "node").alias("label"))
-        hub = large.where("node = root").select(F.col("root").alias("root2"), F.col("label").alias("hub"))
-        large = cut(large.join(hub, F.col("root") == F.col("root2")).select("root", "blocks", "block", "node", "label", (F.col("label") != F.col("hub")).alias("apart")))
-        apart = large.where("apart").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rounds")).select(F.col("root").bitwiseXOR(F.lit(78)).alias("k"), "rounds")
-        if apart.limit(1).count():
-            texts = held.where("blocks > 1").select(F.col("node").alias("node4"), "tokens")
-            rest = large.withColumn("k", F.col("root").bitwiseXOR(F.lit(78))).join(apart, "k").join(texts, F.col("node") == F.col("node4"))
-            number = lambda r, b: (r * F.col("blocks") + b).cast("int")
-            every = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("r")).select("root", number(F.col("r"), F.col("block")).alias("task"), F.lit(0).alias("side"), "node", "label", "tokens")
-            mine = F.pmod(F.xxhash64("node", F.lit(9)), F.col("rounds")).cast("int")
-            asking = rest.where("apart").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select("root", number(mine, F.col("b")).alias("task"), F.lit(1).alias("side"), "node", "label", "tokens")
-            more = _run_tasks(every.unionByName(asking).select(*layout), num, den, total)
-            joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    joined = joined.select(F.col("node").alias("node5"), "root")
-    named = sets.join(joined, sets["node"] == joined["node5"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("c"))
-    least = named.where("n > 0").groupBy("c").agg(F.min("id").alias("least")).select(F.col("c").bitwiseXOR(F.lit(79)).alias("k"), "least")
-    out = named.withColumn("k", F.col("c").bitwiseXOR(F.lit(79))).join(least, "k", "left")
-    return out.select(null_id(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null_id(F.coalesce("least", "id")).alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows with a null id stay.
-
-    Only ids that go are joined with the texts. Defined cases are those of
-    ``near_components``; rows that share the smallest id stay together.
+    out = _with_least(_named(docs, id_col, text_col, words, num, den))
+    return out.select(id_of(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), id_of(F.col("least")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of ``docs`` for each component, and all rows with empty sets; columns as they are.
+
+    The row with the smallest id stays; among rows that share it, one chosen by
+    hashes of text and row. Only what goes is joined with the texts: up to
+    ``SENT`` rows are sent to the executors, more are joined by a shuffle.
+    Defined cases are those of ``near_components``.
     """
-    found = near_components(docs, id_col, text_col, **options)
-    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    found = cut(_with_least(_named(docs, id_col, text_col, words, num, den)).where("n > 0"))
+    gone = found.where("id <> least").select("id", "h", "g")
+    at_least = found.where("id = least").groupBy("c1", "c2", "c3", "id").agg(F.count("*").alias("rows"))
+    ties = cut(at_least.where("rows > 1").drop("rows"))
+    twice = None
+    if not ties.isEmpty():
+        tied = found.join(ties, ["c1", "c2", "c3", "id"]).groupBy("c1", "c2", "c3", "id", "h", "g").agg(F.count("*").alias("rows"))
+        first = tied.groupBy("c1", "c2", "c3", "id").agg(F.min(F.struct("h", "g")).alias("first"))
+        tied = cut(tied.join(first, ["c1", "c2", "c3", "id"]).withColumn("stays", F.struct("h", "g") == F.col("first")))
+        gone = gone.unionByName(tied.where("NOT stays").select("id", "h", "g"))
+        twice = tied.where("stays AND rows > 1").select("id", "h", "g")
+    marked = docs.withColumns({"__i": id_or_last(id_col), "__h": F.xxhash64(F.col(f"`{text_col}`").cast("string")), "__g": F.xxhash64(F.lit(97), F.col(f"`{text_col}`").cast("string"))})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = _without(marked, gone).select(*columns)
+    if twice is not None and not twice.isEmpty():
+        repeated = twice.select(F.col("id").alias("__i"), F.col("h").alias("__h"), F.col("g").alias("__g"))
+        one = marked.join(repeated, ["__i", "__h", "__g"]).groupBy("__i", "__h", "__g").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row"))
+        out = _without(marked, gone.unionByName(twice)).select(*columns).unionByName(one.select("__row.*"))
+    return out
+
+
+#: Rows that are sent to the executors; more are joined by a shuffle.
+SENT = 1 << 18
+
+
+def _without(marked: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = cut(gone.distinct().toDF("__i", "__h", "__g"))
+    return marked.join(F.broadcast(gone) if gone.count() <= SENT else gone, ["__i", "__h", "__g"], "left_anti")
 
 
 def _run_tasks(tasks: DataFrame, num: int, den: int, total: int) -> DataFrame:
-    """``total``: shingles of the corpus, a bound on what the tasks read."""
-    n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * total // TASK_BYTES))
+    """``total``: bytes of the corpus, a bound on what the tasks read."""
+    n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-total // TASK_BYTES), MOST_TASKS))
     return tasks.repartition(n, "root", "task").sortWithinPartitions("root", "task", "side").mapInArrow(_join_blocks(num, den), "a long, b long")
 
 

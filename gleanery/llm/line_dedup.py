@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_or_last, lower_ascii
+from .common import SPACES, lower_ascii
 
 #: Any odd constant: it makes the join key differ from the aggregate's key, so
 #: that both sides of the join get an exchange that can be split where skewed.
@@ -38,22 +38,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document when documents are counted, but each row gets its own result.
     No rows: no rows. Input columns named like an added column are replaced.
     """
-    base = docs.select(id_or_last(id_col).alias("__d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__t"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("__d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__t"))
     lines = base.select("__d", F.xxhash64("__t").alias("__v"), F.split("__t", "\n", -1).alias("__ls")).select("__d", "__v", F.posexplode("__ls").alias("__p", "__l"))
     key = line_key(F.col("__l"))
     # two chained 64-bit hashes: 128 bits, so that no two keys of a huge corpus meet
     keys = lines.where(F.length(key) >= min_chars).select("__d", "__v", "__p", F.xxhash64(key).alias("__h"), F.xxhash64(F.lit(97), key).alias("__g"))
+    # a null id sorts after all others; where all ids are null, there is no first and no line goes
     if min_docs <= 2:
-        shared = keys.groupBy("__h", "__g").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last"))
-        shared = shared.where("__first < __last") if min_docs == 2 else shared
+        shared = keys.groupBy("__h", "__g").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last"), F.bool_or(F.isnull("__d")).alias("__none"))
+        shared = shared.where("__first < __last OR __none") if min_docs == 2 else shared
     else:
         shared = keys.groupBy("__h", "__g", "__d").agg(F.lit(1).alias("__one")).groupBy("__h", "__g").agg(F.min("__d").alias("__first"), F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
+    shared = shared.where("__first IS NOT NULL")
     shared = shared.select(F.col("__h").bitwiseXOR(F.lit(_REKEY)).alias("__h2"), F.col("__g").alias("__g2"), "__first")
     marked = keys.select("__d", "__v", "__p", F.col("__h").bitwiseXOR(F.lit(_REKEY)).alias("__h2"), F.col("__g").alias("__g2"))
-    drops = marked.join(shared, ["__h2", "__g2"]).where("__d > __first").groupBy("__d", "__v").agg(F.array_sort(F.collect_set("__p")).alias("__drop"))
+    drops = marked.join(shared, ["__h2", "__g2"]).where("coalesce(__d > __first, true)").groupBy("__d", "__v").agg(F.array_sort(F.collect_set("__p")).alias("__drop"))
 
-    out = docs.select(F.struct("*").alias("__row"), id_or_last(id_col).alias("__d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__t")).withColumn("__v", F.xxhash64("__t"))
-    out = out.join(drops, ["__d", "__v"], "left")
+    out = docs.select(F.struct("*").alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__t")).withColumn("__v", F.xxhash64("__t"))
+    drops = drops.select(F.col("__d").alias("__d2"), F.col("__v").alias("__v2"), "__drop")
+    out = out.join(drops, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__v") == F.col("__v2")), "left")
     n = F.length(F.col("__t")) - F.length(F.replace(F.col("__t"), F.lit("\n"), F.lit(""))) + 1
     out = out.select("__row", "__t", n.cast("long").alias("__n"), "__drop")
     # kept lines are the runs between dropped positions: -1, d1, d2, .., n

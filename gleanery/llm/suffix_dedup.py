@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import id_or_last, null_id
 from .jaccard import mix
 
 LENGTH, GRAM = 200, 32
@@ -526,7 +525,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"length must lie in {GRAM} to 255")
     spark = docs.sparkSession
     data = F.coalesce(F.col(f"`{text_col}`").cast("string").cast("binary"), F.lit(b""))
-    base = docs.select(id_or_last(id_col).alias("id"), data.alias("data")).withColumn("doc", F.xxhash64("id", "data"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), data.alias("data")).withColumn("doc", F.xxhash64(F.isnull("id"), "id", "data"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     parts = int(max(1, -(-total // PART_BYTES)))
     found = base.select("doc", "data").mapInArrow(_find_anchors(length, parts), ROWS)
@@ -544,7 +543,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = sent.repartitionById(parts, F.expr("pmod(part, " + str(parts) + ")").cast("int")).mapInArrow(_merge_runs(length), ROWS)
     gone = spans.groupBy("doc").agg(F.collect_list("data").alias("lists"))
     out = texts.join(gone.hint("shuffle_hash"), "doc", "left").select("id", "data", "lists").mapInArrow(_remove, "id long, kept binary, n_removed long, n_spans long")
-    return out.select(null_id(F.col("id")).alias(id_col), (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    return out.select(F.col("id").alias(id_col), (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept")
 
 
 def op2_suffix_dedup(spark, sf_dir):

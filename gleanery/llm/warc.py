@@ -18,7 +18,6 @@ most ``MOST_SHARDS * SAMPLE`` ids.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -30,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
-from .common import NULL_ID, id_or_last
+from ..session import scratch
+from .blocks import blocks
 
 MOST_SHARDS, SAMPLE = 16384, 16
+LAST = 9223372036854775807  # rows without an id stand in the last shard
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SOFTWARE = "gleanery"
@@ -48,11 +48,17 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _name(page: int) -> str:
-    return "null" if page == NULL_ID else str(page)
+def _selector(root: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(root)
+
 
+def _name(page: int | None) -> str:
+    return "null" if page is None else str(page)
 
-def _record_id(page: int, digest: str, k: int) -> str:
+
+def _record_id(page: int | None, digest: str, k: int) -> str:
     return f"<urn:page:{_name(page)}:{digest[:16]}:{k}>"
 
 
@@ -64,7 +70,7 @@ def record(kind: str, record_id: str, block: bytes, headers: dict[str, str]) ->
     return c.compress(head.encode()) + c.compress(block) + c.compress(b"\r\n\r\n") + c.flush()
 
 
-def page_record(page: int, k: int, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+def page_record(page: int | None, k: int, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = {"WARC-Target-URI": quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{_name(page)}", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}"}
     if first is None:
@@ -79,7 +85,7 @@ class _Shard:
         self.fs, self.root = _fs(uri)
         self.shard, self.attempt, self.roll_bytes, self.roll, self.out = shard, attempt, roll_bytes, 0, None
 
-    def put(self, page: int, data: bytes) -> Iterator[dict]:
+    def put(self, page: int | None, data: bytes) -> Iterator[dict]:
         if self.out is not None and self.size + len(data) > self.roll_bytes:
             yield self.close()
         if self.out is None:
@@ -100,12 +106,27 @@ class _Shard:
 
     def close(self) -> dict:
         self.out.close()
-        self.fs.move(self.temporary, f"{self.root}/{self.name}")
+        self._commit(f"{self.root}/{self.name}")
         row = {"file": self.name, "shard": self.shard, "roll": self.roll, "records": self.records, "bytes": self.size, "sha256": self.hash.hexdigest(), "first_id": self.first, "last_id": self.last}
         self.out, self.roll = None, self.roll + 1
         return row
 
 
+    def _commit(self, target: str) -> None:
+        """Renames the file; another attempt may have left the same bytes there already."""
+        there = self.fs.get_file_info(target)
+        if there.is_file and there.size != self.size:
+            self.fs.delete_file(target)
+        if not there.is_file or there.size != self.size:
+            try:
+                self.fs.move(self.temporary, target)
+                return
+            except OSError:
+                if not self.fs.get_file_info(target).is_file:
+                    raise
+        self.fs.delete_file(self.temporary)
+
+
 def _writer(uri: str, roll_bytes: int, schema: pa.Schema) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,7 +137,7 @@ def _writer(uri: str, roll_bytes: int, schema: pa.Schema) -> Callable:
 
         def rows() -> Iterator[dict]:
             nonlocal shard, page, revisits, seen
-            for batch in batches:
+            for batch in blocks(batches, 5):
                 for s, p, kind, digest, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if shard is None or shard.shard != s:
                         if shard is not None and shard.out is not None:
@@ -154,18 +175,18 @@ def write_archive(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
 
     spark = pages.sparkSession
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(id_or_last(id_col).alias("p"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("p"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     digest = F.sha2("payload", 256)
     size, ids = rows.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)), F.count("*")).first()
     shards = int(min(MOST_SHARDS, max(1, -(-size // shard_bytes), -(-ids // 1_000_000))))
-    sample = rows.select("p").orderBy(F.xxhash64("p"), "p").limit(shards * SAMPLE)
+    sample = rows.where("p IS NOT NULL").select("p").orderBy(F.xxhash64("p"), "p").limit(shards * SAMPLE)
     sampled = np.sort(np.array([r[0] for r in sample.collect()], np.int64))
     bounds = np.unique(sampled[np.arange(1, shards) * len(sampled) // shards]) if len(sampled) else sampled
 
     large = rows.where(F.octet_length("payload") >= least_bytes).select("p", F.unhex(digest).alias("d"))
-    firsts = large.groupBy("d").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first < last")
+    firsts = large.groupBy("d").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.bool_or(F.isnull("p")).alias("none")).where("first < last OR (none AND first IS NOT NULL)")
     # joined on another expression than it was grouped by: both sides then have exchanges that can be split
-    revisits = large.withColumn("k", F.hex("d")).join(firsts.select(F.hex("d").alias("k"), "first"), "k").where("p > first").groupBy("p", F.lower("k").alias("digest")).agg(F.min("first").alias("first"))
+    revisits = large.withColumn("k", F.hex("d")).join(firsts.select(F.hex("d").alias("k"), "first"), "k").where("coalesce(p > first, true)").groupBy("p", F.lower("k").alias("digest")).agg(F.min("first").alias("first"))
 
     @F.pandas_udf("int")
     def shard_of(p: pd.Series) -> pd.Series:
@@ -173,13 +194,16 @@ def write_archive(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
 
     null = lambda t: F.lit(None).cast(t)
     both = rows.select("p", F.lit(1).alias("kind"), digest.alias("digest"), "url", "payload", null("long").alias("first")).unionByName(revisits.select("p", F.lit(0).alias("kind"), "digest", null("string").alias("url"), null("binary").alias("payload"), "first"))
-    both = both.select(shard_of("p").alias("shard"), "*").repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "p", "kind", "digest", "url")
+    both = both.select(shard_of(F.coalesce("p", F.lit(LAST))).alias("shard"), "*").repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("p").asc_nulls_last(), "kind", "digest", "url")
 
     fs, root = _fs(uri)
     fs.create_dir(root, recursive=True)
     schema = T._parse_datatype_string(MANIFEST)
     manifest = both.mapInArrow(_writer(uri, roll_bytes, to_arrow_schema(schema)), schema)
     manifest.write.mode("error").parquet(f"{uri}/_manifest")
+    for left in fs.get_file_info(_selector(root)):  # of attempts that didn't end
+        if left.base_name.startswith(".pages-") and left.base_name.endswith(".tmp"):
+            fs.delete_file(left.path)
     return uri
 
 
@@ -247,7 +271,7 @@ def read_archive(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir):
-    uri = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    uri = scratch(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), uri)
     return read_archive(spark, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -17,6 +17,8 @@ from gleanery.llm import secrets as S
 from gleanery.llm import suffix_dedup as D
 from gleanery.llm import token_counts as K
 
+from .conftest import ODD
+
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -160,7 +162,30 @@ def test_components_of_odd_rows(odd, nothing):
     assert got[(4, 8, 4)] == 2 and got[(1, 0, 1)] == 1 and got[(2, 0, 2)] == 1 and got[(None, 6, None)] == 1
     assert got[(7, 1, 7)] == 1
     assert J.near_components(nothing).count() == 0
-    assert J.drop_near_copies(odd).count() == 9
+    # of the row that stands twice one stays
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in J.drop_near_copies(odd).collect()) == sorted({(r[0] or 0, len(r[1] or "")) for r in ODD})
+    assert J.drop_near_copies(nothing).count() == 0
+
+
+def test_one_row_of_a_component_stays(spark):
+    """Whatever its ids are: null, repeated, or the largest there is."""
+    text = lambda k: " ".join(f"w{i}" for i in range(k, k + 60))
+    largest = 2**63 - 1
+    rows = [(None, text(0), "a"), (None, text(0), "b"), (None, text(1), "a"), (3, text(500), "a"), (3, text(501), "a"), (3, text(500), "a"), (None, text(500), "a"), (largest, text(900), "a"), (None, text(901), "a"), (8, None, "a"), (8, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = J.drop_near_copies(docs).collect()
+    assert sorted((r.doc_id or 0, 0 if r.text is None else int(r.text.split()[0][1:]) // 100) for r in got) == [(0, 0), (3, 5), (8, 0), (8, 0), (largest, 9)]
+    names = {(r.doc_id, r.component_id) for r in J.near_components(docs).collect()}
+    assert names == {(None, None), (3, 3), (None, 3), (largest, largest), (None, largest), (8, 8)}
+
+
+def test_hot_keys_and_parts_that_share_a_task(docs, corpus, monkeypatch):
+    """Keys are sent in many small parcels, and several parts stand one after the other in a task."""
+    monkeypatch.setattr(J, "HELD_KEYS", 50)
+    monkeypatch.setattr(J, "PART_BYTES", 2000)
+    monkeypatch.setattr(J, "MOST_TASKS", 3)
+    got = J.near_components(docs, words=2, num=60, den=100).collect()
+    assert sorted(map(tuple, got)) == component_brute(list(enumerate(corpus)), 2, 60, 100)
 
 
 @given(st.integers(1, 100), st.integers(1, 99), st.data())
