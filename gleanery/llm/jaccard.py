@@ -1,23 +1,25 @@
 """N-gram Jaccard join: every pair of shingle sets at or above a similarity, as components.
 
 Equal sets are one node. Nodes that may link meet through exact candidate keys:
-within a range of set sizes the hash space is split into more buckets than a
-linked pair can differ in, so a linked pair has a bucket with equal content.
-Groups of nodes with a common key form candidate clusters, and each cluster is
-joined by a signature tree: leaves are sets, inner nodes hold the OR of their
-sets' token bitmaps and the range of their sizes, and a dual traversal drops
-node pairs whose largest possible overlap is too small. What is left is
-verified on the sets themselves. No link between different sets is lost.
-
-Scale. One pass over the texts gives set sizes, names and keys; keys travel as
-packed arrays, not as rows, and nodes that share a key within a task are linked
-there, so a key that many nodes hold says one entry per task. A second pass
-reads the sets of candidates alone. Clusters above ``BLOCK`` nodes or
-``BLOCK_TOKENS`` shingles are cut into blocks; every block is joined in itself
-and with the cluster's hub, and only nodes that have not reached the hub's
-component meet the blocks of their own and the neighbouring range of sizes.
-Components come from star rounds over spanning edges. The only broadcast is a
-bitmap of 8 MB, whatever the corpus.
+all shingles stand in one order, rare ones first, and of a set the first
+``n - least overlap + 1`` are its keys, so a linked pair has a key in common.
+The order comes from counts of all shingles in a table of fixed size; whatever
+it is, no link is lost, and shingles that many documents share are keys of
+none but those that hold little else. Groups of nodes with a common key form
+candidate clusters, and each cluster is joined by a signature tree: leaves are
+sets, inner nodes hold the OR of their sets' token bitmaps and the range of
+their sizes, and a dual traversal drops node pairs whose largest possible
+overlap is too small. What is left is verified on the sets themselves.
+
+Scale. Three passes read the texts: sizes, names and counts; keys; the sets of
+candidates. Keys travel as packed arrays, not as rows, and nodes that share a
+key within a task are linked there, so a key that many nodes hold says one
+entry per task. Clusters above ``BLOCK`` nodes or ``BLOCK_TOKENS`` shingles are
+cut into blocks; every block is joined in itself and with the cluster's hub,
+and only nodes that have not reached the hub's component meet the blocks of
+their own and the neighbouring range of sizes. Components come from star rounds
+over spanning edges. Broadcast are the order's table and a bitmap, 8 MB each,
+whatever the corpus.
 
 Nodes are named by 128-bit hashes of their sets. Candidates go by one half of
 the name, where a clash only makes a cluster larger.
@@ -28,7 +30,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,13 @@ from .common import id_of, id_or_last
 from .components import components
 
 BLOCK, BLOCK_TOKENS = 1000, 1 << 20
-#: Bytes of text whose keys are matched at once; tasks of the key exchange at most, each with parts one after the other.
-PART_BYTES, MOST_TASKS = 8 << 20, 1 << 16
+#: Keys that are matched at once, about; tasks of the key exchange at most, each with parts one after the other.
+PART_KEYS, MOST_TASKS = 400_000, 1 << 16
 TASK_BYTES = 128 << 20  # of sets that one join task reads, at most
 HELD_KEYS = 1_000_000  # that a task gathers before it sends them
 FILTER_WORDS = 1 << 20  # 64-bit words of the broadcast bitmap
+#: The table of counts: a shingle's entry is named by the first bits of its hash; it travels in slices.
+COUNT_BITS, SLICES = 22, 64
 _MULTIPLIER, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -110,83 +113,79 @@ def _names(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
+# Sizes, names, counts
+
+_MEASURED = "slice int, id long, n long, node long, mark long, h long, g long, counts binary"
+
+
+def _measure(k: int) -> Callable:
+    """A row for each text, and of the task's counts a row for each slice."""
+    names = [x.split()[0] for x in _MEASURED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+        for block in blocks(batches):
+            sets, bounds = shingle_sets(block.column(1), k)
+            counts += np.bincount((sets >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            node, mark = (pa.array(x) for x in _names(sets, bounds).T.copy())
+            n = block.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), block.column(0), pa.array(np.diff(bounds)), node, mark, block.column(2), block.column(3), pa.nulls(n, pa.binary())], names=names)
+        for i, part in enumerate(np.split(counts, SLICES)):
+            if part.any():
+                none = pa.nulls(1, pa.int64())
+                packed = pa.Codec("zstd").compress(part.tobytes(), asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[none] * 6, pa.array([packed])], names=names)
+
+    return tidy(run)
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of all tasks to the sums' logarithms, as 16-bit numbers."""
+    held: dict[int, np.ndarray] = {}
+    size = (1 << COUNT_BITS) // SLICES
+    for b in batches:
+        for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held.setdefault(i, np.zeros(size, np.uint64))
+            held[i] += np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * size, asbytes=True), np.uint32)
+    for i, sums in held.items():
+        ranks = np.minimum(np.log2(sums + np.uint64(1)) * 1000, 65535).astype("<u2")
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([ranks.tobytes()])], names=["slice", "ranks"])
+
+
+def _order_of(measured: DataFrame) -> np.ndarray:
+    """The rank of each entry of the table: how often its shingles occur, on a logarithmic scale. One row a slice comes to the driver."""
+    rows = measured.where("slice >= 0").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, ranks binary").collect()
+    out = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.uint16)
+    for r in rows:
+        out[r.slice] = np.frombuffer(r.ranks, "<u2")
+    return out.ravel()
+
+
 # Candidate keys
 
 
-class Buckets:
-    """The exact scheme of candidate keys for ``den * overlap >= num * union``.
+def prefix_keys(sets: np.ndarray, bounds: np.ndarray, use: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the numbers of the sets that give them, for sets whose numbers are in ``use``.
 
-    Size class c holds set sizes ``edge(c) .. edge(c + 1) - 1``; a linked pair's
-    sizes lie in one class or two neighbouring ones, so each set gives the keys
-    of its class and of the one below. In class c a linked pair differs in at
-    most ``apart(c)`` tokens, so of ``apart(c) + 1 + spare(c)`` buckets more
-    than ``spare(c)`` are equal. Empty buckets give no key unless a set has more
-    than ``spare(c)`` of them: then they do, and such sets meet there.
+    A set of size n overlaps with any set that it links to in ``num n / den``
+    shingles at least. Of two sets that share so many, the first n less so many
+    and one in a common order hold a common one. Sets too small to link with any
+    other set give none.
     """
+    order = (ranks[(sets >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (sets & np.uint64((1 << 48) - 1))
+    out, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in use.tolist():
+        a, n = int(bounds[i]), int(bounds[i + 1] - bounds[i])
+        if n * den < num * (n + 1):
+            continue
+        p = n + (-num * n) // den + 1
+        out.append(np.partition(order[a : a + n], p - 1)[:p])
+        who.append(np.full(p, i))
+    return np.concatenate(out), np.concatenate(who)
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.edges = [1, 2]
-        self.plans: list[tuple[int, int]] = []
-
-    def grow(self, size: int) -> None:
-        while self.edges[-1] <= size:
-            self.edges.append(self.edges[-1] * self.den // self.num + 1)
-        while len(self.plans) < len(self.edges) - 1:
-            c = len(self.plans)
-            most = self.edges[c + 1] - 1
-            both = most + most * self.den // self.num
-            base = both * (self.den - self.num) // (self.den + self.num) + 1
-            empty = base * math.exp(-self.edges[c] / base)
-            spare = 0 if base == 1 else int(empty + 4 * math.sqrt(empty)) + 1
-            self.plans.append((base + spare, spare))
-
-    def keys(self, sets: np.ndarray, bounds: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and the nodes that give them."""
-        sizes = np.diff(bounds)
-        if not len(sets):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.grow(int(sizes.max()))
-        own = np.searchsorted(np.array(self.edges), sizes, "right") - 1
-        count, spare = np.array([p[0] for p in self.plans]), np.array([p[1] for p in self.plans])
-        out_k, out_n = [], []
-        for c in (own, own - 1):
-            # one bucket alone: linked sets are equal, so there is nothing to look for
-            use = np.flatnonzero((sizes > 0) & (c >= 0))
-            use = use[count[c[use]] > 1]
-            if not len(use):
-                continue
-            doc = np.repeat(use, sizes[use])
-            at = np.arange(len(doc)) + np.repeat(bounds[use] - (np.cumsum(sizes[use]) - sizes[use]), sizes[use])
-            h = sets[at]
-            buckets = count[c[doc]].astype(np.uint64)
-            where = ((h >> np.uint64(32)) * buckets) >> np.uint64(32)
-            edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (where[1:] != where[:-1])]))
-            with np.errstate(over="ignore"):
-                content = np.add.reduceat(mix(h ^ _MIX1), edge)
-                group = where[edge] + (c[doc[edge]].astype(np.uint64) << np.uint64(32))
-                out_k.append(mix(content ^ (group * _MULTIPLIER)))
-            out_n.append(names[doc[edge]])
-            filled = np.bincount(doc[edge], minlength=len(sizes))
-            for i in use[filled[use] < count[c[use]] - spare[c[use]]]:
-                mine = edge[doc[edge] == i]
-                gap = np.setdiff1d(np.arange(count[c[i]], dtype=np.uint64), where[mine])
-                with np.errstate(over="ignore"):
-                    out_k.append(mix((gap + (np.uint64(c[i]) << np.uint64(32))) * _MULTIPLIER ^ _MIX2))
-                out_n.append(np.full(len(gap), names[i]))
-        if not out_k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(out_k), np.concatenate(out_n)
-
-
-@lru_cache(4)
-def _scheme(num: int, den: int) -> Buckets:
-    return Buckets(num, den)
-
-
-#: Rows of the key exchange: 0 keys and their nodes, 1 measures of documents, 2 edges that a task has found.
+
+#: Rows of the key exchange: 0 keys and their nodes, 1 edges that a task has found.
 _PACKED = "part long, kind int, data binary"
-_FOUND = "kind int, id long, n long, a long, b long, h long, g long"
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -194,15 +193,15 @@ def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
 
-def _emit(k: int, num: int, den: int, parts: int) -> Callable:
+def _emit(k: int, num: int, den: int, parts: int, ranks) -> Callable:
     """Texts to packed rows of the key exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scheme, seen = _scheme(num, den), RecentCache(100_000)
+        seen = RecentCache(100_000)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        turn = itertools.count(TaskContext.get().partitionId() if TaskContext.get() else 0)  # measures and edges may go anywhere
+        turn = itertools.count(TaskContext.get().partitionId() if TaskContext.get() else 0)  # edges may go anywhere
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -211,11 +210,11 @@ def _emit(k: int, num: int, den: int, parts: int) -> Callable:
             keys, nodes = keys[order], nodes[order]
             names, roots = _linked(keys, nodes)
             if len(names):
-                yield _packed([(next(turn) % parts, 2, np.stack([names, roots]).tobytes())])
+                yield _packed([(next(turn) % parts, 1, np.stack([names, roots]).tobytes())])
             # what shares a key here is linked here, one node speaks for the key elsewhere
             first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             keys, nodes = keys[first], nodes[first]
-            part = (keys % np.uint64(parts)).astype(np.int64)
+            part = (mix(keys) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             keys, nodes, part = keys[order], nodes[order], part[order]
             edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
@@ -223,21 +222,16 @@ def _emit(k: int, num: int, den: int, parts: int) -> Callable:
             if rows:
                 yield _packed(rows)
 
-        for block in blocks(batches):
-            sets, bounds = shingle_sets(block.column(1), k)
-            names = _names(sets, bounds)
-            ids = block.column(0)
-            measures = [pc.is_null(ids).cast(pa.int64()).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), np.diff(bounds), *names.T, *(block.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))]
-            yield _packed([(next(turn) % parts, 1, np.stack(measures).astype(np.int64).tobytes())])
+        for block in blocks(batches, 0):
+            sets, bounds = shingle_sets(block.column(0), k)
+            nodes = _names(sets, bounds)[:, 0]
             fresh: set[int] = set()
-            nodes = names[:, 0]
             seen.get_all(nodes.tolist(), lambda new: (fresh.update(new), [True] * len(new))[1])
             # copies within a task say nothing new: a node's keys are sent once
-            first = np.zeros(len(nodes), bool)
-            first[np.unique(nodes, return_index=True)[1]] = True
-            first &= np.isin(nodes, np.fromiter(fresh, np.int64, len(fresh)))
-            keys, nodes = scheme.keys(sets, bounds, np.where(first, np.arange(len(nodes)), -1))
-            held.append((keys[nodes >= 0], names[nodes[nodes >= 0], 0]))
+            first = np.unique(nodes, return_index=True)[1]
+            use = first[np.isin(nodes[first], np.fromiter(fresh, np.int64, len(fresh)))]
+            keys, who = prefix_keys(sets, bounds, use, ranks.value, num, den)
+            held.append((keys, nodes[who]))
             if sum(len(x) for x, _ in held) > HELD_KEYS:
                 yield from out()
         if held:
@@ -276,11 +270,10 @@ def _linked(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in which a part's rows follow each other: measures, and edges from each node to the smallest that it reaches."""
+    """Rows in which a part's rows follow each other: edges from each node to the smallest that it reaches."""
 
     def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), none, none, pa.array(a), pa.array(b), none, none], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def matched() -> Iterator[pa.RecordBatch]:
         if held:
@@ -291,20 +284,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(a):
                 yield edges(a, b)
 
-    names = ["kind", "id", "n", "a", "b", "h", "g"]
     at, held = None, []
     for batch in batches:
         for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if kind == 0:
-                if part != at:
-                    yield from matched()
-                    at, held = part, []
-                held.append(data)
-            elif kind == 1:
-                missing, ids, *rest = np.frombuffer(data, np.int64).reshape(7, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), np.int32)), pa.array(ids, mask=missing.astype(bool)), *map(pa.array, rest)], names=names)
-            else:
+            if kind:
                 yield edges(*np.frombuffer(data, np.int64).reshape(2, -1))
+                continue
+            if part != at:
+                yield from matched()
+                at, held = part, []
+            held.append(data)
     yield from matched()
 
 
@@ -495,15 +484,16 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, de
         raise ValueError("the similarity must lie in (0, 1]")
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
-    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = int(max(1, -(-total // PART_BYTES)))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text), F.xxhash64(F.lit(97), text))
+    measured = cut(base.mapInArrow(_measure(words), _MEASURED))
+    sets = measured.where("slice < 0").select(id_or_last("id").alias("id"), "n", "node", "mark", "h", "g")
+    total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ranks = spark.sparkContext.broadcast(_order_of(measured))
+    parts = int(max(1, -(-(total * (den - num) // den + rows) // PART_KEYS)))
     tasks = min(parts, MOST_TASKS)
-    packed = base.select("id", "text", F.xxhash64("text"), F.xxhash64(F.lit(97), "text")).mapInArrow(_emit(words, num, den, parts), _PACKED)
+    packed = base.select("text").mapInArrow(_emit(words, num, den, parts, ranks), _PACKED)
     packed = packed.repartitionById(tasks, F.expr(f"cast(part % {tasks} as int)"))
-    found = cut((packed.sortWithinPartitions("part") if tasks < parts else packed).mapInArrow(_meet, _FOUND))
-    sets = found.where("kind = 1").select(id_or_last("id").alias("id"), "n", F.col("a").alias("node"), F.col("b").alias("mark"), "h", "g")
-    clusters = components(found.where("kind = 0").select("a", "b"))
+    clusters = components((packed.sortWithinPartitions("part") if tasks < parts else packed).mapInArrow(_meet, "a long, b long"))
 
     nodes = sets.where("n > 0").groupBy("node", "mark").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     # numbers that the checkpoint keeps: no two nodes share one
@@ -619,8 +609,8 @@ def _without(marked: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _run_tasks(tasks: DataFrame, num: int, den: int, total: int) -> DataFrame:
-    """``total``: bytes of the corpus, a bound on what the tasks read."""
-    n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-total // TASK_BYTES), MOST_TASKS))
+    """``total``: shingles of the corpus, a bound on what the tasks read."""
+    n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-8 * total // TASK_BYTES), MOST_TASKS))
     return tasks.repartition(n, "root", "task").sortWithinPartitions("root", "task", "side").mapInArrow(_join_blocks(num, den), "a long, b long")
 
 

@@ -182,16 +182,16 @@ def test_one_row_of_a_component_stays(spark):
 def test_hot_keys_and_parts_that_share_a_task(docs, corpus, monkeypatch):
     """Keys are sent in many small parcels, and several parts stand one after the other in a task."""
     monkeypatch.setattr(J, "HELD_KEYS", 50)
-    monkeypatch.setattr(J, "PART_BYTES", 2000)
+    monkeypatch.setattr(J, "PART_KEYS", 20)
     monkeypatch.setattr(J, "MOST_TASKS", 3)
     got = J.near_components(docs, words=2, num=60, den=100).collect()
     assert sorted(map(tuple, got)) == component_brute(list(enumerate(corpus)), 2, 60, 100)
 
 
 @given(st.integers(1, 100), st.integers(1, 99), st.data())
-@settings(max_examples=80, deadline=None)
+@settings(max_examples=150, deadline=None)
 def test_linked_sets_share_a_key(size, num, data):
-    """Whatever two linked sets are, they give a common key."""
+    """Whatever two linked sets are, and in whatever order shingles stand, they give a common key."""
     rng = np.random.default_rng(data.draw(st.integers(0, 10**6)))
     pool = np.unique(J.mix(rng.integers(1, 1 << 62, 300).astype(np.uint64)))
     a = pool[rng.permutation(len(pool))[:size]]
@@ -200,8 +200,9 @@ def test_linked_sets_share_a_key(size, num, data):
     both = len(np.intersect1d(a, b))
     if not len(b) or 100 * both < num * (len(a) + len(b) - both) or np.array_equal(a, b):
         return
-    keys, nodes = J.Buckets(num, 100).keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([1, 2]))
-    assert set(keys[nodes == 1].tolist()) & set(keys[nodes == 2].tolist())
+    ranks = rng.integers(0, 1 << data.draw(st.integers(0, 16)), 1 << J.COUNT_BITS).astype(np.uint16)
+    keys, who = J.prefix_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([0, 1]), ranks, num, 100)
+    assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
 
 
 def test_components_of_edges(spark):
