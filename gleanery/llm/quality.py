@@ -1,12 +1,13 @@
 """Quality rules: repetition and length rules, then n-gram perplexity bands of characters and of words.
 
 The language model is an interpolated modified Kneser-Ney model over runs of
-``ORDER`` characters, one per language, case kept. Spark counts every run of
-every document; continuation counts, counts of counts, discounts and back-off
-weights are aggregates over all of them, and every counted run is in the model,
-however rare. Its keys are 64-bit (four 16-bit character codes).
-Per language, documents whose log perplexity leaves the band around the
-median, in robust deviations, are rejected on either side.
+``ORDER`` characters, one per language and of that language's text alone, case
+kept. Spark counts every run of every document; continuation counts, counts of
+counts, discounts and back-off weights are aggregates over all of them, and
+every counted run is in the model, however rare. Its keys are 64-bit (four
+16-bit character codes) in sorted arrays. Per language, documents whose log
+perplexity leaves the band around the median, in robust deviations, are
+rejected on either side.
 
 Beside it stands a model of word unigrams per language, absolutely discounted:
 four characters of context learn the habits of junk that it was trained on,
@@ -16,11 +17,13 @@ does not make up for the rest. Documents above the word band are rejected.
 
 Scale. Counting pre-aggregates per task, so the shuffle carries distinct runs
 and words. What each costs stands in a table that grows with the corpus and is
-never in one place whole. The executors get what makes up 1/``COMMON`` of a
-language or more, which is bounded at any size and changes no result;
-occurrences of all else are joined to the table, so no key of that join is
-hot. Texts are read once for scoring and not shuffled. Bands come from a
-histogram with bins of fixed width. Languages are assumed to be few.
+never in one place whole. The executors get what makes up 1/``COMMON`` of all
+text or more, which is bounded at any size and for any number of languages and
+changes no result; occurrences of all else are joined to the table, so no key
+of that join is hot. Texts are read once for scoring and not shuffled. Bands
+come from a histogram with bins of fixed width. Statistics of languages are a
+table too; languages beyond the ``MOST_LANGUAGES`` with most documents share
+one model and one band.
 """
 
 from __future__ import annotations
@@ -31,20 +34,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .blocks import blocks, offsets_of
+from .blocks import blocks, offsets_of, tidy
 
 ORDER = 4
 #: Bins of log perplexity in the bands' histogram.
 BIN = 0.002
 #: Robust deviations (1.4826 times the median absolute deviation) below and above the median.
-BELOW, ABOVE = 6.0, 6.0
-#: The share of a language's words, and of its runs, that makes one common is 1 to this.
+BELOW, ABOVE = 6.0, 10.0
+#: The share of all words, and of all runs, that makes one common is 1 to this: so many are sent to the executors at most.
 COMMON, COMMON_RUNS = 1 << 20, 1 << 22
+#: Languages that have a model of their own.
+MOST_LANGUAGES = 1024
 #: How often a word counts in one document; the word band.
 REPEATS, WORDS_ABOVE = 3, 3.0
 #: Costs are whole numbers of this many to a nat, so that sums don't depend on their order.
@@ -52,10 +57,11 @@ UNITS = 1_000_000
 #: Rejected texts that are sent to the executors, more are joined by a shuffle.
 SENT = 1 << 18
 MARK = "__text_mark"
-#: Names the model of all languages; no language is called so.
-POOLED = "*"
+#: Names the model that the languages beyond ``MOST_LANGUAGES`` share; no language's key is like it.
+OTHERS = "*"
 #: Bytes of text that are worked on at once: the arrays of a block take about 80 times as much.
 WORK_BYTES = 1 << 20
+HELD_KEYS = 1_000_000  # of a language that a task gathers before it sends them
 START = 2  # stands before a text's first character
 
 _SPACE = np.zeros(256, bool)
@@ -116,6 +122,15 @@ def base_stats(texts: pa.Array) -> dict[str, np.ndarray]:
 # The language model
 
 
+def language_key(lang: Column, rows: DataFrame) -> Column:
+    """What a language is called inside: null, the empty string and any name have keys of their own."""
+    key = F.when(lang.isNull(), "").otherwise(F.concat(F.lit("="), lang))
+    first = rows.select(key.alias("l")).groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES + 1).collect()
+    if len(first) <= MOST_LANGUAGES:
+        return key
+    return F.when(key.isin([r.l for r in first[:MOST_LANGUAGES]]), key).otherwise(OTHERS)
+
+
 def run_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The key of the run that ends at each character, text after text, and the texts' bounds."""
     pad = chr(START) * (ORDER - 1)
@@ -132,7 +147,7 @@ def run_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep].view(np.int64), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def word_keys(texts: pa.Array, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+def word_keys(texts: pa.Array, lang: str) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word and its language, text after text, and the number of the word's text."""
     import pandas as pd
 
@@ -140,28 +155,28 @@ def word_keys(texts: pa.Array, lang: str | None) -> tuple[np.ndarray, np.ndarray
     flat, doc = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(offsets_of(split)))
     real = pc.greater(pc.binary_length(flat), 0)
     number, words = _encode(flat.filter(real))
-    salt = pd.util.hash_array(np.array([repr(lang)], object), categorize=False)
+    salt = pd.util.hash_array(np.array([lang], object), categorize=False)
     keys = pd.util.hash_array(words.astype(object), categorize=False) * np.uint64(0x9E3779B97F4A7C15) ^ salt
     return keys.view(np.int64)[number], doc[real.to_numpy(zero_copy_only=False)]
 
 
-def _runs_of(texts: list[str], lang: str | None) -> np.ndarray:
+def _runs_of(texts: list[str], lang: str) -> np.ndarray:
     return run_keys(texts)[0]
 
 
-def _words_of(texts: list[str], lang: str | None) -> np.ndarray:
+def _words_of(texts: list[str], lang: str) -> np.ndarray:
     return word_keys(pa.array(texts, pa.string()), lang)[0]
 
 
 def _count(keys_of: Callable) -> Callable:
-    """Rows (lang, key, n): the counts of the keys that ``keys_of`` finds in a task's texts."""
+    """Rows (l, key, n): the counts of the keys that ``keys_of`` finds in a task's texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def out(lang) -> pa.RecordBatch:
             keys, counts = held.pop(lang)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["l", "key", "n"])
 
         for block in blocks(batches, 1, WORK_BYTES):
             langs = block.column(0).to_pylist()
@@ -175,13 +190,13 @@ def _count(keys_of: Callable) -> Callable:
                     number, keys = _encode(keys)
                     counts = np.bincount(number, counts, minlength=len(keys)).astype(np.int64)
                 held[lang] = (keys, counts)
-                if len(keys) > 2_000_000:
+                if len(keys) > HELD_KEYS:
                     yield out(lang)
         for lang in list(held):
             if len(held[lang][0]):
                 yield out(lang)
 
-    return count
+    return tidy(count)
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -193,183 +208,126 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.1), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-class Model:
-    """A model that fits one process. Per language and order: sorted keys with their probability above back-off, sorted contexts with their weights."""
+def _discount(n: Column) -> Column:
+    """The same over columns n1 to n4, for a run that was counted ``n`` times."""
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    of = lambda k, lower, upper: F.least(F.greatest(k - (k + 1) * y * F.col(upper) / F.col(lower), F.lit(0.1)), F.lit(float(k)))
+    known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    fine = F.when(n == 1, of(1, "n1", "n2")).when(n == 2, of(2, "n2", "n3")).otherwise(of(3, "n3", "n4"))
+    return F.when(known, fine).otherwise(F.least(n, F.lit(3)) / 2)
 
-    def __init__(self):
-        self.grams: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.weights: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.floor: dict[str | None, float] = {}
 
-    @staticmethod
-    def _find(table, keys: np.ndarray, absent: float) -> np.ndarray:
-        if table is None or not len(table[0]):
-            return np.full(len(keys), absent)
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return np.where(table[0][at] == keys, table[1][at], absent)
+def _with_language(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Statistics of languages beside rows: at most ``MOST_LANGUAGES`` and one."""
+    return rows.join(F.broadcast(stats), "l")
 
-    def log_p(self, lang, keys: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each run's last character after those before it."""
-        keys = keys.view(np.uint64)
-        p = np.full(len(keys), self.floor.get(lang, 1.0))
-        for n in range(1, ORDER + 1):
-            run = keys & np.uint64((1 << 16 * n) - 1)
-            context = run >> np.uint64(16)
-            p = self._find(self.grams.get((lang, n)), run, 0.0) + self._find(self.weights.get((lang, n)), context, 1.0) * p
-        return np.log(np.maximum(p, 1e-12))
 
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(language_key(F.col(f"`{lang_col}`").cast("string"), docs).alias("l"), F.col(f"`{text_col}`").cast("string"))
 
-def _orders(docs: DataFrame, text_col: str, lang_col: str, entries: int | None = None) -> Iterator[tuple[int, list, DataFrame, DataFrame]]:
-    """From ``ORDER`` down: totals, runs (count, probability above back-off, weight of the context), contexts with their weights.
 
-    The null language is called ''. With ``entries``, runs under 1/``entries`` of their order's total are left out.
-    """
-    found = docs.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_count(_runs_of), "lang string, key long, n long")
-    own = found.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    # a run's count over all languages stands as one more language
-    table = cut(own.withColumn("lang", F.explode(F.array("lang", F.lit(POOLED)))).groupBy("lang", "key").agg(F.sum("n").alias("n")))
+def _orders(texts: DataFrame) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """From ``ORDER`` down: statistics of languages, and runs (count, probability above back-off, weight of the context)."""
+    found = texts.mapInArrow(_count(_runs_of), "l string, key long, n long")
+    table = cut(found.groupBy("l", "key").agg(F.sum("n").alias("n")))
     for n in range(ORDER, 0, -1):
         if n < ORDER:
             # how many different characters stand before the run
-            table = cut(table.groupBy("lang", F.col("key").bitwiseAND((1 << 16 * n) - 1).alias("key")).agg(F.count("*").alias("n")))
-        totals = table.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).collect()
-        if not totals:
-            return
-        # the pooled counts are as many again: no more than twice ``entries`` stay
-        least = max(1, -(-sum(r.total for r in totals if r.lang == POOLED) // entries)) if entries else 1
-        cuts = F.create_map(*[x for r in totals for x in (F.lit(r.lang or ""), F.array(*[F.lit(float(d)) for d in _discounts([r.n1, r.n2, r.n3, r.n4])]))])
-        d = F.element_at(F.element_at(cuts, F.coalesce("lang", F.lit(""))), F.least(F.col("n"), F.lit(3)).cast("int"))
-        rows = table.select(F.coalesce("lang", F.lit("")).alias("l"), "key", "n", F.shiftrightunsigned("key", 16).alias("context"), (F.col("n") - d).alias("rest"))
-        sums = rows.groupBy("l", "context").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= least, F.col("rest"))).alias("kept"))
-        sums = sums.where("kept IS NOT NULL").withColumn("weight", 1 - F.col("kept") / F.col("all"))
-        runs = rows.where(F.col("n") >= least).join(sums, ["l", "context"]).select("l", "key", "n", (F.col("rest") / F.col("all")).alias("p"), "weight")
-        yield n, totals, runs, sums.select("l", F.col("context").alias("key"), F.col("weight").alias("p"))
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entries: int | None = None) -> Model:
-    """Counts all runs of all documents and collects the model; ``entries`` keeps those with 1/``entries`` of their order's total."""
-    model = Model()
-    for n, totals, runs, weights in _orders(docs, text_col, lang_col, entries):
-        for frame, into in ((runs, model.grams), (weights, model.weights)):
-            got = frame.select("l", "key", "p").toArrow()
-            l, key, p = got.column("l").to_numpy(), got.column("key").to_numpy().view(np.uint64), got.column("p").to_numpy()
-            for r in totals:
-                mine = np.flatnonzero(l == (r.lang or ""))
-                mine = mine[np.argsort(key[mine])]
-                into[(r.lang, n)] = (key[mine], p[mine].astype(np.float32))
-        if n == 1:
-            model.floor = {r.lang: 1.0 / (r.kinds + 1) for r in totals}
-    return model
+            table = cut(table.groupBy("l", F.col("key").bitwiseAND((1 << 16 * n) - 1).alias("key")).agg(F.count("*").alias("n")))
+        stats = table.groupBy("l").agg(F.count("*").alias("kinds"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)])
+        rows = _with_language(table, stats).select("l", "key", "n", F.shiftrightunsigned("key", 16).alias("context"), (F.col("n") - _discount(F.col("n"))).alias("rest"))
+        sums = rows.groupBy("l", "context").agg(F.sum("n").alias("all"), (1 - F.sum("rest") / F.sum("n")).alias("weight"))
+        yield n, stats, rows.join(sums, ["l", "context"]).select("l", "key", "n", (F.col("rest") / F.col("all")).alias("p"), "weight")
 
 
 def run_costs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON_RUNS) -> tuple[DataFrame, dict]:
-    """What every run costs by its language's model (``own``) and by the pooled one, in ``UNITS``; per language the common runs' sorted keys and costs.
+    """What every run costs by its language's model, in ``UNITS``; per language the common runs' sorted keys and costs.
 
     From the lowest order up, a run's probability is that above back-off and
     its context's weight times the probability of the run without its first
     character, which was counted as well.
     """
-    orders = list(_orders(docs, text_col, lang_col))
-    if not orders:
-        return docs.sparkSession.createDataFrame([], "l string, key long, own long, pooled long"), {}
+    orders = list(_orders(_texts(docs, text_col, lang_col)))
     full = None
-    for n, totals, runs, _ in reversed(orders):
+    for n, stats, runs in reversed(orders):
         if full is None:
-            floor = F.element_at(F.create_map(*[x for r in totals for x in (F.lit(r.lang or ""), F.lit(1.0 / (r.kinds + 1)))]), F.col("l"))
-            full = runs.select("l", "key", "n", (F.col("p") + F.col("weight") * floor).alias("p"))
+            full = _with_language(runs, stats).select("l", "key", "n", (F.col("p") + F.col("weight") / (F.col("kinds") + 1)).alias("p"))
         else:
             lower = full.select("l", F.col("key").alias("end"), F.col("p").alias("less"))
             runs = runs.withColumn("end", F.col("key").bitwiseAND((1 << 16 * (n - 1)) - 1))
             full = runs.join(lower, ["l", "end"]).select("l", "key", "n", (F.col("p") + F.col("weight") * F.col("less")).alias("p"))
-    full = full.select("l", "key", "n", F.round(-F.log("p") * UNITS).cast("long").alias("cost"))
-    pooled = full.where(F.col("l") == POOLED).select("key", F.col("cost").alias("pooled"))
-    totals = [r for r in orders[0][1] if r.lang != POOLED]
-    least = F.element_at(F.create_map(*[x for r in totals for x in (F.lit(r.lang or ""), F.lit(-(-r.total // common)))]), F.col("l"))
-    costs = cut(full.where(F.col("l") != POOLED).join(pooled, "key").select("l", "key", F.col("cost").alias("own"), "pooled", (F.col("n") >= least).alias("common")))
-    got = costs.where("common").toArrow()
-    l, key = got.column("l").to_numpy(), got.column("key").to_numpy()
-    prices = [got.column(c).to_numpy().astype(np.int32) for c in ("own", "pooled")]
-    sent = {}
-    for r in totals:
-        mine = np.flatnonzero(l == (r.lang or ""))
-        mine = mine[np.argsort(key[mine])]
-        sent[r.lang] = (key[mine], *[x[mine] for x in prices])
-    return costs.where("NOT common").drop("common"), sent
-
-
-def _look_up(table: tuple, keys: np.ndarray) -> tuple:
-    """Which keys the table has, and the values of those in each of its columns (0: absent)."""
+    return _split(full.select("l", "key", "n", F.round(-F.log("p") * UNITS).cast("long").alias("cost")), common)
+
+
+def _split(costs: DataFrame, common: int) -> tuple[DataFrame, dict]:
+    """Costs of the rare keys as a table, and those of the common ones in sorted arrays per language."""
+    costs = cut(costs)
+    total = costs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(1, -(-total // common))
+    got = costs.where(F.col("n") >= least).select("l", "key", "cost").orderBy("l", "key").toArrow()
+    l = got.column("l").combine_chunks().dictionary_encode()
+    key, price, code = got.column("key").to_numpy(), got.column("cost").to_numpy().astype(np.int32), l.indices.to_numpy(zero_copy_only=False)
+    sent = {name: (key[code == i], price[code == i]) for i, name in enumerate(l.dictionary.to_pylist())}
+    return costs.where(F.col("n") < least).select("l", "key", "cost"), sent
+
+
+def _look_up(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the table has, and their costs (0: absent)."""
     if not len(table[0]):
-        return np.zeros(len(keys), bool), *[np.zeros(len(keys), np.int64) for _ in table[1:]]
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
     at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
     known = table[0][at] == keys
-    return known, *[np.where(known, x[at], 0).astype(np.int64) for x in table[1:]]
+    return known, np.where(known, table[1][at], 0).astype(np.int64)
 
 
-def _run_sums(texts: list[str], langs: list, common: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of each text: characters, the cost of sentences whose runs are all common, and the other sentences.
+def _lists(keys: np.ndarray, docs: np.ndarray, n: int) -> pa.Array:
+    """A list of keys for each of ``n`` texts."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[np.argsort(docs, kind="stable")], pa.int64()))
 
-    A sentence costs what its language's model or that of all languages gives,
-    whichever is less: a passage in another language is no junk. Of the other
-    sentences: the cost of their common runs by either model, the keys of the others.
-    """
-    none = np.zeros(0, np.int64)
-    size, cost = np.array([len(t) for t in texts], np.int64), np.zeros(len(texts), np.int64)
-    open_docs, open_own, open_pooled, open_sizes, open_keys = ([none] for _ in range(5))
+
+def _by_language(langs: list) -> Iterator[tuple[str, np.ndarray]]:
     for lang in dict.fromkeys(langs):
-        at = np.array([i for i, other in enumerate(langs) if other == lang])
+        yield lang, np.array([i for i, other in enumerate(langs) if other == lang])
+
+
+_NONE = (np.zeros(0, np.int64),) * 2
+
+
+def _run_sums(texts: list[str], langs: list, common: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text: characters, the cost of its common runs, keys of the others."""
+    n = len(texts)
+    size, cost = np.array([len(t) for t in texts], np.int64), np.zeros(n, np.int64)
+    rare_keys, rare_docs = [_NONE[0]], [_NONE[0]]
+    for lang, at in _by_language(langs):
         keys, bounds = run_keys([texts[i] for i in at])
         if not len(keys):
             continue
         number, distinct = _encode(keys)
-        known, own, pooled = _look_up(common.get(lang, (none,) * 3), distinct)
-        last = keys & 0xFFFF
-        ends = (last == ord("\n")) | (last == ord("."))
-        starts = np.unique(np.concatenate([bounds[:-1][np.diff(bounds) > 0], np.flatnonzero(ends[:-1]) + 1]))
-        own, pooled = (np.add.reduceat(x[number], starts) for x in (own, pooled))
-        rare = ~known[number]
-        rares = np.add.reduceat(rare.astype(np.int64), starts)
-        doc = at[np.searchsorted(bounds, starts, "right") - 1]
-        whole = rares == 0
-        np.add.at(cost, doc[whole], np.minimum(own, pooled)[whole])
-        for into, x in ((open_docs, doc[~whole]), (open_own, own[~whole]), (open_pooled, pooled[~whole]), (open_sizes, rares[~whole]), (open_keys, keys[rare])):
-            into.append(x)
-    doc, own, pooled, sizes, keys = map(np.concatenate, (open_docs, open_own, open_pooled, open_sizes, open_keys))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys, pa.int64()))
-    order = np.argsort(doc, kind="stable")
-    rows = pa.StructArray.from_arrays([pa.array(own[order]), pa.array(pooled[order]), lists.take(pa.array(order))], names=["own", "pooled", "keys"])
-    return size, cost, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]), pa.int32()), rows)
+        known, price = _look_up(common.get(lang, _NONE), distinct)
+        cost[at] = np.diff(np.concatenate([[0], np.cumsum(price[number])])[bounds])
+        rare = np.flatnonzero(~known[number])
+        rare_keys.append(keys[rare])
+        rare_docs.append(at[np.searchsorted(bounds, rare, "right") - 1])
+    return size, cost, _lists(np.concatenate(rare_keys), np.concatenate(rare_docs), n)
 
 
 def word_costs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> tuple[DataFrame, dict]:
-    """The cost (negative log probability in ``UNITS``) of every word, by its key; per language the common words' sorted keys and costs."""
-    found = docs.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_count(_words_of), "lang string, key long, n long")
-    counts = cut(found.groupBy("lang", "key").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)]).collect()
-    cost, least = F.lit(0.0), F.lit(0)
-    for r in totals:
-        mine = F.col("lang").eqNullSafe(F.lit(r.lang))
-        discount = min(max(r.n1 / (r.n1 + 2 * r.n2), 0.1), 0.9) if r.n1 and r.n2 else 0.5
-        cost = F.when(mine, -F.log((F.col("n") - discount) / r.total)).otherwise(cost)
-        least = F.when(mine, F.lit(-(-r.total // common))).otherwise(least)
-    costs = counts.select("lang", "key", F.round(cost * UNITS).cast("long").alias("cost"), (F.col("n") >= least).alias("common"))
-    got = costs.where("common").select("lang", "key", "cost").toArrow()
-    lang, key, price = got.column("lang").to_numpy(), got.column("key").to_numpy(), got.column("cost").to_numpy()
-    sent = {}
-    for r in totals:
-        mine = np.flatnonzero(np.equal(lang, r.lang))
-        mine = mine[np.argsort(key[mine])]
-        sent[r.lang] = (key[mine], price[mine])
-    return costs.where("NOT common").select("key", "cost"), sent
+    """The cost (negative log probability in ``UNITS``) of every word, by language and key; per language the common words' sorted keys and costs."""
+    found = _texts(docs, text_col, lang_col).mapInArrow(_count(_words_of), "l string, key long, n long")
+    counts = cut(found.groupBy("l", "key").agg(F.sum("n").alias("n")))
+    stats = counts.groupBy("l").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)])
+    discount = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.least(F.greatest(F.col("n1") / (F.col("n1") + 2 * F.col("n2")), F.lit(0.1)), F.lit(0.9))).otherwise(0.5)
+    cost = F.round(-F.log((F.col("n") - discount) / F.col("total")) * UNITS).cast("long")
+    return _split(_with_language(counts, stats).select("l", "key", "n", cost.alias("cost")), common)
 
 
 def _word_sums(texts: pa.Array, langs: list, common: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of each text: words that count, the cost of the common ones, keys of the others (as often as they count)."""
     n = len(texts)
     counted, cost = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    rare_keys, rare_docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lang in dict.fromkeys(langs):
-        at = np.array([i for i, other in enumerate(langs) if other == lang])
+    rare_keys, rare_docs = [_NONE[0]], [_NONE[0]]
+    for lang, at in _by_language(langs):
         keys, doc = word_keys(texts.take(pa.array(at)), lang)
         if not len(keys):
             continue
@@ -377,19 +335,17 @@ def _word_sums(texts: pa.Array, langs: list, common: dict) -> tuple[np.ndarray,
         pair, pairs = _encode(doc * len(distinct) + number)
         times = np.minimum(np.bincount(pair), REPEATS)
         doc, number = at[pairs // len(distinct)], pairs % len(distinct)
-        known, price = _look_up(common.get(lang, (np.zeros(0, np.int64),) * 2), distinct)
+        known, price = _look_up(common.get(lang, _NONE), distinct)
         np.add.at(counted, doc, times)
         np.add.at(cost, doc, times * price[number])
         rare = ~known[number]
         rare_keys.append(np.repeat(distinct[number[rare]], times[rare]))
         rare_docs.append(np.repeat(doc[rare], times[rare]))
-    docs, keys = np.concatenate(rare_docs), np.concatenate(rare_keys)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))])
-    return counted, cost, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[np.argsort(docs, kind="stable")], pa.int64()))
+    return counted, cost, _lists(np.concatenate(rare_keys), np.concatenate(rare_docs), n)
 
 
 def score(docs: DataFrame, runs: tuple[DataFrame, dict], words: tuple[DataFrame, dict], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: id, language, base statistics, ``loss`` (log perplexity per character), ``word_loss`` (per word; both null without text) and a hash of language and text."""
+    """Per row: id, language key, base statistics, ``loss`` (log perplexity per character), ``word_loss`` (per word; both null without text) and a hash of language and text."""
     shared = docs.sparkSession.sparkContext.broadcast((runs[1], words[1]))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -398,41 +354,38 @@ def score(docs: DataFrame, runs: tuple[DataFrame, dict], words: tuple[DataFrame,
         for block in blocks(batches, 2, WORK_BYTES):
             texts, langs = pc.fill_null(block.column(2), ""), block.column(1).to_pylist()
             stats = base_stats(texts)
-            size, run_cost, sentences = _run_sums(texts.to_pylist(), langs, shared.value[0])
-            counted, cost, rare = _word_sums(texts, langs, shared.value[1])
+            size, run_cost, rare_runs = _run_sums(texts.to_pylist(), langs, shared.value[0])
+            counted, cost, rare_words = _word_sums(texts, langs, shared.value[1])
             rows = pa.array(np.arange(row, row + len(texts)))
             row += len(texts)
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(stats[n], pa.int64()) for n in names], block.column(3), rows, pa.array(size), pa.array(run_cost), sentences, pa.array(counted), pa.array(cost), rare], names=schema.names)
-
-    long = T.LongType()
-    sentence = T.StructType([T.StructField("own", long), T.StructField("pooled", long), T.StructField("keys", T.ArrayType(long))])
-    schema = T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), *[T.StructField(n, long) for n in names], T.StructField(MARK, long), T.StructField("__row", long),
-        T.StructField("__size", long), T.StructField("__runs", long), T.StructField("__open", T.ArrayType(sentence)), T.StructField("__counted", long), T.StructField("__cost", long), T.StructField("__rare", T.ArrayType(long)),
-    ])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(stats[n], pa.int64()) for n in names], block.column(3), rows, pa.array(size), pa.array(run_cost), rare_runs, pa.array(counted), pa.array(cost), rare_words], names=schema.names)
+
+    long, keys = T.LongType(), T.ArrayType(T.LongType())
+    made = {"n_words": long, "word_chars": long, "n_symbols": long, "n_dup_lines": long, "n_repeat_words": long, MARK: long, "__row": long, "__size": long, "__runs": long, "__rare_runs": keys, "__counted": long, "__cost": long, "__rare_words": keys}
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("l", T.StringType()), *[T.StructField(k, v) for k, v in made.items()]])
     lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     # kept between jobs: row numbers hold only as long as the rows stand as they are
-    found = cut(docs.select(F.col(f"`{id_col}`"), lang, text, F.xxhash64(lang, text)).mapInArrow(run, schema))
-    rare = found.select("__row", F.explode("__rare").alias("key")).join(words[0], "key").groupBy("__row").agg(F.sum("cost").alias("__more"))
-    parts = found.select("__row", F.coalesce("lang", F.lit("")).alias("l"), F.posexplode("__open").alias("at", "s"))
-    asked = parts.select("__row", "at", "l", F.explode("s.keys").alias("key")).join(runs[0], ["l", "key"])
-    sums = parts.select("__row", "at", "s.own", "s.pooled").unionByName(asked.select("__row", "at", "own", "pooled"))
-    sums = sums.groupBy("__row", "at").agg(F.least(F.sum("own"), F.sum("pooled")).alias("cost")).groupBy("__row").agg(F.sum("cost").alias("__rest"))
-    mean = lambda known, more, n: F.when(F.col(n) > 0, (F.col(known) + F.coalesce(more, F.lit(0))) / F.lit(float(UNITS)) / F.col(n))
-    out = found.drop("__rare", "__open").join(rare, "__row", "left").join(sums, "__row", "left")
-    return out.select(id_col, "lang", *names, mean("__runs", "__rest", "__size").alias("loss"), mean("__cost", "__more", "__counted").alias("word_loss"), MARK)
+    found = cut(docs.select(F.col(f"`{id_col}`"), language_key(lang, docs).alias("l"), text, F.xxhash64(lang, text)).mapInArrow(tidy(run), schema))
+
+    def more(column: str, table: DataFrame, into: str) -> DataFrame:
+        asked = found.where(F.size(column) > 0).select("__row", "l", F.explode(column).alias("key"))
+        return asked.join(table, ["l", "key"]).groupBy("__row").agg(F.sum("cost").alias(into))
+
+    mean = lambda known, rest, n: F.when(F.col(n) > 0, (F.col(known) + F.coalesce(rest, F.lit(0))) / F.lit(float(UNITS)) / F.col(n))
+    out = found.drop("__rare_runs", "__rare_words").join(more("__rare_runs", runs[0], "__r"), "__row", "left").join(more("__rare_words", words[0], "__w"), "__row", "left")
+    return out.select(id_col, "l", *names, mean("__runs", "__r", "__size").alias("loss"), mean("__cost", "__w", "__counted").alias("word_loss"), MARK)
 
 
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE, loss: str = "loss") -> dict[str | None, tuple[float, float]]:
+def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE, loss: str = "loss") -> dict[str, tuple[float, float]]:
     """Per language the lowest and highest loss that is kept, from all documents that pass the base rules."""
-    histogram = scored.where(~base_failed() & F.col(loss).isNotNull()).groupBy("lang", F.floor(F.col(loss) / BIN).alias("bin")).count().collect()
+    histogram = scored.where(~base_failed() & F.col(loss).isNotNull()).groupBy("l", F.floor(F.col(loss) / BIN).alias("bin")).count().collect()
     out = {}
-    for lang in {r.lang for r in histogram}:
-        at, n = map(np.array, zip(*sorted((r.bin, r["count"]) for r in histogram if r.lang == lang), strict=True))
+    for lang in {r.l for r in histogram}:
+        at, n = map(np.array, zip(*sorted((r.bin, r["count"]) for r in histogram if r.l == lang), strict=True))
         x = (at + 0.5) * BIN
         middle = _middle(x, n)
         spread = max(1.4826 * _middle(np.abs(x - middle), n), BIN)
@@ -449,10 +402,10 @@ def _middle(x: np.ndarray, n: np.ndarray) -> float:
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, below: float, above: float, words_above: float, common: int, common_runs: int) -> DataFrame:
     scored = cut(score(docs, run_costs(docs, text_col, lang_col, common_runs), word_costs(docs, text_col, lang_col, common), id_col, text_col, lang_col))
     limits, most = bands(scored, below, above), bands(scored, 0.0, words_above, "word_loss")
-    inside = F.lit(False)
-    for lang, (low, high) in limits.items():
-        inside = inside | (F.col("lang").eqNullSafe(F.lit(lang)) & F.col("loss").between(low, high) & (F.col("word_loss") <= most[lang][1]))
-    return scored.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & F.coalesce(inside, F.lit(False))})
+    rows = [(lang, low, high, most[lang][1]) for lang, (low, high) in limits.items()]
+    limits = docs.sparkSession.createDataFrame(rows, "l string, low double, high double, word_high double")
+    inside = F.coalesce(F.col("loss").between(F.col("low"), F.col("high")) & (F.col("word_loss") <= F.col("word_high")), F.lit(False))
+    return scored.join(F.broadcast(limits), "l", "left").withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside}).drop("low", "high", "word_high")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON, common_runs: int = COMMON_RUNS) -> DataFrame:
@@ -468,7 +421,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Other input columns are not looked at.
     """
     found = _verdicts(docs, id_col, text_col, lang_col, below, above, words_above, common, common_runs)
-    return found.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "loss", "word_loss")
+    return found.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "loss", "word_loss")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE, words_above: float = WORDS_ABOVE, common: int = COMMON, common_runs: int = COMMON_RUNS) -> DataFrame:

@@ -261,25 +261,78 @@ def kn_brute(texts):
     return p
 
 
-def test_model_is_kneser_ney(spark):
-    texts = ["abracadabra abra", "cadabra bar", "a bar abba"] * 2 + ["zebra"]
-    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    model, p = Q.train(docs), kn_brute(texts)
-    for t in ("abra", "zzz", "bar a"):
-        keys, _ = Q.run_keys([t])
-        s = chr(Q.START) * 3 + t
-        want = [math.log(p(s[i - 3 : i + 1])) for i in range(3, len(s))]
-        assert np.allclose(model.log_p("en", keys), want, atol=1e-5)
-
-
-def test_pruned_model_is_bounded_and_sums_to_one(spark):
-    rng = np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("abcdefgh "), 400, p=[0.3, 0.2, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05, 0.1])) for _ in range(20)]
-    model = Q.train(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string"), entries=200)
-    assert all(len(k) <= 200 for (_, n), (k, _) in model.grams.items())
-    context = "abc"
-    total = sum(math.exp(model.log_p("x", np.array([int.from_bytes(b"".join(ord(c).to_bytes(2, "big") for c in context + w), "big")], np.uint64))[0]) for w in "abcdefgh ")
-    assert 0.9 < total <= 1.001
+def judge_brute(rows):
+    """(n_words, base_failed, kept, loss, word_loss) of (text, lang) rows, by the plain models and medians."""
+    texts = [t or "" for t, _ in rows]
+    by = defaultdict(list)
+    for i, (_, lang) in enumerate(rows):
+        by[lang].append(i)
+    stats = [stats_brute(t) for t in texts]
+    failed = [s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"] for s in stats]
+    loss, word_loss, kept = [None] * len(rows), [None] * len(rows), [False] * len(rows)
+    for at in by.values():
+        p, cost = kn_brute([texts[i] for i in at]), {}
+        counts = Counter(w for i in at for w in texts[i].encode().split())
+        n1, n2, total = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()), sum(counts.values())
+        d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 and n2 else 0.5
+        for i in at:
+            s = chr(Q.START) * 3 + texts[i]
+            runs = [s[k - 3 : k + 1] for k in range(3, len(s))]
+            for r in set(runs) - set(cost):
+                cost[r] = round(-math.log(p(r)) * Q.UNITS)
+            words = Counter(texts[i].encode().split())
+            count = {w: min(c, Q.REPEATS) for w, c in words.items()}
+            if runs:
+                loss[i] = sum(cost[r] for r in runs) / Q.UNITS / len(runs)
+            if count:
+                word_loss[i] = sum(c * round(-math.log((counts[w] - d) / total) * Q.UNITS) for w, c in count.items()) / Q.UNITS / sum(count.values())
+        good = [i for i in at if not failed[i]]
+        if not good:
+            continue
+
+        def band(x, low, high):
+            x = np.sort((np.floor(np.array(x) / Q.BIN) + 0.5) * Q.BIN)
+            middle = x[np.searchsorted(np.arange(1, len(x) + 1), len(x) / 2)]
+            far = np.sort(np.abs(x - middle))
+            spread = max(1.4826 * far[np.searchsorted(np.arange(1, len(x) + 1), len(x) / 2)], Q.BIN)
+            return middle - low * spread, middle + high * spread
+
+        low, high = band([loss[i] for i in good], Q.BELOW, Q.ABOVE)
+        most = band([word_loss[i] for i in good], 0, Q.WORDS_ABOVE)[1]
+        for i in good:
+            kept[i] = low <= loss[i] <= high and word_loss[i] <= most
+    return [(s["n_words"], f, k, a, b) for s, f, k, a, b in zip(stats, failed, kept, loss, word_loss, strict=True)]
+
+
+def test_verdicts_match_brute_force(spark):
+    """Bands of every language, those called null, nothing, a star and an equals sign among them, by plain models."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for lang in ("en", None, "", "*", "="):
+        words = ["".join(rng.choice(list("aeioulnrstbc"), rng.integers(2, 7))) for _ in range(60)]
+        for k in range(24):
+            text = " ".join(rng.choice(words, rng.integers(40, 90)))
+            if k % 8 == 3:
+                text = " ".join("".join(rng.choice(list("#$%&*qxzjkv"), 6)) for _ in range(60))
+            rows.append((len(rows), text + ("\n" + text if k % 11 == 5 else ""), lang))
+    rows.append((len(rows), None, "en"))
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), common=500, common_runs=300).collect()}
+    want = judge_brute([(t, lang) for _, t, lang in rows])
+    assert 0 < sum(w[2] for w in want) < len(want) - sum(w[1] for w in want)
+    for i, (n, failed, kept, loss, word_loss) in enumerate(want):
+        r = got[i]
+        assert (r.n_words, r.base_failed, r.kept) == (n, failed, kept)
+        assert (loss is None) == (r.loss is None) and (loss is None or abs(r.loss - loss) < 1e-5)
+        assert (word_loss is None) == (r.word_loss is None) and (word_loss is None or abs(r.word_loss - word_loss) < 1e-5)
+
+
+def test_languages_beyond_the_bound_share_a_model(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MOST_LANGUAGES", 2)
+    rows = [(i, f"some words of number {i} " * 20, f"l{i % 5 if i % 2 else 0}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shared = {r.l for r in docs.select(Q.language_key(F.col("lang"), docs).alias("l")).distinct().collect()}
+    assert len(shared) == 3 and Q.OTHERS in shared
+    assert Q.judge(docs).count() == 40
 
 
 def test_clean_stays_and_junk_goes(spark):
@@ -292,6 +345,9 @@ def test_clean_stays_and_junk_goes(spark):
     kept = {r.doc_id for r in Q.judge(docs).where("kept").collect()}
     assert sum(i in kept for i in range(200)) >= 198 and not kept & set(range(1000, 1006))
     assert {r.doc_id for r in Q.keep_good(docs).collect()} == kept
+    # a text in a language that isn't its own leaves the band of that language
+    wrong = docs.unionByName(docs.where("doc_id = 2003").selectExpr("9000 AS doc_id", "text", "'en' AS lang", "source", "n_chars"))
+    assert [r.kept for r in Q.judge(wrong).where("doc_id = 9000").collect()] == [False]
 
 
 def test_quality_of_odd_rows(odd, nothing):
