@@ -85,11 +85,24 @@ def _of_strings(strings: set[bytes]) -> tuple:
     return _either(options)
 
 
-def _sequence(items) -> tuple[set[bytes] | None, tuple]:
+def _alone(code: int, flags: int) -> bytes | None:
+    """The folded bytes that a character matches; None where it also matches others than its ASCII cases.
+
+    With case ignored outside ASCII, a character may match any that Unicode
+    folds to it, even an ASCII one: k the Kelvin sign, s the long s, i the
+    dotted and the dotless i.
+    """
+    c = chr(code)
+    if flags & re.IGNORECASE and not flags & re.ASCII and (not c.isascii() or c.lower() in "ksi"):
+        return None
+    return fold(c.encode())
+
+
+def _sequence(items, flags: int) -> tuple[set[bytes] | None, tuple]:
     """The strings that the items match, if few; else None and a query that holds for each match."""
     now, query, whole = {b""}, ALL, True
     for op, arg in items:
-        exact, sub = _item(op, arg)
+        exact, sub = _item(op, arg, flags)
         if exact is not None and len(exact) * len(now) <= _MOST_STRINGS and max(map(len, exact)) + max(map(len, now)) <= _LONGEST:
             now = {a + b for a in now for b in exact}
             continue
@@ -101,31 +114,34 @@ def _sequence(items) -> tuple[set[bytes] | None, tuple]:
     return (now, ALL) if whole else (None, _both(query, _of_strings(now)))
 
 
-def _item(op, arg) -> tuple[set[bytes] | None, tuple]:
+def _item(op, arg, flags: int) -> tuple[set[bytes] | None, tuple]:
     if op is sre.LITERAL:
-        return {fold(chr(arg).encode())}, ALL
+        one = _alone(arg, flags)
+        return (None, ALL) if one is None else ({one}, ALL)
     if op is sre.AT or op in (sre.ASSERT, sre.ASSERT_NOT):
         return {b""}, ALL
     if op is sre.IN:
-        chars: set[bytes] = set()
+        codes: list[int] = []
         for kind, value in arg:
             if kind is sre.LITERAL:
-                chars.add(fold(chr(value).encode()))
+                codes.append(value)
             elif kind is sre.RANGE and value[1] - value[0] <= _LARGEST_CLASS:
-                chars |= {fold(chr(c).encode()) for c in range(value[0], value[1] + 1)}
+                codes += range(value[0], value[1] + 1)
             else:
                 return None, ALL
-        return (chars, ALL) if 0 < len(chars) <= _LARGEST_CLASS else (None, ALL)
+        chars = {_alone(c, flags) for c in codes}
+        return (chars, ALL) if 0 < len(chars) <= _LARGEST_CLASS and None not in chars else (None, ALL)
     if op is sre.SUBPATTERN:
-        return _sequence(arg[3])
+        _, more, less, inner = arg
+        return _sequence(inner, (flags | more) & ~less)
     if op is sre.BRANCH:
-        parts = [_sequence(p) for p in arg[1]]
+        parts = [_sequence(p, flags) for p in arg[1]]
         if all(e is not None for e, _ in parts) and len(u := set().union(*(e for e, _ in parts))) <= _MOST_STRINGS:
             return u, ALL
         return None, _either([_of_strings(e) if e is not None else q for e, q in parts])
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
         least, most, inner = arg
-        exact, sub = _sequence(inner)
+        exact, sub = _sequence(inner, flags)
         if (least, most) == (0, 1) and exact is not None:
             return exact | {b""}, ALL
         if least == 0:
@@ -143,7 +159,8 @@ def _item(op, arg) -> tuple[set[bytes] | None, tuple]:
 
 def trigram_query(pattern: str) -> tuple:
     """``("all",)``, ``("gram", g)``, ``("and", ..)`` or ``("or", ..)``: true of every text with a match."""
-    exact, query = _sequence(sre_parse.parse(pattern))
+    tree = sre_parse.parse(pattern)
+    exact, query = _sequence(tree, tree.state.flags)
     return _of_strings(exact) if exact is not None else query
 
 
@@ -217,7 +234,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: the id, ``n_<kind>`` of each rule, ``base_spans`` and ``spans``.
 
     Spans are ``kind:start:end`` in code points, ends exclusive, by start, then
-    in the rules' order, joined by commas; leftmost non-overlapping per kind.
+    in the rules' order, joined by commas; leftmost non-overlapping per kind, so
+    spans that start together are of different kinds and all are listed.
 
     Defined cases. Null or empty text: no spans. Null ids and repeated rows
     pass through, a result for each row. No rows: no rows. Texts are scanned

@@ -6,10 +6,12 @@ and the number of pieces of the best path, and nothing else: no path is kept.
 Ties follow the unigram tokenizer: of candidates with equal scores, the one
 whose last piece starts first stays.
 
-Every piece has its space marks in front, so a best path never crosses from a
-character to a following space mark, and scores are whole numbers in double
-precision, so sums are exact: a text's count is the sum over its words. Each
-distinct word of a block is searched once.
+Where every piece has its space marks in front, a best path never crosses from
+a character to a following space mark; where scores are whole numbers too, sums
+in double precision are exact, and a text's count is the sum over its words:
+each distinct word of a block is searched once. With any other vocabulary, as
+trained models are, sums depend on their order, so texts are searched whole,
+from the first character on, as the tokenizer does.
 
 Scale. One pass without a shuffle; the vocabulary (a fixed file) is read once
 per worker, and the word cache is bounded: words beyond it are searched again.
@@ -56,10 +58,7 @@ class CountOnlyViterbi:
     def __init__(self, vocabulary: list[tuple[str, float]]):
         import ahocorasick
 
-        if any(SPACE in p.lstrip(SPACE) for p, _ in vocabulary):
-            raise ValueError("a piece has a space mark after another character: words can't be counted alone")
-        if any(s != int(s) for _, s in vocabulary):
-            raise ValueError("scores must be whole numbers: sums of others depend on their order")
+        self.by_words = all(s == int(s) and SPACE not in p.lstrip(SPACE) for p, s in vocabulary)
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
@@ -104,10 +103,14 @@ class CountOnlyViterbi:
         """Any text, with runs of spaces: a word is a run of space marks and what follows it."""
         if not text:
             return 0
+        if not self.by_words:
+            return self.search(SPACE + text.replace(" ", SPACE))
         return int(self.words(re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))).sum())
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            return np.fromiter(map(self.text, texts.to_pylist()), np.int64, len(texts))
         odd = pc.match_substring_regex(texts, f"^ |  |{SPACE}").to_numpy(zero_copy_only=False)
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(texts, " ")

@@ -242,6 +242,39 @@ def test_any_text_counts_like_the_tokenizer(unigram, text):
     assert counter.texts(pa.array([text]))[0] == want
 
 
+@pytest.fixture(scope="module")
+def fractional():
+    """Pieces with scores that are no whole numbers, some with space marks inside, ties among them."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    plain = [p for p, _ in K.pieces(K.default_vocabulary())][:9000]
+    rng = np.random.default_rng(8)
+    scores = np.round(-rng.uniform(2, 15, len(plain)), 1) - 0.0123
+    vocabulary = list(zip(plain, scores.tolist(), strict=True)) + [("▁of▁the", -3.5123), ("e▁a", -4.0123), ("s▁▁", -2.25), ("▁in▁", -3.0123)]
+    bytes_ = [(f"<0x{i:02X}>", -1e9) for i in range(256)]
+    t = Tokenizer(models.Unigram([("<unk>", -1e9), *bytes_, *vocabulary], unk_id=0, byte_fallback=True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend(K.SPACE), normalizers.Replace(" ", K.SPACE)])
+    counter = K.CountOnlyViterbi(vocabulary)
+    counter.unknown = -1e9 - K.UNKNOWN_PENALTY  # the tokenizer's least score is that of its control pieces
+    return counter, t
+
+
+@given(st.text(alphabet=st.sampled_from("abcdefinorsth  \n▁éÉ日𝔘.,"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_fractional_scores_count_like_the_tokenizer(fractional, text):
+    counter, tokenizer = fractional
+    assert not counter.by_words
+    assert counter.texts(pa.array([text, None]))[0] == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_ties_over_a_whole_table(spark, fractional, monkeypatch, corpus):
+    """Documents of tied pieces, whole texts, against the tokenizer."""
+    counter, tokenizer = fractional
+    monkeypatch.setitem(K._READY, "here", counter)
+    texts = pa.array([*corpus, "of the of the of the  in  in", " "])
+    assert counter.texts(texts).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts.to_pylist()]
+
+
 def test_counts_of_odd_rows(odd, nothing):
     got = {(r.doc_id, r.n_chars): r.n_tokens for r in K.count_tokens(odd).collect()}
     assert got[(1, 0)] == 0 and got[(2, 0)] == 0 and got[(7, 150000)] > 30000 - 1
@@ -285,6 +318,15 @@ def test_every_match_answers_its_query(rule, around, data):
     assert S._answer(query, found, {g: i for i, g in enumerate(wanted)})[0]
 
 
+@pytest.mark.parametrize(("pattern", "text"), [(r"(?i)clé=[a-z]{6}", "CLÉ=abcdef"), (r"(?i)mask_[0-9]{4}", "maſK_1234"), (r"(?i:straße)[0-9]+", "STRAẞE12"), (r"(?i)[kx]eys[0-9]", "\u212aeys1"), (r"(?i)(?-i:Kit)é=x", "KitÉ=x")])
+def test_case_beyond_ascii(spark, pattern, text):
+    """What Unicode folds together is found, though the index folds A-Z alone."""
+    rule = S.Rule("own", pattern)
+    assert list(rule.spans(text))
+    got = S.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), rules=(rule,)).first()
+    assert got.n_own == 1
+
+
 def test_rules_without_trigrams_scan_everything():
     assert S.trigram_query(r"[0-9a-f]{16,}") == S.ALL and S.trigram_query("a?b?") == S.ALL
 
