@@ -10,8 +10,9 @@ neighbours.
 Inner product becomes distance by one more coordinate: a vector x gets
 sqrt(m^2 - |x|^2), m the largest norm, and a query 0.
 
-Scale. Equal vectors are one index entry that keeps its ``k + 1`` smallest ids,
-cut down on the map side, so copies cost nothing and lose nothing. Leaves that
+Scale. Equal vectors are one index entry, named by 128 bits, that keeps its
+``k + 1`` smallest ids, cut down on the map side, so copies cost nothing and
+lose nothing. Leaves that
 follow each other in the tree share a bucket of about ``BUCKET`` entries (a
 larger leaf is dealt over several); a query goes to each bucket that it visits
 once, with the leaves to look at there, and queries stream past the bucket. The
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .blocks import tidy
 
 #: The bounded, documented sample that the tree is fitted on, and that of calibration queries.
 SAMPLE, CALIBRATION = 65536, 200
@@ -139,6 +141,12 @@ def valid_vector(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _name(v: Column) -> Column:
+    """Two 64-bit hashes side by side."""
+    part = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return F.unhex(F.concat(part(v), part(F.lit(97), v)))
+
+
 def _lift(x: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0.0, most - np.einsum("ij,ij->i", x, x)))[:, None]])
 
@@ -224,7 +232,7 @@ def _search(k: int) -> Callable:
                         out[0].extend([name] * len(got))
                         out[1].extend(i for _, i in got)
                         out[2].extend(-s for s, _ in got)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["vh", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["vh", "vec_id", "score"])
 
     return search
 
@@ -248,12 +256,13 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not widths:
         return empty
-    rows = rows.where(F.size("v") == widths[0].w).withColumn("vh", F.xxhash64("v"))
+    rows = rows.where(F.size("v") == widths[0].w).withColumn("vh", _name(F.col("v")))
     # one entry per distinct vector with its k + 1 smallest ids: more can't be answers. Rows that repeat an id and its
     # vector are made one before they are ranked; the limit works before the second shuffle.
     ranked = rows.select("vh", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("r") <= k + 1)
     ids = ranked.groupBy("vh").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     entries = rows.groupBy("vh").agg(F.any_value("v").alias("v")).join(ids, "vh")
+    entries = cut(entries)  # numbered, sampled and indexed from the same rows
     most, n = entries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
 
     sample = entries.select("v").orderBy(F.xxhash64("vh"), "vh").limit(SAMPLE).toArrow().column("v").combine_chunks()
@@ -265,7 +274,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 leaf = tree.assign(_lift(_matrix(b.column(1)), most))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=["vh", "v", "ids", "leaf"])
 
-    entries = cut(entries.mapInArrow(leaves, "vh long, v array<double>, ids array<long>, leaf long"))
+    entries = cut(entries.mapInArrow(leaves, "vh binary, v array<double>, ids array<long>, leaf long"))
     asked = rows.where("is_q").groupBy("vh").agg(F.any_value("v").alias("v"))
     visits = _calibrate(entries, asked, tree, most, k, recall)
 
@@ -284,8 +293,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf, vh = b.column(3).to_numpy(), b.column(0).to_numpy()
-            bucket = start[leaf] + np.abs(vh % 1_000_003) % buckets[leaf]
+            if not b.num_rows:
+                continue
+            leaf, vh = b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")[::2]
+            bucket = start[leaf] + (vh % np.uint64(1_000_003)).astype(np.int64) % buckets[leaf]
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.zeros(len(vh), np.int32)), b.column(0), b.column(1), b.column(2), b.column(3)], names=layout)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,11 +316,13 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], names=layout)
 
     layout = ["bucket", "kind", "vh", "v", "numbers", "leaf"]
-    shape = "bucket long, kind int, vh long, v array<double>, numbers array<long>, leaf long"
-    work = entries.mapInArrow(place, shape).unionByName(asked.mapInArrow(walk, shape))
+    shape = "bucket long, kind int, vh binary, v array<double>, numbers array<long>, leaf long"
+    # queries walk side by side, however few they are
+    walkers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    work = entries.mapInArrow(place, shape).unionByName(asked.repartition(walkers).mapInArrow(walk, shape))
     # queries of one home leaf follow each other and want nearly the same leaves
     work = work.repartition(max(1, min(last + 1, 4096)), "bucket").sortWithinPartitions("bucket", "kind", "leaf")
-    found = work.mapInArrow(_search(k), "vh long, vec_id long, score double")
+    found = work.mapInArrow(tidy(_search(k)), "vh binary, vec_id long, score double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("vh").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     answers = best.groupBy("vh").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("hits"))
     members = rows.where("is_q").select("id", F.col("vh").alias("vh2")).distinct()
