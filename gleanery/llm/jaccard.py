@@ -14,11 +14,14 @@ overlap is too small. What is left is verified on the sets themselves.
 Scale. Three passes read the texts: sizes, names and counts; keys; the sets of
 candidates. Keys travel as packed arrays, not as rows, and nodes that share a
 key within a task are linked there, so a key that many nodes hold says one
-entry per task. Clusters above ``BLOCK`` nodes or ``BLOCK_TOKENS`` shingles are
-cut into blocks; every block is joined in itself and with the cluster's hub,
-and only nodes that have not reached the hub's component meet the blocks of
-their own and the neighbouring range of sizes. Components come from star rounds
-over spanning edges. Broadcast are the order's table and a bitmap, 8 MB each,
+entry per task. Clusters above ``BLOCK`` nodes are first looked at through
+signature trees without sets, a few bits for each shingle: by ranges of sizes
+their blocks meet in pairs, and only nodes that could link stay together. What
+is still above ``BLOCK`` nodes or ``BLOCK_TOKENS`` shingles is cut into blocks;
+every block is joined in itself and with the cluster's hub, and only nodes that
+have not reached the hub's component meet the blocks of their own and the
+neighbouring range of sizes. Components come from star rounds over spanning
+edges. Broadcast are the order's table and a bitmap, 8 MB each,
 whatever the corpus.
 
 Nodes are named by 128-bit hashes of their sets. Candidates go by one half of
@@ -300,29 +303,33 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # The signature tree
 
 
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row for each set: the bits of its tokens."""
+    words = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, s in zip(words, sets, strict=True):
+        bit = s & np.uint64(bits - 1)
+        np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return words
+
+
 class Tree:
     """Sets under nodes that hold their OR-combined bitmaps and size ranges.
 
     ``excess`` of a node bounds how many tokens of a set below it share a bit
     with another of its tokens: an overlap is at most the common bits of two
-    nodes and the smaller of their excesses.
+    nodes and the smaller of their excesses. Without the sets themselves, what
+    the bitmaps don't rule out counts as linked.
     """
 
     FAN, LEAF = 8, 16
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        sizes = np.array([len(s) for s in sets])
-        least = np.array([s[0] for s in sets])
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, least: np.ndarray, sets: list[np.ndarray] | None = None):
         order = np.lexsort((sizes, least))  # near copies share their smallest token
-        self.sets, self.at = [sets[i] for i in order], order
-        self.size = sizes[order]
-        self.words = np.zeros((len(sets), bits // 64), np.uint64)
-        for row, s in zip(self.words, self.sets, strict=True):
-            bit = s & np.uint64(bits - 1)
-            np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        self.at, self.size, self.words = order, sizes[order], words[order]
+        self.sets = [sets[i] for i in order] if sets is not None else None
         self.extra = self.size - np.bitwise_count(self.words).sum(1).astype(np.int64)
         # levels[0] are the leaves; each node: start and end among the sets
-        spans = [(a, min(a + self.LEAF, len(sets))) for a in range(0, len(sets), self.LEAF)]
+        spans = [(a, min(a + self.LEAF, len(sizes))) for a in range(0, len(sizes), self.LEAF)]
         self.nodes: list[tuple] = []
         level = [self._node(np.bitwise_or.reduce(self.words[a:b], axis=0), self.size[a:b], self.extra[a:b], (a, b), ()) for a, b in spans]
         while len(level) > 1:
@@ -334,10 +341,21 @@ class Tree:
             level = up
         self.root = level[0]
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], bits: int) -> Tree:
+        return cls(bitmaps(sets, bits), np.array([len(s) for s in sets]), np.array([s[0] for s in sets]), sets)
+
     def _node(self, bits, sizes, extra, span, kids) -> int:
         self.nodes.append((bits, int(sizes.min()), int(sizes.max()), int(extra.max()), span, kids))
         return len(self.nodes) - 1
 
+    def linked(self, p: int, other: Tree, q: int, num: int, den: int) -> bool:
+        if self.sets is None:
+            return True
+        a, b = self.sets[p], other.sets[q]
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return den * common >= num * (len(a) + len(b) - common)
+
 
 class Union:
     def __init__(self, labels: list):
@@ -391,8 +409,7 @@ def tree_join(a: Tree, b: Tree, labels_a: list, labels_b: list, num: int, den: i
             la, lb = labels_a[a.at[p]], labels_b[b.at[q]]
             if union.find(la) == union.find(lb):
                 continue
-            common = len(np.intersect1d(a.sets[p], b.sets[q], assume_unique=True))
-            if den * common >= num * (len(a.sets[p]) + len(b.sets[q]) - common):
+            if a.linked(p, b, q, num, den):
                 union.join(la, lb)
                 open_labels -= 1
                 yield int(a.at[p]), int(b.at[q])
@@ -416,8 +433,8 @@ def _join_blocks(num: int, den: int) -> Callable:
         if not names[0] or (len(names[0]) == 1 and not names[1]):
             return
         bits = _bits(sets[0] + sets[1])
-        a = Tree(sets[0], bits)
-        b, side = (Tree(sets[1], bits), 1) if names[1] else (a, 0)
+        a = Tree.of_sets(sets[0], bits)
+        b, side = (Tree.of_sets(sets[1], bits), 1) if names[1] else (a, 0)
         for p, q in tree_join(a, b, labels[0], labels[side], num, den):
             yield names[0][p], names[side][q]
 
@@ -453,15 +470,19 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _wanted(batches: Iterator[pa.RecordBatch], k: int, bitmap) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows whose ids the bitmap holds, with the sets of their texts."""
+    for block in blocks(batches):
+        h = block.column(2).to_numpy(zero_copy_only=False)
+        hit = (bitmap.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1
+        some = block.filter(pa.array(hit.astype(bool)))
+        if some.num_rows:
+            yield some, *shingle_sets(some.column(1), k)
+
+
 def _fetch_sets(k: int, bitmap) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            h = block.column(2).to_numpy(zero_copy_only=False)
-            hit = (bitmap.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1
-            some = block.filter(pa.array(hit.astype(bool)))
-            if not some.num_rows:
-                continue
-            sets, bounds = shingle_sets(some.column(1), k)
+        for some, sets, bounds in _wanted(batches, k, bitmap):
             data, names = sets.tobytes(), _names(sets, bounds)
             tokens = pa.array([data[8 * a : 8 * b] for a, b in itertools.pairwise(bounds)], pa.binary())
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), tokens], names=["id", "node", "mark", "tokens"])
@@ -469,6 +490,95 @@ def _fetch_sets(k: int, bitmap) -> Callable:
     return tidy(run)
 
 
+# Signatures of large clusters
+
+
+def size_class(n: int, num: int, den: int) -> int:
+    """Sizes of a linked pair lie in one class or two neighbouring ones; a little wider, so that rounding can't part them by two."""
+    return int(math.log(n) / (1.0001 * math.log(den / num)))
+
+
+def _class_bits(number: int, num: int, den: int) -> int:
+    """Bits of a signature among sets of a class and the next one: two for each token of the largest, at least."""
+    most = (den / num) ** (1.0001 * (number + 2)) + 1
+    return 1 << min(16, max(8, math.ceil(math.log2(2 * most))))
+
+
+def _signatures(k: int, num: int, den: int, bitmap) -> Callable:
+    """Wanted texts to two signatures each: among sets of its class and the one above, and of its class and the one below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, sets, bounds in _wanted(batches, k, bitmap):
+            rows, names = [], _names(sets, bounds)
+            for i, (a, b) in enumerate(itertools.pairwise(bounds)):
+                if a == b:
+                    continue
+                own = size_class(int(b - a), num, den)
+                rows += [(i, c, bitmaps([sets[a:b]], _class_bits(c, num, den)).tobytes(), int(b - a), int(sets[a].view(np.int64))) for c in (own, own - 1)]
+            if rows:
+                at, c, bits, n, least = zip(*rows, strict=True)
+                where = np.array(at)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(where)), pa.array(names[where, 0]), pa.array(names[where, 1]), pa.array(c, pa.int32()), pa.array(bits, pa.binary()), pa.array(n, pa.int64()), pa.array(least, pa.int64())], names=["id", "node", "mark", "class", "bits", "size", "least"])
+
+    return tidy(run)
+
+
+def _join_signatures(num: int, den: int) -> Callable:
+    """Rows sorted by (group, task, side) to a spanning forest of what signatures don't rule out."""
+
+    def task(sides: tuple[dict, dict]) -> Iterator[tuple[int, int]]:
+        trees, names = [], []
+        for s in sides:
+            if s:
+                words = np.frombuffer(b"".join(x[0] for x in s.values()), np.uint64).reshape(len(s), -1)
+                trees.append(Tree(words, np.array([x[1] for x in s.values()]), np.array([x[2] for x in s.values()])))
+                names.append(list(s))
+        if not trees or (len(trees) == 1 and len(names[0]) == 1):
+            return
+        for p, q in tree_join(trees[0], trees[-1], names[0], names[-1], num, den):
+            yield names[0][p], names[-1][q]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ({}, {})
+        pairs: list[tuple[int, int]] = []
+        for batch in blocks(batches, 4):
+            for group, number, side, node, bits, size, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, number) != at:
+                    pairs += task(sides)
+                    at, sides = (group, number), ({}, {})
+                sides[side][node] = (bits, size, least)
+            if pairs:
+                yield _edges(pairs)
+                pairs = []
+        yield _edges([*pairs, *task(sides)])
+
+    return tidy(run)
+
+
+def _refined(wanted: DataFrame, ordered: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Nodes of clusters by what their signatures leave together; nodes that could link with none go."""
+    bitmap = wanted.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id")))
+    signed = ordered.mapInArrow(_signatures(words, num, den, bitmap), "id decimal(20,0), node long, mark long, class int, bits binary, size long, least long")
+    rows = signed.join(wanted.select("id", "node", "mark", "num", "root"), ["id", "node", "mark"]).select(F.xxhash64("root", "class").alias("group"), "num", "bits", "size", "least")
+    sizes = wanted.select(F.col("root"), F.explode(_classes(num, den)).alias("class")).groupBy(F.xxhash64("root", "class").alias("group")).agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("blocks"))
+    rows = rows.withColumn("k", _other("group", 81)).join(sizes.select(_other("group", 81).alias("k"), "blocks"), "k")
+    mine, blocks_ = F.pmod(F.xxhash64("num"), F.col("blocks")), F.col("blocks")
+    # every two blocks meet once, each block also itself
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks_ - 1)))
+    task = F.least("mine", "other") * blocks_ + F.greatest("mine", "other")
+    rows = rows.select("group", task.alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "num", "bits", "size", "least")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(n, "group", "task").sortWithinPartitions("group", "task", "side").mapInArrow(_join_signatures(num, den), "a long, b long")
+    together = components(found).select(F.col("node").alias("num"), F.col("root").alias("together"))
+    return wanted.drop("root").join(together, "num").select("id", "node", "mark", "n", F.xxhash64(F.lit(5), "together").alias("root"), "num")
+
+
+def _classes(num: int, den: int):
+    """The classes that a node with ``n`` shingles is looked at in, as ``size_class`` has them."""
+    own = F.floor(F.log("n") / (1.0001 * math.log(den / num))).cast("int")
+    return F.array(own, own - 1)
+
+
 def _other(column: str, salt: int):
     """Another key expression than the one before it: the join gets exchanges that can be split where a key is hot."""
     return F.col(column).bitwiseXOR(F.lit(salt))
@@ -498,11 +608,17 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, de
     nodes = sets.where("n > 0").groupBy("node", "mark").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     # numbers that the checkpoint keeps: no two nodes share one
     wanted = cut(nodes.join(clusters.withColumnRenamed("node", "short"), F.col("node") == F.col("short")).select("id", "node", "mark", "n", "root", F.monotonically_increasing_id().alias("num")))
+    ordered = docs.select(id_or_last(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("id"))
+    if num < den:
+        counts = wanted.groupBy("root").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select(_other("root", 76).alias("k"))
+        keyed = wanted.withColumn("k", _other("root", 76))
+        large = cut(keyed.join(counts, "k", "left_semi").drop("k"))
+        if not large.isEmpty():
+            wanted = cut(keyed.join(counts, "k", "left_anti").drop("k").unionByName(_refined(large, ordered, words, num, den)))
     sizes = wanted.groupBy("root").agg(F.min("num").alias("hub"), _number_of_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     sizes = sizes.select(_other("root", 77).alias("k"), "hub", "blocks")
     placed = cut(wanted.withColumn("k", _other("root", 77)).join(sizes, "k").drop("k").withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks"))))
     bitmap = spark.sparkContext.broadcast(_bitmap(placed.select("id")))
-    ordered = docs.select(id_or_last(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("id"))
     tokens = ordered.mapInArrow(_fetch_sets(words, bitmap), "id decimal(20,0), node long, mark long, tokens binary")
     held = tokens.join(placed.drop("n"), ["id", "node", "mark"])
     # a cluster's hub goes to every block
@@ -527,10 +643,8 @@ def _off_the_hub(placed: DataFrame, held: DataFrame, joined: DataFrame, num: int
     label = joined.select(F.col("node").alias("num2"), F.col("root").alias("label"))
     large = placed.join(label, F.col("num") == F.col("num2"), "left").select("root", "hub", "num", "n", F.coalesce("label", "num").alias("label"))
     hubs = large.where("num = hub").select(F.col("root").alias("root2"), F.col("label").alias("of_hub"))
-    # a little wider than the ratio of linked sizes, so that rounding can't part a pair by two
-    size = F.floor(F.log("n") / (1.0001 * math.log(den / num)))
-    large = large.join(hubs, F.col("root") == F.col("root2")).select("root", "num", "n", "label", (F.col("label") != F.col("of_hub")).alias("apart"), size.alias("class"))
-    large = cut(large.withColumn("class", F.explode(F.array("class", F.col("class") - 1))).withColumn("root", F.xxhash64("root", "class")).drop("class"))
+    large = large.join(hubs, F.col("root") == F.col("root2")).select("root", "num", "n", "label", (F.col("label") != F.col("of_hub")).alias("apart"))
+    large = cut(large.withColumn("class", F.explode(_classes(num, den))).withColumn("root", F.xxhash64("root", "class")).drop("class"))
     asked = F.col("apart").cast("int")
     work = large.groupBy("root").agg(_number_of_blocks(F.count("*"), F.sum("n")).alias("blocks"), _number_of_blocks(F.sum(asked), F.sum(asked * F.col("n"))).alias("rounds"), F.sum(asked).alias("asked"))
     work = work.where("asked > 0").select(_other("root", 78).alias("k"), "blocks", "rounds")
