@@ -3,7 +3,9 @@
 Alternating large-star and small-star rounds: every node links its neighbours
 to the smallest of them. Each half round is a minimum per node, pre-aggregated,
 and a join that may be split where a node is hot; neighbour lists are never
-collected. The rounds end when the edges no longer change.
+collected. The rounds end when the edges no longer change. Before the first
+one, tasks of ``CONTRACTED`` edges at most replace their edges by a forest of
+stars that joins the same nodes.
 
 A round is one job: it writes its edges to the shared folder and counts them as
 it writes. What is read back has the statistics of its files; a checkpoint
@@ -12,6 +14,10 @@ keeps estimates of where it came from, which joins multiply round by round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -19,6 +25,29 @@ from ..session import cut, remove, scratch
 
 _REKEY = 0x27D4EB2F
 MOST_ROUNDS = 60
+CONTRACTED = 500_000
+
+
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that edges name, and the smallest that each reaches."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low != high
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return names, names[root]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        names, roots = smallest_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        differ = names != roots
+        yield pa.RecordBatch.from_arrays([pa.array(names[differ]), pa.array(roots[differ])], names=["a", "b"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -46,13 +75,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return spark.read.schema("a long, b long").parquet(f"{folder}/{number}"), (seen.get["n"], seen.get["x"])
 
     e, now = kept(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), 0)
+    if now[0]:
+        # dealt by a hash, so that a task holds its share whatever node is hot
+        share = e.repartition(-(-now[0] // CONTRACTED), F.xxhash64("a", "b"))
+        e, now = kept(share.mapInArrow(_contract, "a long, b long"), -1)
+        remove(spark, f"{folder}/0")
     for number in range(1, MOST_ROUNDS):
         if not now[0]:
             break
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         last = now
         e, now = kept(_star(_star(both, large=True), large=False), number)
-        remove(spark, f"{folder}/{number - 1}")
+        remove(spark, f"{folder}/{number - 1 or -1}")
         if now == last:
             break
     else:

@@ -205,7 +205,20 @@ def test_linked_sets_share_a_key(size, num, data):
     assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
 
 
-def test_components_of_edges(spark):
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_contraction_joins_the_same_nodes(edges):
+    a, b = np.array(edges).T
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    assert dict(zip(*(x.tolist() for x in CC.smallest_reached(a, b)), strict=True)) == root
+
+
+@pytest.mark.parametrize("share", [500_000, 7])
+def test_components_of_edges(spark, monkeypatch, share):
+    monkeypatch.setattr(CC, "CONTRACTED", share)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (300, 300), (201, 200)]
     got = dict(map(tuple, CC.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
