@@ -185,19 +185,42 @@ def test_mix_meets_targets(docs, corpus, rows_per_range):
     sizes = defaultdict(int)
     for i, t in enumerate(corpus):
         sizes[source[i]] += len(t.split())
-    want, taken = target_brute(sizes), defaultdict(int)
+    want, taken, largest = target_brute(sizes), defaultdict(int), defaultdict(int)
     for r in rows:
-        taken[source[r.doc_id]] += r.taken
-        assert r.taken <= 3 * r.size and r.source_size == sizes[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
-    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-
-
-def test_queue_order_and_budget(docs):
-    plan = M.mix_plan(docs, budget=0.4).where("virtual_finish IS NOT NULL").orderBy("before").collect()
-    finish = [r.virtual_finish for r in plan]
-    assert finish == sorted(finish)
-    total = M.mix(docs).agg(F.sum("size")).first()[0]
-    assert sum(r.take for r in plan) == math.floor(total * 0.4)
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        largest[s] = max(largest[s], r.size)
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size) and r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6
+    assert all(abs(taken[s] - want[s]) <= largest[s] + 1 for s in sizes)
+    assert abs(sum(taken.values()) - sum(sizes.values())) <= max(largest.values()) / 2
+
+
+@pytest.mark.parametrize(("budget", "rows_per_range"), [(1.0, 1024), (0.4, 3), (0.05, 1024), (2.0, 7)])
+def test_queue_order_and_budget(docs, budget, rows_per_range, monkeypatch):
+    """Copies leave in the order of their finish times until the budget is spent, whole; what is taken follows the queue alone."""
+    monkeypatch.setattr(M, "GROUP", 2)
+    plan = M.mix_plan(docs, budget=budget, rows_per_range=rows_per_range).where("virtual_finish IS NOT NULL").orderBy("before").collect()
+    total, at = M.mix(docs).agg(F.sum("size")).first()[0], 0
+    spend = int(total * budget)
+    assert [r.virtual_finish for r in plan] == sorted(r.virtual_finish for r in plan)
+    for r in plan:
+        assert r.before == at and r.take == (r.size if 2 * (spend - at) >= r.size else 0)
+        at += r.size
+    assert at >= min(spend, 3 * total)
+    taken = defaultdict(int)
+    for r in plan:
+        taken[r["__src"]] += r.take
+    if budget < 1:
+        want, largest = {r["__src"]: r.target * budget for r in plan}, max(r.size for r in plan)
+        assert all(abs(taken[s] - want[s]) <= largest + 1 for s in want)
+
+
+def test_mix_is_sorted_over_all_partitions(docs, corpus):
+    order = {r.doc_id: r.virtual_finish for r in M.mix_plan(docs).where("take > 0 AND pass = 0").collect()}
+    out = [r.doc_id for r in M.mix_documents(docs).collect()]
+    first = list(dict.fromkeys(out))
+    assert set(out) == set(order) and [order[i] for i in first if i in order] == sorted(order[i] for i in first)
+    assert Counter(out) == {i: n for i, n in ((r.doc_id, r.taken // r.size) for r in M.mix(docs).where("taken > 0").collect())}
 
 
 def test_mix_of_odd_rows(odd, nothing):
