@@ -5,9 +5,9 @@ bear loss. A sequence is a bin with a limit in each dimension. The dot-product
 heuristic fills one bin at a time: among the waiting pieces that fit, it places
 the one whose vector has the largest dot product with what the bin has left,
 each dimension taken as a share of its limit. Where no waiting piece fits and
-cutting is allowed, the best one is cut to what is left. A bin that ends
-underfull is cut into sequences whose lengths are powers of two, which need no
-padding.
+cutting is allowed, of those whose start fits the best one is cut to what is
+left in tokens and in loss. A bin that ends underfull is cut into sequences
+whose lengths are powers of two, which need no padding.
 
 Scale. Every task packs the rows of its own partition out of a bounded pool of
 waiting pieces: no shuffle, no group, memory independent of the input. A rerun
@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import RecentCache, blocks, offsets_of, take_ranges
+from .blocks import RecentCache, blocks, offsets_of, take_ranges, tidy
 
 #: A unit is a word with the space before it; ids of at most twice this many are kept.
 CACHE_UNITS = 250_000
+#: Limits of the registered query and the pipeline: tokens, segments and loss-bearing tokens of a sequence.
+#: The first CONTEXT tokens of a document are only read: a full sequence holds so many at least.
+TOKENS, SEGMENTS, LOSS, CONTEXT = 2048, 6, 2016, 32
 #: Sequence ids: the partition's number, then the sequence's number in it.
 SEQUENCE_BITS = 40
 
@@ -131,10 +134,13 @@ class VectorPacker:
             part = self._whole_bin(piece)
             if part == 0:
                 break
-            if self.cutting and part < self.tokens:
-                part = 1 << (part.bit_length() - 1)
             head, piece = piece.cut(part)
-            yield [head]
+            if part == self.tokens or not self.cutting:
+                yield [head]
+            else:  # loss is full before tokens are: what bears none may fill the rest
+                if not self.free:
+                    yield from self._fill()
+                self._wait(head)
             if not len(piece.ids):
                 return
         if not self.free:
@@ -171,12 +177,13 @@ class VectorPacker:
             fits = (t > 0) & (t <= left[0]) & (lo <= left[2])
             if fits.any():
                 piece = self._take(int(np.argmax(np.where(fits, dot, -1.0))))
-            elif self.cutting and (t > 0).any():
-                slot = int(np.argmax(np.where(t > 0, dot, -1.0)))
-                n = self._prefix(self.waiting[slot], int(left[0]), int(left[2]))
-                if n == 0:
+            elif self.cutting:
+                # loss stands at a piece's end, so t - lo tokens bear none
+                starts = np.minimum(np.minimum(t, left[0]), t - lo + left[2])
+                slot = int(np.argmax(np.where(starts > 0, dot, -1.0)))
+                if starts[slot] <= 0:
                     break
-                piece, rest = self.waiting[slot].cut(n)
+                piece, rest = self.waiting[slot].cut(int(starts[slot]))
                 self.waiting[slot], self.vectors[slot] = rest, (len(rest.ids), rest.loss())
             else:
                 break
@@ -285,14 +292,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, tokenizer: str | None = None, end_id: int | None = 1, tokens: int = 2048, segments: int = 2048, loss: int = 2048, pool: int = 512, cutting: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, tokenizer: str | None = None, end_id: int | None = 1, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, context: int = CONTEXT, pool: int = 512, cutting: bool = True) -> DataFrame:
     """Pack texts into sequences of at most ``tokens`` tokens, ``segments`` pieces and ``loss`` loss-bearing tokens.
 
     A row per piece: the id, ``start`` (tokens of its text before it),
     ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``,
     ``sequence_id``, ``offset`` in the sequence, ``loss_tokens``. Tokens from
-    ``loss_from_col`` on bear loss (null or no column: all). ``cutting=False``
-    cuts only what no bin can hold.
+    ``loss_from_col`` on bear loss (null: all; no column: from ``context`` on).
+    ``cutting=False`` cuts only what no bin can hold.
 
     Defined cases. Null or empty text: ``end_id`` alone, or no row where that
     is None. Null ids pass through; rows that repeat an id are packed each.
@@ -305,9 +312,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_f
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("loss_tokens", T.LongType()),
     ])
-    loss_from = F.col(f"`{loss_from_col}`").cast("long") if loss_from_col else F.lit(0).cast("long")
+    loss_from = F.col(f"`{loss_from_col}`").cast("long") if loss_from_col else F.lit(context).cast("long")
     work = _packer(tokenizer or default_tokenizer(), end_id, (tokens, segments, loss), pool, cutting, to_arrow_schema(schema))
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), loss_from).mapInArrow(work, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), loss_from).mapInArrow(tidy(work), schema)
 
 
 def pack_digest(docs: DataFrame, **options) -> DataFrame:

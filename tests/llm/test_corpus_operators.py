@@ -125,6 +125,33 @@ def test_limits_hold_and_nothing_is_lost(examples, tokens, segments, loss, pool,
         assert ids.tolist() == list(range(n))
 
 
+def test_each_limit_decides(docs, odd):
+    """Under the registered limits each of the three closes sequences, and a packer of tokens alone would pack otherwise."""
+    rng, examples = np.random.default_rng(6), []
+    for i in range(400):
+        n = int(rng.choice([20, 60, 300, 1500, 5000]))
+        examples.append(P.Piece(i, 0, np.arange(n, dtype=np.uint32), min(P.CONTEXT, n), n))
+
+    def bins(*limits):
+        p = P.VectorPacker(*limits)
+        return [b for e in examples for b in p.add(e)] + list(p.finish())
+
+    shape = lambda found: sorted(tuple(sorted((x.example, x.start, len(x.ids)) for x in b)) for b in found)
+    every = bins(P.TOKENS, P.SEGMENTS, P.LOSS)
+    size = lambda b: sum(len(x.ids) for x in b)
+    assert any(size(b) == P.TOKENS for b in every) and any(sum(x.loss() for x in b) == P.LOSS for b in every)
+    assert max(len(b) for b in every) == P.SEGMENTS
+    others = [bins(P.TOKENS, 10**6, 10**6), bins(P.TOKENS, P.SEGMENTS, 10**6), bins(P.TOKENS, 10**6, P.LOSS)]
+    assert all(shape(o) != shape(every) for o in others)
+    assert max(len(b) for b in others[2]) > P.SEGMENTS and max(sum(x.loss() for x in b) for b in others[1]) > P.LOSS
+    rows = P.pack(docs.unionByName(odd.drop("n_lines"))).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    assert all(len(b) <= P.SEGMENTS and sum(r.loss_tokens for r in b) <= P.LOSS for b in by.values())
+    assert all(r.loss_tokens == max(0, r.start + r.length - max(r.start, P.CONTEXT)) for r in rows)
+
+
 @given(st.text(alphabet=st.sampled_from("ab c  \n\t'sIé日<|>1 "), max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_units_encode_like_the_tokenizer(text):
