@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .blocks import tidy
 from .jaccard import mix
 
 LENGTH, GRAM = 200, 32
@@ -44,6 +45,7 @@ RUN = 300_000  # anchors in a run
 HOT, MOST_HOT = 4096, 1 << 22
 PART_BYTES = 8 << 20  # of text for each part of an exchange
 TASK_BYTES = 128 << 20  # of text in a task that reads texts again, at most
+MOST_TASKS = 1 << 16  # of an exchange; with more parts, a task takes several one after the other
 
 _B = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -298,7 +300,38 @@ def _strings(lcp: np.ndarray, size: np.ndarray, rest: bytes) -> Iterator[tuple[b
         yield last, k
 
 
-def _send_suffixes(length: int, parts: int, hot: set[int]) -> Callable:
+def _each_part(work: Callable) -> Callable:
+    """``work`` on one part after the other, of rows in which a part's rows follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            part = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if a == z:
+                    continue
+                if held and part[a] != at:
+                    yield from work(iter(held))
+                    held = []
+                at = part[a]
+                held.append(b.slice(a, z - a))
+        if held:
+            yield from work(iter(held))
+
+    return run
+
+
+def _dealt(rows: DataFrame, parts: int, work: Callable) -> DataFrame:
+    """Rows dealt out by part, each part worked on alone."""
+    tasks = min(parts, MOST_TASKS)
+    dealt = rows.repartitionById(tasks, F.expr(f"pmod(part, {tasks})").cast("int"))
+    if tasks < parts:
+        return dealt.sortWithinPartitions("part").mapInArrow(tidy(_each_part(work)), ROWS)
+    return dealt.mapInArrow(tidy(work), ROWS)
+
+
+def _send_suffixes(length: int, parts: int, hot) -> Callable:
     """Documents with their matched anchors to front-coded runs, and spans that are settled here."""
 
     class Out:
@@ -369,7 +402,9 @@ def _send_suffixes(length: int, parts: int, hot: set[int]) -> Callable:
             for doc, text, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 view = text.as_buffer().to_pybytes()
                 a = np.concatenate([np.frombuffer(x, ANCHOR) for x in lists])
-                often = np.fromiter((g in hot for g in a["gram"].tolist()), bool, len(a)) if hot else np.zeros(len(a), bool)
+                often = np.zeros(len(a), bool)
+                if len(hot.value):
+                    often = hot.value[np.minimum(np.searchsorted(hot.value, a["gram"]), len(hot.value) - 1)] == a["gram"]
                 plain = a[~often]
                 if len(plain):
                     out.anchors.append(plain)
@@ -530,17 +565,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = int(max(1, -(-total // PART_BYTES)))
     found = base.select("doc", "data").mapInArrow(_find_anchors(length, parts), ROWS)
     hot = int(max(HOT, total // MOST_HOT))
-    matched = cut(found.repartitionById(parts, F.expr("pmod(part, " + str(parts) + ")").cast("int")).mapInArrow(_match_grams(hot), ROWS))
-    often: set[int] = set()
-    for row in matched.where("kind = 2").select("data").collect():
-        often |= set(np.frombuffer(row[0], "<u8").tolist())
+    matched = cut(_dealt(found, parts, _match_grams(hot)))
+    # sorted, at most MOST_HOT of them
+    often = spark.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], "<u8") for r in matched.where("kind = 2").select("data").collect())])))
 
     # the session's number, or more where its share of the texts would be too large
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     texts = base.select("doc", "data", "id").repartition(n, "doc")
     lists = matched.where("kind = 1").groupBy("doc").agg(F.collect_list("data").alias("lists"))
-    sent = texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "data", "lists").mapInArrow(_send_suffixes(length, parts, often), ROWS)
-    spans = sent.repartitionById(parts, F.expr("pmod(part, " + str(parts) + ")").cast("int")).mapInArrow(_merge_runs(length), ROWS)
+    sent = texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "data", "lists").mapInArrow(tidy(_send_suffixes(length, parts, often)), ROWS)
+    spans = _dealt(sent, parts, _merge_runs(length))
     gone = spans.groupBy("doc").agg(F.collect_list("data").alias("lists"))
     out = texts.join(gone.hint("shuffle_hash"), "doc", "left").select("id", "data", "lists").mapInArrow(_remove, "id long, kept binary, n_removed long, n_spans long")
     return out.select(F.col("id").alias(id_col), (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept")

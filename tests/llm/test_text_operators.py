@@ -89,6 +89,13 @@ def test_suffixes_match_brute_force(docs, corpus, monkeypatch, hot, length, run)
     assert [got[i] for i in range(len(corpus))] == suffix_brute(corpus, length)
 
 
+def test_suffixes_with_several_parts_in_a_task(docs, corpus, monkeypatch):
+    monkeypatch.setattr(D, "PART_BYTES", 5000)
+    monkeypatch.setattr(D, "MOST_TASKS", 3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in D.suffix_dedup(docs).collect()}
+    assert [got[i] for i in range(len(corpus))] == suffix_brute(corpus, 200)
+
+
 def test_suffixes_of_odd_rows(odd, nothing):
     rows = D.suffix_dedup(odd).collect()
     assert len(rows) == 9 and {r.n_removed for r in rows if r.doc_id != 7} == {0}
