@@ -27,9 +27,9 @@ def main(argv: list[str] | None = None) -> None:
     kept = Generations(spark, args.home)
     if args.action == "index":
         sources = prepare.prepare(prepare.read_tree(spark, args.folder, args.vault)).cache()
-        print(kept.publish({"sources": sources, "chunks": prepare.chunks(sources)}, {"chunks": ["vault_id"]}))
+        print(kept.publish_index(sources, prepare.chunks(sources)))
     elif args.action == "search":
-        Corpus(kept.read("chunks")).search(SearchRequest(args.query, limit=args.limit, path_prefix=args.path_prefix)).orderBy("rank").show(args.limit, False)
+        Corpus(read=kept.reader()).search(SearchRequest(args.query, limit=args.limit, path_prefix=args.path_prefix)).orderBy("rank").show(args.limit, False)
     else:
         Corpus(kept.read("chunks")).status(kept.read("sources")).show(truncate=False)
 

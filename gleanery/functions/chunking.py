@@ -17,9 +17,9 @@ def split_long(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> list
     while len(text) - start > most:
         window = text[start : start + most]
         # a break counts where the text up to it ends in a blank line
-        paragraph = max((i for i in range(floor, most) if window[:i].endswith("\n\n")), default=-1)
-        white = max((i for i in range(floor, most) if window[i].isspace()), default=-1)
-        end = paragraph if paragraph >= 0 else white if white >= 0 else most
+        paragraph = window.rfind("\n\n", floor - 2, most - 1)
+        white = next((i for i in range(most - 1, floor - 1, -1) if window[i].isspace()), most)
+        end = paragraph + 2 if paragraph >= 0 else white
         out.append(window[:end].strip())
         start += end - overlap if end > overlap else end
     out.append(text[start:].strip())

@@ -1,18 +1,28 @@
-"""Chunk tables to an inverted index: postings, vocabulary, field statistics, identifiers.
+"""Chunk tables to an inverted index: postings, vocabulary, field statistics, names.
 
-Postings are long rows (scope, field, term, chunk_id, tf, positions), so term
-lookups are pushed-down filters and statistics are plain aggregates. A scope is
-the authorised resource (vault and room): statistics are always computed from
-rows that were pruned by scope first.
+Postings are long rows (scope, field, term, chunk_id, tf, positions, len). A
+chunk's field stands in one row, so its postings are made in one pass without a
+shuffle, and each carries the field's length: a query needs the rows of its own
+terms and a few rows of statistics. A scope is the authorised resource (vault
+and room): statistics are always computed from rows that were pruned by scope.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import filename, identifiers, normalized, short_token, sized_digest, stem, tokens
+from ..functions.text import LONG_TOKEN_BYTES, filename, identifiers, normalized, short_token, sized_digest, stem, tokens
 
+#: Tokens that one step of the postings pass works on, about.
+STEP_TOKENS = 500_000
+SCOPE = ("vault_id", "room", "path")
 CHUNK_DOMAIN, SOURCE_DOMAIN = "gleanery chunk 1", "gleanery source 1"
 #: First two bits of a chunk id by content role, for formats that have roles.
 ROLE_BITS = {"primary": 0, "supporting": 1, "latent": 2}
@@ -41,47 +51,152 @@ def fields(chunks: DataFrame) -> DataFrame:
     has = set(chunks.columns)
     pick = lambda c: F.col(c) if c in has else F.lit(None).cast("string")
     lists = lambda c: F.array_join(c, " ") if c in has else F.lit(None).cast("string")
-    text = {"filename": filename(F.col("path")), "stem": stem(F.col("path")), "aliases": lists("aliases"), "title": pick("title"), "heading": lists("heading_path"), "tags": lists("tags"), "content": pick("content")}
+    heading = boosted(chunks, lists("heading_path"), F.lit(""))
+    text = {"filename": filename(F.col("path")), "stem": stem(F.col("path")), "aliases": lists("aliases"), "title": pick("title"), "heading": heading, "tags": lists("tags"), "content": pick("content")}
     pairs = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("text")) for k, v in text.items()])
     return chunks.select("chunk_id", "vault_id", "room", "path", F.explode(pairs).alias("f")).where("f.text <> ''").select("chunk_id", "vault_id", "room", "path", "f.field", "f.text")
 
 
-def postings(field_rows: DataFrame, keys: tuple[str, ...] = ("vault_id", "room", "path")) -> DataFrame:
-    """(field, term, chunk_id) with tf and positions. The aggregate's key holds the chunk, so no key is hot."""
-    rows = field_rows.select(*keys, "chunk_id", "field", F.posexplode(tokens(F.col("text"))).alias("position", "term"))
-    return rows.where(short_token(F.col("term"))).groupBy(*keys, "field", "term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+def _steps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices with about ``STEP_TOKENS`` tokens; rows stay whole."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at, done = 0, 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + STEP_TOKENS, "right")))
+            yield b.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+
+
+def _count_terms(names: list[str]):
+    """Rows that end in a list of tokens to a row per distinct short token, with its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _steps(batches, len(names) - 4):
+            lists = b.column(len(names) - 4)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(b.num_rows), counts)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            use = np.flatnonzero(pc.less(pc.binary_length(flat), LONG_TOKEN_BYTES).to_numpy(zero_copy_only=False)) if len(flat) else np.zeros(0, np.int64)
+            coded = flat.take(pa.array(use)).dictionary_encode()
+            row, place, code = row[use], place[use], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(row * max(len(coded.dictionary), 1) + code, kind="stable")
+            row, place, code = row[order], place[order], code[order]
+            edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, np.int64)
+            tf = np.diff(np.concatenate([edge, [len(row)]]))
+            mine, size = row[edge], np.bincount(row, minlength=b.num_rows)
+            positions = pa.ListArray.from_arrays(pa.array(np.concatenate([edge, [len(row)]]).astype(np.int32)), pa.array(place.astype(np.int32)))
+            keep = [c.take(pa.array(mine)) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*keep, coded.dictionary.take(pa.array(code[edge])), pa.array(tf), positions, pa.array(size[mine])], names=names)
+
+    return run
+
+
+def postings(field_rows: DataFrame, keys: tuple[str, ...] = SCOPE) -> DataFrame:
+    """(field, term, chunk_id) with tf, positions and the length of the chunk's field."""
+    rows = field_rows.select(*keys, "chunk_id", "field", tokens(F.col("text")).alias("terms"))
+    made = [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("len", T.LongType())]
+    schema = T.StructType([*rows.schema.fields[:-1], *made])
+    return rows.mapInArrow(_count_terms(schema.names), schema)
+
+
+def field_lengths(field_rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens of each chunk's field, where there are any."""
+    return field_rows.select(*keys, "field", "chunk_id", F.size(F.filter(tokens(F.col("text")), short_token)).cast("long").alias("len")).where("len > 0")
+
+
+def field_stats(field_rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per field: chunks that have it, and all tokens. Of live rows only: no history can show."""
+    return field_lengths(field_rows, keys).groupBy(*keys, "field").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total_len"))
 
 
-def field_lengths(field_postings: DataFrame) -> DataFrame:
-    return field_postings.groupBy("field", "chunk_id").agg(F.sum("tf").alias("len"))
+#: Lengths up to this are exact; above it a length keeps its four leading bits (counted from ``EXACT_LENGTHS`` - 16).
+EXACT_LENGTHS = 40
 
 
-def field_stats(field_postings: DataFrame) -> DataFrame:
-    """Per field: chunks that have it, and all tokens. Of live rows only: no history can show."""
-    return field_lengths(field_postings).groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total_len"))
+def quantised(length: Column) -> Column:
+    """A length as one byte can hold it: the largest of 256 steps that is not above it."""
+    over = length - (EXACT_LENGTHS - 16)
+    step = F.greatest(F.length(F.bin(over)) - 4, F.lit(0))
+    coarse = F.call_function("shiftleft", F.call_function("shiftright", over, step), step) + (EXACT_LENGTHS - 16)
+    return F.when(length < EXACT_LENGTHS, length).otherwise(coarse).cast("long")
 
 
-def vocabulary(field_postings: DataFrame) -> DataFrame:
+def quantised_stats(field_rows: DataFrame) -> DataFrame:
+    """Per field: chunks, and the sum of their quantised lengths, by way of a histogram of at most 256 lengths."""
+    histogram = field_lengths(field_rows).groupBy("field", quantised(F.col("len")).alias("step")).agg(F.count("*").alias("n"))
+    return histogram.groupBy("field").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("step")).alias("total_len"))
+
+
+def vocabulary(field_postings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per term: chunks, occurrences, and whether a field other than content has it."""
-    return field_postings.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"), F.sum("tf").alias("occurrences"), F.max((F.col("field") != "content").cast("int")).alias("in_metadata"))
+    one = field_postings.groupBy(*keys, "term", "chunk_id").agg(F.sum("tf").alias("tf"), F.max((F.col("field") != "content").cast("int")).alias("named"))
+    return one.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.max("named").alias("in_metadata"))
+
+
+def typo_vocabulary(field_postings: DataFrame, fields: tuple[str, ...] = ("filename", "stem", "aliases", "title", "heading", "content")) -> DataFrame:
+    """Per term the sum over fields of the chunks that hold it there."""
+    return field_postings.where(F.col("field").isin(*fields)).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _boosted() -> Column:
+    """Chunks whose names and identifiers count: sections of role formats only where they are primary."""
+    return F.col("role").isNull() | (F.col("role") == "primary") | ~F.coalesce(F.col("format").isin(*ROLE_BOOST_FORMATS), F.lit(False))
+
+
+#: Formats whose sections beside the primary ones lose heading and identifier boosts.
+ROLE_BOOST_FORMATS = ("html", "excel")
+
 
+def boosted(chunks: DataFrame, value: Column, otherwise: Column) -> Column:
+    return F.when(_boosted(), value).otherwise(otherwise) if {"role", "format"} <= set(chunks.columns) else value
 
-def identifier_rows(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.explode(identifiers(F.col("content"))).alias("identifier"))
+
+def identifier_rows(chunks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    found = boosted(chunks, identifiers(F.col("content")), F.array().cast("array<string>"))
+    return chunks.select(*keys, "chunk_id", F.explode(found).alias("identifier"))
 
 
 def _named(name: str):
     return lambda x: F.struct(F.lit(name).alias("field"), x.alias("raw"))
 
 
-def exact_rows(chunks: DataFrame) -> DataFrame:
+def exact_rows(chunks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, field, value) of all values that an exact query may equal."""
     has = set(chunks.columns)
     nothing = F.array().cast("array<string>")
-    lists = {"filename": F.array(filename(F.col("path"))), "stem": F.array(stem(F.col("path"))), "aliases": F.col("aliases") if "aliases" in has else nothing, "title": F.array("title") if "title" in has else nothing, "heading": F.array(F.array_join("heading_path", " ")) if "heading_path" in has else nothing}
+    heading = boosted(chunks, F.array(F.array_join("heading_path", " ")), nothing) if "heading_path" in has else nothing
+    lists = {"filename": F.array(filename(F.col("path"))), "stem": F.array(stem(F.col("path"))), "aliases": F.col("aliases") if "aliases" in has else nothing, "title": F.array("title") if "title" in has else nothing, "heading": heading}
     pairs = F.flatten(F.array(*[F.transform(v, _named(k)) for k, v in lists.items()]))
-    named = chunks.select("chunk_id", F.explode(pairs).alias("e")).select("chunk_id", "e.field", normalized(F.col("e.raw")).alias("value")).where("value IS NOT NULL")
-    return named.unionByName(identifier_rows(chunks).select("chunk_id", F.lit("identifier").alias("field"), F.col("identifier").alias("value")))
+    named = chunks.select(*keys, "chunk_id", F.explode(pairs).alias("e")).select(*keys, "chunk_id", "e.field", normalized(F.col("e.raw")).alias("value")).where("value IS NOT NULL")
+    return named.unionByName(identifier_rows(chunks, keys).select(*keys, "chunk_id", F.lit("identifier").alias("field"), F.col("identifier").alias("value")))
+
+
+# What a generation stores
+
+#: Tables of an index and how each is sorted: a query's rows then stand in few files and row groups.
+STORED = {"postings": ("term", "field", "chunk_id"), "names": ("value", "chunk_id"), "vocabulary": ("term",), "stats": ("vault_id", "room", "field"), "scopes": ("vault_id", "room")}
+
+
+def scopes(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("vault_id", "room").agg(F.count("*").alias("n"))
+
+
+def tables(chunks: DataFrame) -> dict[str, DataFrame]:
+    """All that a query reads beside the chunks it shows."""
+    rows, room = fields(chunks), ("vault_id", "room")
+    made = postings(rows)
+    return {"postings": made, "names": exact_rows(chunks, SCOPE), "vocabulary": vocabulary(made, room), "stats": field_stats(rows, room), "scopes": scopes(chunks)}
+
+
+def apply_postings(old: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Stored postings after sources changed or left: only what changed is read and tokenised.
+
+    ``changed`` are chunks, ``gone`` rows of (vault_id, path).
+    """
+    keys = changed.select("vault_id", "path").unionByName(gone.select("vault_id", "path")).distinct()
+    return old.join(keys, ["vault_id", "path"], "left_anti").unionByName(postings(fields(changed)).select(*old.columns))
 
 
 def apply_sources(chunks: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:

@@ -90,14 +90,22 @@ class PropertyRule:
         if self.equals is not None:
             out &= (F.col("scalar_type") == self.kind) & (F.col("exact_value") == self.equals)
         if self.low is not None or self.high is not None:
-            value = F.col("date_value") if self.kind == "date" else F.col("numeric_value")
-            out &= value.isNotNull() if self.kind == "date" else F.col("scalar_type") == self.kind
+            out &= F.col("date_value").isNotNull() if self.kind == "date" else F.col("scalar_type") == self.kind
+            value, end = self._ordered()
             if self.low is not None:
-                out &= value >= self.low
+                out &= value >= end(self.low)
             if self.high is not None:
-                out &= value <= self.high
+                out &= value <= end(self.high)
         return out
 
+    def _ordered(self):
+        """The column that a range is over, and how an end of it is said: whole numbers are never doubles."""
+        if self.kind == "date":
+            return F.col("date_value"), F.lit
+        if self.kind in ("i64", "u64"):
+            return F.when(F.col("scalar_type") == self.kind, F.col("exact_value").try_cast("decimal(20,0)")), lambda x: F.lit(str(int(x))).cast("decimal(20,0)")
+        return F.col("numeric_value"), lambda x: F.lit(float(x))
+
 
 def property_points(scalars: DataFrame, rules: list[PropertyRule], key: str = "source_key") -> DataFrame:
     """Per source the points of the rules that it meets, each once. Rules are few and fixed."""
@@ -146,25 +154,53 @@ def is_recent(mtime: Column, now: int, days: int) -> Column:
     return (mtime > 0) & (mtime <= now) & (now - mtime <= days * 86400)
 
 
-def signal_points(profile: Profile, now: int) -> Column:
-    """Points of a row with ``path`` and ``mtime``, but for property rules."""
-    out = F.lit(0)
+def signals(profile: Profile, now: int) -> dict[str, Column]:
+    """What each signal of a profile adds to a row with ``path`` and ``mtime``, but for property rules."""
+    out = {}
     if profile.recency_days:
-        out = out + F.when(is_recent(F.col("mtime"), now, profile.recency_days), profile.recency_points).otherwise(0)
+        out["recency"] = F.when(is_recent(F.col("mtime"), now, profile.recency_days), profile.recency_points).otherwise(0)
     depth, test = folder_depth(F.col("path")), F.lit(True)
     if profile.depth_at_most is not None:
         test &= depth <= profile.depth_at_most
     if profile.depth_at_least is not None:
         test &= depth >= profile.depth_at_least
     if profile.depth_points:
-        out = out + F.when(test, profile.depth_points).otherwise(0)
+        out["depth"] = F.when(test, profile.depth_points).otherwise(0)
     if profile.folders:
         choice = None
         for folder, points in sorted(profile.folders, key=lambda f: (-len(f[0]), f[0])):
             held = within_folder(F.col("path"), folder)
             choice = F.when(held, points) if choice is None else choice.when(held, points)
-        out = out + choice.otherwise(0)
-    return out.cast("int")
+        out["folder"] = choice.otherwise(0)
+    return {k: F.coalesce(v, F.lit(0)).cast("int") for k, v in out.items()}
+
+
+def signal_points(profile: Profile, now: int) -> Column:
+    """Their sum."""
+    return sum(signals(profile, now).values(), F.lit(0)).cast("int")
+
+
+def explained(profile: Profile, now: int) -> Column:
+    """The signals that moved a hit, by name in order: an array of (signal, points)."""
+    every = F.array(*[F.struct(F.lit(k).alias("signal"), v.alias("points")) for k, v in sorted(signals(profile, now).items())])
+    return F.filter(every, lambda s: s["points"] != 0)
+
+
+#: Fixed table: what the state of a signal's evidence allows an evaluation to conclude.
+SIGNAL_STATES = {
+    "matched": "strict", "nonmatched": "strict", "absent": "strict",
+    "unsupported": "neutralized", "stale": "neutralized", "unavailable": "neutralized", "untrusted": "neutralized",
+    "malformed": "fatal", "conflicting": "fatal", "missing": "fatal", "unauthorized": "fatal", "over_limit": "fatal",
+}
+
+
+def evaluation_verdict(states: DataFrame, key: str = "case_id", state: str = "state") -> DataFrame:
+    """Per case the gravest of its signals' verdicts: fatal, then neutralized (its points count 0), then strict. An unknown state is fatal."""
+    known = F.create_map(*[x for k, v in SIGNAL_STATES.items() for x in (F.lit(k), F.lit(v))])
+    verdict = F.coalesce(F.element_at(known, F.col(state)), F.lit("fatal"))
+    rank = F.when(verdict == "fatal", 2).when(verdict == "neutralized", 1).otherwise(0)
+    out = states.groupBy(key).agg(F.max(rank).alias("r"), F.count_if(verdict == "neutralized").alias("neutralized_signals"))
+    return out.select(key, F.element_at(F.array(F.lit("strict"), F.lit("neutralized"), F.lit("fatal")), F.col("r") + 1).alias("verdict"), "neutralized_signals")
 
 
 def rerank(hits: DataFrame, sources: DataFrame, profile: Profile, now: int, scalars: DataFrame | None = None) -> DataFrame:
@@ -172,10 +208,10 @@ def rerank(hits: DataFrame, sources: DataFrame, profile: Profile, now: int, scal
 
     ``sources`` has source_key and mtime; only sources of hits are looked up.
     """
-    some = sources.join(F.broadcast(hits.select("source_key").distinct()), "source_key", "left_semi").select("source_key", "mtime")
+    some = sources.join(hits.select("source_key").distinct(), "source_key", "left_semi").select("source_key", "mtime")
     rows = hits.join(some, "source_key", "left").withColumn("points", F.coalesce(signal_points(profile, now), F.lit(0)))
     if profile.properties and scalars is not None:
-        near = scalars.join(F.broadcast(hits.select("source_key").distinct()), "source_key", "left_semi")
+        near = scalars.join(hits.select("source_key").distinct(), "source_key", "left_semi")
         more = property_points(near, list(profile.properties)).withColumnRenamed("points", "more")
         rows = rows.join(more, "source_key", "left").withColumn("points", F.col("points") + F.coalesce("more", F.lit(0))).drop("more")
     order = Window.orderBy("tier_no", F.desc("points"), "rank", "chunk_id", "path")

@@ -6,7 +6,9 @@ every task keeps its own best ``k`` before anything moves.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ..functions.text import sized_digest
+from .index import embedding_text
+
 RRF_K, LEG = 60, 100
 
 
@@ -70,20 +75,68 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int = RRF_K, limit: int = 2
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
+def _hashed(text: str | None) -> list[float]:
+    v = np.zeros(32)
+    for w in (text or "").lower().split():
+        h = zlib.crc32(w.encode())
+        v[h % 32] += 1 if h >> 16 & 1 else -1
+    n = np.linalg.norm(v)
+    return (v / n if n else v).tolist()
+
+
 @arrow_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(texts: pa.Array) -> pa.Array:
     """A deterministic 32-dimensional stand-in for a model: signed hashed words, unit length."""
-    import zlib
-
-    out = []
-    for t in texts.to_pylist():
-        v = np.zeros(32)
-        for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
-            v[h % 32] += 1 if h >> 16 & 1 else -1
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).tolist())
-    return pa.array(out, pa.list_(pa.float32()))
+    return pa.array([_hashed(t) for t in texts.to_pylist()], pa.list_(pa.float32()))
+
+
+def source_identity(content_hash: Column, identity: Column) -> Column:
+    """What a source's vectors were made of: equal identities need no new vectors."""
+    return sized_digest("gleanery embedding source 1", content_hash, identity)
+
+
+@dataclass(frozen=True)
+class EmbedderProfile:
+    """Which model made vectors; vectors of another profile are dropped whole."""
+
+    name: str
+    dimensions: int
+    version: str = "1"
+
+    @property
+    def fingerprint(self) -> str:
+        return f"{self.name}/{self.version}/{self.dimensions}"
+
+
+class Embedder:
+    """The one pluggable function: passages are a column, a query is one text. Subclasses say how."""
+
+    profile: EmbedderProfile
+
+    def passages(self, text: Column) -> Column:
+        raise NotImplementedError
+
+    def query(self, text: str) -> list[float]:
+        raise NotImplementedError
+
+
+class HashEmbedder(Embedder):
+    """Signed hashed words; a stand-in that needs no model."""
+
+    profile = EmbedderProfile("hash", 32)
+
+    def passages(self, text: Column) -> Column:
+        return hash_embedding(text)
+
+    def query(self, text: str) -> list[float]:
+        return _hashed(text)
+
+
+def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """(chunk_id, source_key, fingerprint, embedding); vectors of another length than the profile's are left out."""
+    text = embedding_text(F.col("heading_path"), F.col("content"))
+    rows = chunks.select("chunk_id", "source_key", F.lit(embedder.profile.fingerprint).alias("fingerprint"), embedder.passages(text).alias("embedding"))
+    return rows.where(F.size("embedding") == embedder.profile.dimensions)
 
 
 def replace_vectors(vectors: DataFrame, changed: DataFrame) -> DataFrame:

@@ -74,6 +74,12 @@ def format_identity(fmt: str) -> str:
     return f"{fmt}/{VERSIONS[fmt]}/{CHUNKING_VERSION}"
 
 
+def format_identity_of(fmt: Column) -> Column:
+    """The same for a column of formats; null for none."""
+    known = F.create_map(*[x for f in sorted(set(EXTENSIONS.values())) for x in (F.lit(f), F.lit(format_identity(f)))])
+    return F.element_at(known, fmt)
+
+
 def valid_path(path: Column) -> Column:
     """Relative and normalised: no leading slash, no empty, ``.`` or ``..`` step."""
     return (path != "") & ~path.rlike(r"(^|/)(\.{0,2})(/|$)")

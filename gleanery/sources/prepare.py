@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.chunking import split_long
 from ..functions.text import wikilinks
 from ..operators.index import chunk_id, source_key
-from . import html, markdown, office, structured
-from .formats import EXTENSIONS, MAX_BYTES, PRUNED, Extracted, Unreadable, format_identity, format_of, valid_path
+from . import html, markdown, office, structured, tree
+from .formats import MAX_BYTES, Extracted, Unreadable, format_identity_of, format_of, valid_path
 
 
 def _no_pdf(data: bytes) -> Extracted:
@@ -83,33 +83,30 @@ def prepare(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     some = files.where(valid_path(F.col("path"))).select("vault_id", "room", "path", format_of(F.col("path")).alias("format"), F.when(F.col("byte_length") <= MAX_BYTES, F.col("content")).alias("content"), F.col("byte_length").cast("long"), F.col("mtime").cast("long"))
-    identity = F.create_map(*[x for f in sorted(set(EXTENSIONS.values())) for x in (F.lit(f), F.lit(format_identity(f)))])
     out = some.mapInArrow(run, schema)
-    return out.withColumns({"source_key": source_key(F.col("vault_id"), F.col("path")), "format_identity": F.element_at(identity, F.col("format")), "chunk_count": F.size("chunks").cast("long")})
+    return out.withColumns({"source_key": source_key(F.col("vault_id"), F.col("path")), "format_identity": format_identity_of(F.col("format")), "outcome": F.when(F.col("coverage").isin("complete", "partial"), "indexed").otherwise("skipped"), "chunk_count": F.size("chunks").cast("long")})
 
 
 def chunks(sources: DataFrame) -> DataFrame:
-    """The chunk table of prepared sources; sections that aren't primary keep their text but lose boosted fields."""
+    """The chunk table of prepared sources. Which sections lose their boosts is the index's matter: a hit shows its headings."""
     c = sources.select("source_key", "vault_id", "room", "path", "format", "coverage", "mtime", "title", "description", "status", "date", "tags", "aliases", "properties", F.explode("chunks").alias("c"))
     role = F.when(F.col("format").isin(*ROLE_FORMATS), F.col("c.role"))
     return c.select(
         chunk_id(F.col("vault_id"), F.col("path"), F.col("c.heading_path"), F.col("c.chunk_ix"), role).alias("chunk_id"),
         "source_key", "vault_id", "room", "path", "format", "coverage", "mtime", "title", "description", "status", "date", "tags", "aliases",
-        F.col("c.chunk_ix").alias("chunk_ix"), F.when(F.col("c.role") == "primary", F.col("c.heading_path")).otherwise(F.array().cast("array<string>")).alias("heading_path"),
+        F.col("c.chunk_ix").alias("chunk_ix"), F.col("c.heading_path").alias("heading_path"),
         F.col("c.content").alias("content"), F.col("c.role").alias("role"), F.col("c.locator").alias("locator"), wikilinks(F.col("c.content")).alias("links_out"),
     )
 
 
 def read_tree(spark: SparkSession, root: str, vault_id: str, room: str | None = None) -> DataFrame:
-    """Files under a folder as rows for ``prepare``; hidden and pruned folders are left out, unknown extensions too."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    clean = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    prefix = "/" + base.split(":", 1)[-1].lstrip("/") + "/"
-    path = F.substring(clean, len(prefix) + 1, 1 << 20)
-    hidden = F.col("path").rlike(r"(^|/)\.") | F.col("path").rlike(r"(^|/)(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/")
-    rows = files.select(F.lit(vault_id).alias("vault_id"), F.lit(room).cast("string").alias("room"), path.alias("path"), "content", F.col("length").alias("byte_length"), F.unix_timestamp("modificationTime").alias("mtime"))
-    return rows.where(~hidden & format_of(F.col("path")).isNotNull())
+    """Files under a folder as rows for ``prepare``: those that enumeration finds and whose extension is known.
+
+    Files that changed while they were read are left out; what is known of them stands (``tree.retained_rows``).
+    """
+    listed = tree.enumerate_tree(spark, root)
+    rows = tree.read_files(listed.where(format_of(F.col("path")).isNotNull()), root).where("NOT transient")
+    return rows.select(F.lit(vault_id).alias("vault_id"), F.lit(room).cast("string").alias("room"), "path", "content", "byte_length", "mtime")
 
 
 def pages_as_files(pages: DataFrame) -> DataFrame:

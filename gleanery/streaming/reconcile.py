@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUIET_MS, OLDEST_MS = 300, 2000
@@ -20,26 +20,83 @@ BATCHES = "vault_id string, first_ms long, last_ms long, n_events long, n_paths
 STATE = "first long, last long, events long, rescan boolean, paths array<string>"
 
 
-def classify(events: DataFrame, roots: DataFrame) -> DataFrame:
-    """(vault_id, path, ts, rescan) of raw events (kind, path, ts): a path may lie under several roots."""
+MOST_ROOTS = 10_000
+
+
+def classify(events: DataFrame, roots: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(vault_id, path, ts, rescan) of raw events (kind, path, ts): a path may lie under several roots.
+
+    Roots are configuration: there are ``MOST_ROOTS`` at most, so they may be sent to every task.
+    """
+    if roots.limit(MOST_ROOTS + 1).count() > MOST_ROOTS:
+        raise ValueError(f"there are more than {MOST_ROOTS} roots")
     rescan = F.col("kind").isin("error", "rescan", "overflow", "config")
-    named = events.withColumn("rescan", rescan).join(F.broadcast(roots), F.startswith(F.col("path"), F.concat(F.col("root"), F.lit("/"))) | rescan)
+    named = events.withColumn("rescan", rescan).join(F.broadcast(roots), F.startswith(F.col("path"), F.concat(F.col("root"), F.lit("/"))) | F.col("rescan"))
     inside = F.when(~F.col("rescan"), F.substring("path", F.length("root") + 2, F.length("path")))
-    return named.select("vault_id", inside.alias("path"), "ts", "rescan")
+    return named.select(*keep, "vault_id", inside.alias("path"), "ts", "rescan")
 
 
-def debounce_batches(events: DataFrame, quiet_ms: int = QUIET_MS, key: str = "vault_id", ts: str = "ts") -> DataFrame:
-    """The batch rule over a finished table of events: a pause of ``quiet_ms`` ends a batch."""
+def debounce_batches(events: DataFrame, quiet_ms: int = QUIET_MS, oldest_ms: int = OLDEST_MS, key: str = "vault_id", ts: str = "ts") -> DataFrame:
+    """The batch rule over a finished table of events: a pause of ``quiet_ms``, or a first event ``oldest_ms`` old, ends a batch.
+
+    Pauses are found by a window. Where a batch grows old depends on where it
+    began, so within a run without pauses the times are folded in order.
+    """
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    ms = F.unix_micros(F.col(ts).cast("timestamp"))
-    start = F.coalesce((ms - F.lag(ms).over(w) >= quiet_ms * 1000).cast("int"), F.lit(1))
-    rows = events.withColumn("starts", start).withColumn("batch", F.sum("starts").over(w))
-    return rows.groupBy(key, "batch").agg(F.count("*").alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    pause = F.coalesce((us - F.lag(us).over(w) >= quiet_ms * 1000).cast("int"), F.lit(1))
+    runs = events.withColumn("__pause", pause).withColumn("__run", F.sum("__pause").over(w))
+    times = runs.groupBy(key, "__run").agg(F.array_sort(F.collect_list(us)).alias("__ts"))
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(None).cast("bigint").alias("first"))
+
+    def step(held, x):
+        new = held["first"].isNull() | (x["t"] - held["first"] >= oldest_ms * 1000)
+        return F.struct(F.when(new, F.concat(held["starts"], F.array(x["i"]))).otherwise(held["starts"]).alias("starts"), F.when(new, x["t"]).otherwise(held["first"]).alias("first"))
+
+    numbered = F.transform("__ts", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    rows = times.withColumn("__starts", F.aggregate(numbered, none, step)["starts"])
+    spans = F.transform("__starts", lambda a, k: F.struct(a.alias("a"), F.coalesce(F.get("__starts", k + 1), F.size("__ts")).alias("z")))
+    rows = rows.select(key, "__ts", F.explode(spans).alias("s")).select(key, F.get("__ts", F.col("s.a")).alias("first"), F.get("__ts", F.col("s.z") - 1).alias("last"), (F.col("s.z") - F.col("s.a")).cast("long").alias("n_events"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("first")).cast("long")
+    at = lambda c: F.timestamp_micros(c).cast(events.schema[ts].dataType)
+    return rows.select(key, number.alias("batch"), "n_events", at("first").alias("first_ts"), at("last").alias("last_ts"))
+
+
+def rescan_latch(batches: DataFrame, paths: str = "n_paths", said: str | None = None) -> DataFrame:
+    """More than ``MOST_PATHS`` paths, or an event that says so, make a batch a full rescan."""
+    full = F.col(paths) > MOST_PATHS
+    return batches.withColumn("full_rescan", full | F.coalesce(F.col(said), F.lit(False)) if said else full)
 
 
-def rescan_latch(batches: DataFrame, paths: str = "n_paths") -> DataFrame:
-    """More than ``MOST_PATHS`` paths, or an event that says so, make a batch a full rescan."""
-    return batches.withColumn("full_rescan", F.col(paths) > MOST_PATHS)
+def merge_back(pending: DataFrame, failed: DataFrame) -> DataFrame:
+    """What waits after a pass failed: its batch joins what came meanwhile, per vault; a full rescan stays one.
+
+    Both: (vault_id, paths, full_rescan).
+    """
+    rows = pending.select("vault_id", "paths", "full_rescan").unionByName(failed.select("vault_id", "paths", "full_rescan"))
+    paths = F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths"))))
+    out = rows.groupBy("vault_id").agg(paths.alias("paths"), F.bool_or("full_rescan").alias("said"))
+    out = out.withColumn("full_rescan", F.col("said") | (F.size("paths") > MOST_PATHS))
+    return out.select("vault_id", F.when(F.col("full_rescan"), F.array().cast("array<string>")).otherwise(F.col("paths")).alias("paths"), "full_rescan")
+
+
+SAFETY_SECONDS = 60
+
+
+def safety_passes(passes: DataFrame, until, every: int = SAFETY_SECONDS, key: str = "vault_id", ts: str = "ts") -> DataFrame:
+    """Full passes that fall due between and after the passes of a vault: one each ``every`` seconds without any."""
+    w = Window.partitionBy(key).orderBy(ts)
+    rows = passes.select(key, F.col(ts).cast("timestamp").alias("__at"), F.coalesce(F.lead(F.col(ts).cast("timestamp")).over(w), until.cast("timestamp")).alias("__next"))
+    due = F.floor((F.unix_micros("__next") - F.unix_micros("__at") - 1) / F.lit(every * 1_000_000).cast("long")).cast("int")
+    rows = rows.where(due >= 1).select(key, "__at", F.explode(F.sequence(F.lit(1), due)).alias("k"))
+    return rows.select(key, F.timestamp_micros(F.unix_micros("__at") + F.col("k") * F.lit(every * 1_000_000).cast("long")).alias(ts))
+
+
+def safety_stream(spark, vaults: list[str], every: int = SAFETY_SECONDS) -> DataFrame:
+    """The same as a stream: a full-rescan batch for each vault at each tick, in the shape of ``pending_batches``."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.col("value") % every == every - 1)
+    ms = F.unix_millis("timestamp")
+    return ticks.select(F.explode(F.array(*map(F.lit, vaults))).alias("vault_id"), ms.alias("first_ms"), ms.alias("last_ms"), F.lit(0).cast("long").alias("n_events"), F.lit(0).cast("long").alias("n_paths"), F.lit(True).alias("full_rescan"), F.array().cast("array<string>").alias("paths"))
 
 
 def _pending(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -97,8 +154,31 @@ def run_reconcile(batches: DataFrame, act: Callable[[DataFrame, int], None], che
     return query
 
 
-def freshness(age_seconds: float | None, reconciling: bool, stale_after: float = 120.0) -> str:
+def drain(query, seconds: float = 120.0) -> None:
+    """Stops a stream once a trigger has found nothing new to read.
+
+    Timers of processing time always have something to do, so such a stream
+    neither ends by itself nor tells that all is processed.
+    """
+    for _ in range(int(seconds * 5)):
+        if query.awaitTermination(0.2):
+            return
+        read = [p["numInputRows"] for p in query.recentProgress]
+        if any(read) and not read[-1]:
+            break
+    query.stop()
+
+
+STALE_AFTER = 120.0
+
+
+def freshness(age_seconds: float | None, reconciling: bool, stale_after: float = STALE_AFTER) -> str:
     """The state that a status row shows."""
     if age_seconds is None:
         return "unavailable"
     return "reconciling" if reconciling else "stale" if age_seconds > stale_after else "current"
+
+
+def freshness_state(age_seconds: Column, reconciling: Column, stale_after: float = STALE_AFTER) -> Column:
+    """The same over columns."""
+    return F.when(age_seconds.isNull(), "unavailable").when(reconciling, "reconciling").when(age_seconds > stale_after, "stale").otherwise("current")

@@ -275,8 +275,8 @@ def test_stream_matches_batches(spark, tmp_path):
     def follow(frame, epoch):
         raise RuntimeError("no model")
 
-    q = ST.run_reconcile(ST.pending_batches(ST.classify(events, roots)), act, f"{tmp_path}/check", follow)
-    q.awaitTermination(60)
+    q = ST.run_reconcile(ST.pending_batches(ST.classify(events, roots)), act, f"{tmp_path}/check", follow, available_now=False)
+    ST.drain(q, 60)
     assert q.failures and seen[0].n_events == 5 and seen[0].paths == ["n0.md", "n1.md", "n2.md"] and not seen[0].full_rescan
     assert not fails
 
@@ -284,4 +284,4 @@ def test_stream_matches_batches(spark, tmp_path):
 def test_metrics_and_status(spark):
     assert ST.freshness(None, False) == "unavailable" and ST.freshness(1, False) == "current" and ST.freshness(999, False) == "stale"
     chunks = spark.createDataFrame([("c1", "s1"), ("c2", "s2")], "chunk_id string, source_key string")
-    assert M.check_integrity(chunks, chunks, spark.createDataFrame([("s1",)], "source_key string")) == {"postings_without_chunk": 0, "chunks_without_source": 1, "repeated_chunks": 0}
+    assert M.check_integrity(chunks, chunks, spark.createDataFrame([("s1",)], "source_key string")) == {"postings_without_chunk": 0, "chunks_without_source": 1, "sources_without_chunk": 0, "repeated_chunks": 0}
