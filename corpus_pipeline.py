@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one
 before it kept; all but the last return the columns of documents.
+
+Defined cases, for every stage. No rows: no rows. Null ids, sources and
+languages are values of their own; a null text counts as empty. Rows that
+repeat an id are documents of their own, except where their texts are near
+copies. Texts of any length are worked on whole. Columns beside those of
+``documents`` pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,23 +23,29 @@ from gleanery.session import scratch
 
 
 def quality_rules(spark, docs, sf_dir):
+    """Documents that pass the base rules and their language's bands; the others go. Null and empty texts fail the base rules."""
     return keep_good(docs)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
-    out = line_dedup(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Every document, without the lines that one with a smaller id holds too. A null id is the largest; a null text becomes an empty one."""
+    out = line_dedup(docs)
+    new = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies, that with the smallest id; texts without words are in no group."""
     return drop_near_copies(docs, words=5, num=80, den=100)
 
 
 def mix_sources(spark, docs, sf_dir):
-    return mix_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Whole copies of documents, up to three each, in the order of the queue; texts without words are in none."""
+    return mix_documents(docs)
 
 
 def pack_sequences(spark, docs, sf_dir):
+    """A row for each piece of a document in a sequence; a null or empty text is its end token alone."""
     return pack_digest(docs)
 
 
