@@ -25,11 +25,32 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = BLOC
             at, total = to, int(ends[to - 1])
 
 
+_RELEASE: list[Callable[[], None]] = []
+_last: str | None = None
+
+
+def held_by_process(release: Callable[[], None]) -> None:
+    """Says how to drop what a module keeps in its process between tasks."""
+    _RELEASE.append(release)
+
+
+def enter(module: str) -> None:
+    """A task of a module begins: what modules kept for another one's tasks goes."""
+    global _last
+    if _last is not None and _last != module:
+        for release in _RELEASE:
+            release()
+        give_back()
+    _last = module
+
+
 def tidy(work: Callable) -> Callable:
-    """The same work on batches; its process gives freed memory back at the end, as it is kept for other tasks."""
+    """The same work on batches; its process, which is kept for other tasks, gives freed memory back before and after."""
+    module = work.__module__
 
     @wraps(work)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(module)
         try:
             yield from work(batches)
         finally:
@@ -75,6 +96,9 @@ class RecentCache:
     def __init__(self, half: int):
         self.half, self.young, self.old = half, {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def get_all(self, keys: list, make) -> list:
         """The values of the keys; ``make(missing keys)`` gives the missing ones' values."""
         young, old, missing = self.young, self.old, []

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .blocks import RecentCache, blocks, offsets_of, tidy
+from .blocks import RecentCache, blocks, held_by_process, offsets_of, tidy
 from .common import id_of, id_or_last
 from .components import components
 
@@ -66,6 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 # Shingle sets
 
 _WORDS = RecentCache(200_000)
+held_by_process(_WORDS.clear)
 
 
 def _word_hashes(words: list[str]) -> list[int]:

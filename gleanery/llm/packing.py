@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import RecentCache, blocks, offsets_of, take_ranges, tidy
+from .blocks import RecentCache, blocks, held_by_process, offsets_of, take_ranges, tidy
 
 #: A unit is a word with the space before it; ids of at most twice this many are kept.
 CACHE_UNITS = 250_000
@@ -225,6 +225,7 @@ class VectorPacker:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+held_by_process(_ENCODERS.clear)
 
 
 def _encoder(path: str) -> Encoder:

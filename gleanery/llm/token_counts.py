@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import RecentCache, blocks, offsets_of
+from .blocks import RecentCache, blocks, held_by_process, offsets_of, tidy
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -124,6 +124,7 @@ class CountOnlyViterbi:
 
 
 _READY: dict[str, CountOnlyViterbi] = {}
+held_by_process(_READY.clear)
 
 
 def _counter(path: str) -> CountOnlyViterbi:
@@ -152,7 +153,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             chars = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([block.column(0), chars, pa.array(counter.texts(texts), pa.int64())], names=[id_col, "n_chars", "n_tokens"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(count, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(tidy(count), schema)
 
 
 def op9_token_counts(spark, sf_dir):
