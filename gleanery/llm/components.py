@@ -5,7 +5,7 @@ to the smallest of them. Each half round is a minimum per node, pre-aggregated,
 and a join that may be split where a node is hot; neighbour lists are never
 collected. The rounds end when the edges no longer change. Before the first
 one, tasks of ``CONTRACTED`` edges at most replace their edges by a forest of
-stars that joins the same nodes.
+stars that joins the same nodes, as their files lie.
 
 A round is one job: it writes its edges to the shared folder and counts them as
 it writes. What is read back has the statistics of its files; a checkpoint
@@ -14,7 +14,7 @@ keeps estimates of where it came from, which joins multiply round by round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,27 @@ def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names, names[root]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if held:
-        names, roots = smallest_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        differ = names != roots
-        yield pa.RecordBatch.from_arrays([pa.array(names[differ]), pa.array(roots[differ])], names=["a", "b"])
+def _contract(most: int) -> Callable:
+    """Edges to fewer that join the same nodes; about ``most`` are held at once, whatever comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = np.zeros(0, np.int64)
+        for batch in batches:
+            a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
+            if len(a) > most:
+                a, b = stars(a, b)
+                if len(a) > most // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    a = b = a[:0]
+        if len(a):
+            a, b = stars(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, roots = smallest_reached(a, b)
+        return names[names != roots], roots[names != roots]
+
+    return run
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -76,9 +91,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     e, now = kept(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), 0)
     if now[0]:
-        # dealt by a hash, so that a task holds its share whatever node is hot
-        share = e.repartition(-(-now[0] // CONTRACTED), F.xxhash64("a", "b"))
-        e, now = kept(share.mapInArrow(_contract, "a long, b long"), -1)
+        # files are read side by side as they lie, no node is dealt anywhere
+        e, now = kept(e.coalesce(-(-now[0] // CONTRACTED)).mapInArrow(_contract(CONTRACTED), "a long, b long"), -1)
         remove(spark, f"{folder}/0")
     for number in range(1, MOST_ROUNDS):
         if not now[0]:

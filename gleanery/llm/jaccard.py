@@ -308,8 +308,9 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """A row for each set: the bits of its tokens."""
     words = np.zeros((len(sets), bits // 64), np.uint64)
     for row, s in zip(words, sets, strict=True):
-        bit = s & np.uint64(bits - 1)
-        np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        set_ = np.zeros(bits, bool)
+        set_[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(set_, bitorder="little").view(np.uint64)
     return words
 
 
@@ -322,7 +323,7 @@ class Tree:
     the bitmaps don't rule out counts as linked.
     """
 
-    FAN, LEAF = 8, 16
+    FAN = 8
 
     def __init__(self, words: np.ndarray, sizes: np.ndarray, least: np.ndarray, sets: list[np.ndarray] | None = None):
         order = np.lexsort((sizes, least))  # near copies share their smallest token
@@ -330,7 +331,8 @@ class Tree:
         self.sets = [sets[i] for i in order] if sets is not None else None
         self.extra = self.size - np.bitwise_count(self.words).sum(1).astype(np.int64)
         # levels[0] are the leaves; each node: start and end among the sets
-        spans = [(a, min(a + self.LEAF, len(sizes))) for a in range(0, len(sizes), self.LEAF)]
+        leaf = min(64, max(8, 2048 // words.shape[1]))  # what two leaves compare at once stays small
+        spans = [(a, min(a + leaf, len(sizes))) for a in range(0, len(sizes), leaf)]
         self.nodes: list[tuple] = []
         level = [self._node(np.bitwise_or.reduce(self.words[a:b], axis=0), self.size[a:b], self.extra[a:b], (a, b), ()) for a, b in spans]
         while len(level) > 1:

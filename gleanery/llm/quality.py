@@ -47,7 +47,7 @@ BIN = 0.002
 #: Robust deviations (1.4826 times the median absolute deviation) below and above the median.
 BELOW, ABOVE = 6.0, 10.0
 #: The share of all words, and of all runs, that makes one common is 1 to this: so many are sent to the executors at most.
-COMMON, COMMON_RUNS = 1 << 20, 1 << 22
+COMMON, COMMON_RUNS = 1 << 22, 1 << 24
 #: Languages that have a model of their own.
 MOST_LANGUAGES = 1024
 #: How often a word counts in one document; the word band.
