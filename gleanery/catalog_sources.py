@@ -294,6 +294,26 @@ def excel_sections(spark, sf_dir):
     return s.select("path", "chunk_ix", "heading_path", "role", "content", F.get_json_object("locator", "$.cell").alias("cell"))
 
 
+def _pdf(title: str, names: list[str]) -> bytes:
+    """A page for each name: the title above, the name and its number in two columns of a row; every fourth page is empty."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [" + b"500 " * 95 + b"] >>"}
+    for i, name in enumerate(names):
+        shown = [(50, 700, title), (50, 600, name), (300, 600, str(i + 1))] if i % 4 != 3 else []
+        body = b"".join(f"BT /F1 10 Tf 1 0 0 1 {x} {y} Tm ({t}) Tj ET\n".encode() for x, y, t in shown)
+        objects[10 + 2 * i] = b"<< /Type /Page /Contents %d 0 R >>" % (11 + 2 * i)
+        objects[11 + 2 * i] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body)
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(names)))
+    objects[2] = b"<< /Kids [" + kids + b"] /Resources << /Font << /F1 3 0 R >> >> >>"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % o for o in objects.items()) + b"trailer << /Root 1 0 R >>"
+
+
+@query(f"""WITH {NAMES} SELECT 'r' || r || '.pdf' AS path, (row_number() OVER (PARTITION BY r ORDER BY i) - 1)::INT AS chunk_ix, r_name || chr(10) || chr(10) || n_name || ' ' || i AS content, i::INT AS page FROM n WHERE i % 4 <> 0""")
+def pdf_pages(spark, sf_dir):
+    """A section for each page that has text, with the page's number."""
+    s = _sections(_packages(spark, sf_dir, _pdf, ".pdf"), "content", "locator")
+    return s.select("path", "chunk_ix", "content", F.get_json_object("locator", "$.page").cast("int").alias("page"))
+
+
 @query("""WITH k AS (SELECT o_orderkey, o_orderkey % 16384 + 1 AS c FROM orders), l AS (SELECT o_orderkey, c, CASE WHEN c > 702 THEN chr((65 + (c - 703) // 676)::INT) ELSE '' END || CASE WHEN c > 26 THEN chr((65 + ((c - 27) // 26) % 26)::INT) ELSE '' END || chr((65 + (c - 1) % 26)::INT) AS letters FROM k)
 SELECT o_orderkey, letters || (o_orderkey % 1000 + 1) AS cell, (o_orderkey % 1000 + 1)::INT AS row_no, c::INT AS column_no FROM l""")
 def cell_names(spark, sf_dir):

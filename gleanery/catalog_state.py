@@ -223,7 +223,7 @@ def evaluation_verdicts(spark, sf_dir):
 # Ladders over stored tables
 
 
-def _published(spark, sf_dir) -> M.Generations:
+def published(spark, sf_dir) -> M.Generations:
     """The documents' index as a generation under the shared folder."""
     s = document_sources(spark, sf_dir).withColumn("chunk_count", F.lit(1).cast("long"))
     kept = M.Generations(spark, scratch(spark, "generations"))
@@ -235,14 +235,14 @@ def _published(spark, sf_dir) -> M.Generations:
 SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM a ORDER BY score DESC, chunk_id LIMIT 50""")
 def stored_search(spark, sf_dir):
     """Two terms over a published index: postings by term, statistics as a few rows."""
-    return _best(S.Index.opened(_published(spark, sf_dir).reader()).all_terms([P.Term("the"), P.Term("of")]), 50)
+    return _best(S.Index.opened(published(spark, sf_dir).reader()).all_terms([P.Term("the"), P.Term("of")]), 50)
 
 
 @query(f"""WITH {C}, k AS (SELECT * FROM c WHERE (vault_id = 'src1' AND room = 'en') OR (vault_id = 'src2' AND room = 'fr')), f AS (SELECT chunk_id, vault_id, room, 'content' AS field, content AS txt FROM k)
 SELECT 'chunks' AS part, count(*)::BIGINT AS n FROM k UNION ALL SELECT 'scope', count(*)::BIGINT FROM k UNION ALL SELECT 'folders', count(DISTINCT (vault_id, room))::BIGINT FROM k""")
 def stored_resources(spark, sf_dir):
     """Authorised resources of a published index, by the folders of its partitions."""
-    read = _published(spark, sf_dir).reader()
+    read = published(spark, sf_dir).reader()
     who = [("src1", "en"), ("src2", "fr"), ("nowhere", None)]
     ix = S.Index.opened(read, who)
     folders = S.authorised(read("postings"), who).select(M.PARTITION).distinct()
@@ -253,7 +253,7 @@ def stored_resources(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('chunks_without_source', 0), ('postings_without_chunk', 0), ('repeated_chunks', 0), ('sources_without_chunk', 0)) t(problem, n)")
 def stored_integrity(spark, sf_dir):
     """A published index holds every row's counterpart."""
-    read = _published(spark, sf_dir).reader()
+    read = published(spark, sf_dir).reader()
     chunks = read("chunks").withColumn("source_key", F.regexp_replace("chunk_id", "^c", "s"))
     found = M.check_integrity(chunks, read("postings"), read("sources"))
     return _frame(spark, sorted(found.items()), "problem string, n int")

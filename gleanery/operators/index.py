@@ -183,11 +183,10 @@ def scopes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("vault_id", "room").agg(F.count("*").alias("n"))
 
 
-def tables(chunks: DataFrame) -> dict[str, DataFrame]:
-    """All that a query reads beside the chunks it shows."""
+def tables(chunks: DataFrame) -> dict:
+    """All that a query reads beside the chunks it shows; the vocabulary is made of the postings as they were written."""
     rows, room = fields(chunks), ("vault_id", "room")
-    made = postings(rows)
-    return {"postings": made, "names": exact_rows(chunks, SCOPE), "vocabulary": vocabulary(made, room), "stats": field_stats(rows, room), "scopes": scopes(chunks)}
+    return {"postings": postings(rows), "vocabulary": lambda read: vocabulary(read("postings"), room), "names": exact_rows(chunks, SCOPE), "stats": field_stats(rows, room), "scopes": scopes(chunks)}
 
 
 def apply_postings(old: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:

@@ -197,10 +197,13 @@ class Generations:
     def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, sort_by: dict[str, tuple[str, ...]] | None = None) -> str:
         """Write a candidate, validate it, rename it into place, then move the pointer and drop old versions.
 
-        Publishers that race take different numbers; the pointer goes to the one that moves it last.
+        A table may be a function that makes it of those written before it. Publishers that race take different numbers;
+        the pointer goes to the one that moves it last.
         """
         candidate = f"candidate-{uuid.uuid4().hex}"
+        written = lambda t: self.spark.read.parquet(f"{self.root}/{candidate}/{t}")
         for table, frame in tables.items():
+            frame = frame(written) if callable(frame) else frame
             folders, order = (partition_by or {}).get(table, []), (sort_by or {}).get(table, ())
             if order:
                 # a range of the sort key in each file, whatever key is hot: the last sort column is a chunk's
@@ -258,7 +261,8 @@ class Generations:
 
     def publish_index(self, sources: DataFrame, chunks: DataFrame, tenant: str = "local") -> str:
         """Sources, chunks and all that a query reads, in folders of resources."""
-        made = {k: with_partition(v, tenant) for k, v in index.tables(chunks).items()}
+        placed = lambda v: (lambda read: with_partition(v(read), tenant)) if callable(v) else with_partition(v, tenant)
+        made = {k: placed(v) for k, v in index.tables(chunks).items()}
         frames = {"sources": sources, "chunks": with_partition(chunks, tenant), **made}
         return self.publish(frames, dict.fromkeys(("chunks", *made), [PARTITION]), {**index.STORED, "chunks": ("chunk_id",)})
 

@@ -15,6 +15,7 @@ CHROME = frozenset("nav aside footer noscript".split())
 LANDMARKS = frozenset("banner navigation complementary contentinfo search".split())
 #: An opening tag closes these open ones, up to the barriers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
+CELLS, TABLE_PARTS = frozenset(("td", "th", "caption")), frozenset(("table", "tbody", "thead", "tfoot", "tr"))
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 
@@ -39,6 +40,9 @@ class _Reader(HTMLParser):
         self.skip: list[str] = []
         self.stacks: list[list[tuple[int, str]]] = [[]]  # the first is the primary one
         self.heading: int | None = None
+        self.tables: list[int] = []  # for each open table, the place before it
+        self.loose = ""
+        self.fostered: int | None = None  # where text that stands outside cells goes on
 
     def role(self) -> str:
         return self.open[-1][1] if self.open else "primary"
@@ -66,6 +70,9 @@ class _Reader(HTMLParser):
             if was == "latent" and self.role_below() != "latent":
                 self.flush()
             self.open.pop()
+            if name == "table" and self.tables:
+                self.tables.pop()
+                self.fostered = None
             if name == tag:
                 return
 
@@ -86,8 +93,11 @@ class _Reader(HTMLParser):
             if tag == self.skip[-1] and tag not in VOID:
                 self.skip.append(tag)
             return
-        if tag == "title" and not self.in_body:
-            self.in_title = True
+        if tag == "title":
+            if self.in_body:
+                self.skip.append(tag)  # a later title is no text of the body
+            else:
+                self.in_title = True
             return
         if tag == "meta":
             if not self.in_body and self.description is None and a.get("name", "").lower() == "description" and a.get("content", "").strip():
@@ -117,6 +127,10 @@ class _Reader(HTMLParser):
             self.flush()
         if tag == "br":
             self.text.append(" ")
+        if tag in CELLS or tag in TABLE_PARTS:
+            self.fostered = None
+        if tag == "table":
+            self.tables.append(len(self.out))
         if tag not in VOID:
             self.open.append((tag, role, stack))
             if tag in HEADINGS:
@@ -148,11 +162,34 @@ class _Reader(HTMLParser):
             if self.title is None and data.strip():
                 self.title = " ".join(data.split())
             return
-        if not self.skip:
-            if data.strip():
-                self.in_body = True
+        if self.skip:
+            return
+        if data.strip():
+            self.in_body = True
+        if self.outside_cells():
+            self.foster(data)
+        else:
             self.text.append(data)
 
+    def outside_cells(self) -> bool:
+        """Whether the nearest part of a table that is open is no cell."""
+        return next((name in TABLE_PARTS for name, _, _ in reversed(self.open) if name in CELLS or name in TABLE_PARTS), False)
+
+    def foster(self, data: str) -> None:
+        """Text that a table holds outside its cells stands before the table."""
+        if self.fostered is not None:
+            self.loose += data
+            self.out[self.fostered].content = " ".join(self.loose.split())
+            return
+        content, self.loose = " ".join(data.split()), data
+        if not content or not self.tables:
+            return
+        above = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == "table")
+        _, role, stack = self.open[above - 1] if above else ("", "primary", 0)
+        self.fostered, place = self.tables[-1], self.tables[-1]
+        self.out.insert(place, Section(content, [n for _, n in self.stacks[stack]], role))
+        self.tables[-1] += 1
+
 
 def read(data: bytes) -> Extracted:
     text = decode(data)

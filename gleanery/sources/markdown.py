@@ -82,8 +82,21 @@ def _heading_text(raw: str) -> str:
     return " ".join(re.sub(r"(?<!\w)[*_]{1,3}(\S(?:.*?\S)?)[*_]{1,3}(?!\w)", r"\1", text).split())
 
 
+#: Marks of the containers that a line may stand in: quotes and list items.
+_CONTAINER = re.compile(r" {0,3}(?:> ?|(?:[-*+]|\d{1,9}[.)])(?:[ \t]{1,4}(?=\S)))")
+_RULE = re.compile(r"^ {0,3}(?:[-*_][ \t]*){3,}$")
+
+
+def _inside(line: str) -> tuple[str, int]:
+    """A line without the marks of quotes and list items before it, and how many there were."""
+    marks = 0
+    while not _RULE.match(line) and (m := _CONTAINER.match(line)):
+        line, marks = line[m.end() :], marks + 1
+    return line, marks
+
+
 def headings(text: str) -> list[tuple[int, int, str]]:
-    """(line, level, text) of ATX and setext headings; fences, indented code and HTML blocks hold none."""
+    """(line, level, text) of ATX and setext headings, those in quotes and list items too; fences, indented code and HTML blocks hold none."""
     out, fence, html, paragraph = [], None, False, []
     for i, line in enumerate(text.split("\n")):
         line = line.rstrip("\r")
@@ -95,6 +108,9 @@ def headings(text: str) -> list[tuple[int, int, str]]:
         if html:
             html = not blank
             continue
+        line, marks = _inside(line)
+        if marks:
+            paragraph = paragraph if line.strip() and _SETEXT.match(line) else []
         m = _FENCE.match(line)
         if m and not (m[1][0] == "`" and "`" in m[2]):
             fence, paragraph = m[1], []

@@ -96,7 +96,13 @@ def _runs(e: ET.Element, styles: dict, latent: bool) -> list[tuple[bool, str]]:
     return out
 
 
-def _story(root: ET.Element | None, styles: dict, role: str, stack: list) -> list[Section]:
+def _cell(c: ET.Element, styles: dict, latent: bool) -> str:
+    """The paragraphs of a cell, its shown or its hidden text; tables inside it are read where they stand."""
+    lines = ("".join(t for hidden, t in _runs(p, styles, False) if hidden == latent).strip() for p in c.iter(f"{W}p"))
+    return "\n".join(t for t in lines if t)
+
+
+def _story(root: ET.Element | None, styles: dict, role: str, stack: list, notices: list[str]) -> list[Section]:
     out = []
 
     def paragraph(p: ET.Element) -> None:
@@ -122,10 +128,13 @@ def _story(root: ET.Element | None, styles: dict, role: str, stack: list) -> lis
             if child.tag == f"{W}p":
                 paragraph(child)
             elif child.tag == f"{W}tbl":
-                for row in child.iter(f"{W}tr"):
-                    cells = ["\n".join(t for p in c.iter(f"{W}p") if (t := "".join(x for latent, x in _runs(p, styles, False) if not latent).strip())) for c in row.findall(f"{W}tc")]
-                    if any(cells):
-                        out.append(Section("\t".join(cells), [n for _, n in stack], role))
+                if any(True for c in child.iter(f"{W}tc") for _ in c.iter(f"{W}tbl")):
+                    notices.append("a table stands inside a table")
+                for row in child.findall(f"{W}tr"):
+                    for latent in (False, True):
+                        cells = [_cell(c, styles, latent) for c in row.findall(f"{W}tc")]
+                        if any(cells):
+                            out.append(Section("\t".join(cells), [n for _, n in stack], "latent" if latent else role))
             elif child.tag != f"{W}sectPr":
                 body(child)
 
@@ -143,14 +152,16 @@ def read_docx(data: bytes) -> Extracted:
         raise Unreadable("no document part")
     parts = package.related(name)
     styles = _styles(package.xml(next((p for k, p in parts.values() if k == "styles"), "")))
-    out = _story(root.find(f"{W}body"), styles, "primary", [])
+    notices: list[str] = []
+    out = _story(root.find(f"{W}body"), styles, "primary", [], notices)
     for kinds in (("footnotes", "endnotes"), ("header", "footer"), ("comments",)):
         for kind, part in sorted(parts.values()):
             if kind in kinds:
-                out += _story(package.xml(part), styles, "supporting", [])
+                out += _story(package.xml(part), styles, "supporting", [], notices)
     order = {"primary": 0, "supporting": 1, "latent": 2}
     out.sort(key=lambda s: order[s.role])
-    return Extracted("complete" if out else "skipped_no_extractable_text", out).checked()
+    coverage = "partial" if notices else "complete"
+    return Extracted(coverage if out else "skipped_no_extractable_text", out, notices=notices).checked()
 
 
 # Excel

@@ -13,18 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.chunking import split_long
 from ..functions.text import wikilinks
 from ..operators.index import chunk_id, source_key
-from . import html, markdown, office, structured, tree
+from . import html, markdown, office, pdf, structured, tree
 from .formats import MAX_BYTES, Extracted, Unreadable, format_identity_of, format_of, valid_path
 
 
-def _no_pdf(data: bytes) -> Extracted:
-    raise Unreadable("no PDF reader is installed")
-
-
 #: Format to reader; a reader takes bytes.
 READERS: dict[str, Callable[[bytes], Extracted]] = {
     "markdown": markdown.read, "text": structured.read_text, "base": structured.read_base, "canvas": structured.read_canvas, "excalidraw": structured.read_excalidraw,
-    "html": html.read, "docx": office.read_docx, "excel": office.read_excel, "pdf": _no_pdf,
+    "html": html.read, "docx": office.read_docx, "excel": office.read_excel, "pdf": pdf.read,
 }
 ROLE_FORMATS = ("html", "excel", "docx")
 

@@ -148,3 +148,96 @@ def test_safety_stream_and_merge(spark):
     batch = lambda *rows: spark.createDataFrame(list(rows), "vault_id string, paths array<string>, full_rescan boolean")
     got = {r.vault_id: (r.paths, r.full_rescan) for r in ST.merge_back(batch(("a", ["x"], False), ("b", [], True)), batch(("a", ["y", "x"], False), ("c", ["z"], False))).collect()}
     assert got == {"a": (["x", "y"], False), "b": ([], True), "c": (["z"], False)}
+
+
+def test_html_tables_and_late_titles():
+    from gleanery.sources import html
+
+    page = b"<title>T</title><h1>H</h1><p>a<table>loose <b>text</b><tr><td>one</td>more<td>two</td></tr><title>late</title><tr><td>x<table>in<tr><td>y</table></td></tr></table><p>b"
+    got = html.read(page)
+    assert got.title == "T"
+    assert [(s.content, s.headings) for s in got.sections] == [(c, ["H"]) for c in ("H", "a", "loose text", "more", "one", "two", "x", "in", "y", "b")]
+
+
+def test_headings_in_containers():
+    from gleanery.sources import markdown
+
+    doc = "> # Quoted\n> words\n\n- ## Item\n- plain\n\n1. ### Third\n\n* * *\n\n> > Deep\n> > ====\n\nText\n- - -\n"
+    assert [(level, name) for _, level, name in markdown.headings(doc)] == [(1, "Quoted"), (2, "Item"), (3, "Third"), (1, "Deep")]
+
+
+def test_tables_in_word_processing():
+    from gleanery.sources import office
+
+    from .test_engine import packed
+
+    w = f'xmlns:w="{office.W[1:-1]}"'
+    run = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r><w:r><w:rPr><w:vanish/></w:rPr><w:t>({t})</w:t></w:r></w:p>"
+    inner = f"<w:tbl><w:tr><w:tc>{run('in')}</w:tc></w:tr></w:tbl>"
+    body = f"<w:document {w}><w:body><w:tbl><w:tr><w:tc>{run('a')}</w:tc><w:tc>{run('b')}{inner}</w:tc></w:tr></w:tbl></w:body></w:document>"
+    got = office.read_docx(packed({"word/document.xml": body}))
+    assert got.coverage == "partial" and got.notices == ["a table stands inside a table"]
+    assert [(s.content, s.role) for s in got.sections] == [("a\tb\nin", "primary"), ("(a)\t(b)\n(in)", "latent")]
+
+
+def made_pdf(*pages, encrypted=False, packed=False):
+    """A PDF whose pages are lists of (x, y, size, text)."""
+    import zlib
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [" + b"500 " * 224 + b"] >>"}
+    kids = []
+    for i, page in enumerate(pages):
+        body = b"".join(b"BT /F1 %d Tf 1 0 0 1 %d %d Tm (%s) Tj ET\n" % (size, x, y, t.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")) for x, y, size, t in page)
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
+        body = zlib.compress(body) if packed else body
+        objects[11 + 2 * i] = b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(body), b"/Filter /FlateDecode" if packed else b"", body)
+        kids.append(b"%d 0 R" % (10 + 2 * i))
+    objects[2] = b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 3 0 R >> >> >>" % (len(pages), b" ".join(kids))
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects.items())
+    return data + b"trailer << /Root 1 0 R " + (b"/Encrypt 9 0 R " if encrypted else b"") + b">>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_pages(packed):
+    from gleanery.sources import pdf
+
+    left = [(50, 700 - 12 * i, 10, f"left {i}") for i in range(5)]
+    right = [(300, 700 - 12 * i, 10, f"right {i}") for i in range(5)]
+    head = [(50, 760, 10, "The (whole) title"), (150, 760, 10, "é")]
+    row = [(50, 500, 10, "a"), (200, 500, 10, "b"), (50, 488, 10, "c"), (200, 488, 10, "d")]
+    got = pdf.read(made_pdf([*right, *left, *head], [], row, packed=packed))
+    assert [json_page(s) for s in got.sections] == [1, 3] and got.coverage == "complete"
+    assert got.sections[0].content == "The (whole) title é\n\n" + "\n".join(f"left {i}" for i in range(5)) + "\n\n" + "\n".join(f"right {i}" for i in range(5))
+    assert got.sections[1].content == "a b\nc d"
+    assert pdf.read(made_pdf([], packed=packed)).coverage == "skipped_no_extractable_text"
+    for bad in (b"", b"words", made_pdf([], encrypted=True)):
+        with pytest.raises(pdf.Unreadable):
+            pdf.read(bad)
+
+
+def json_page(section) -> int:
+    import json
+
+    return json.loads(section.locator)["page"]
+
+
+def test_pdf_fonts_with_maps():
+    from gleanery.sources import pdf
+
+    cmap = b"1 beginbfchar <0001> <00480069> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    body = b"BT /F 12 Tf 1 0 0 1 10 10 Tm [<0001> -800 <00020003>] TJ <0004> Tj ET"
+    data = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F 5 0 R >> >> >> endobj "
+    data += b"4 0 obj << /Length %d >> stream\n%s\nendstream endobj 5 0 obj << /Subtype /Type0 /ToUnicode 6 0 R /DescendantFonts [<< /DW 1000 >>] >> endobj 6 0 obj << /Length %d >> stream\n%s\nendstream endobj" % (len(body), body, len(cmap), cmap)
+    assert [s.content for s in pdf.read(data).sections] == ["Hi abc"]
+
+
+@given(st.binary(max_size=300))
+@settings(max_examples=200, deadline=None)
+def test_any_bytes_are_read_or_refused(data):
+    from gleanery.sources import pdf
+
+    for some in (data, b"%PDF-1.4\n" + data, made_pdf([(1, 1, 9, "x")])[: -len(data) or None] + data):
+        try:
+            pdf.read(some)
+        except pdf.Unreadable:
+            pass
