@@ -241,3 +241,34 @@ def test_any_bytes_are_read_or_refused(data):
             pdf.read(some)
         except pdf.Unreadable:
             pass
+
+
+@given(st.text(alphabet="ab", max_size=6), st.text(alphabet="ab", max_size=6))
+def test_one_edit(a, b):
+    from gleanery import abi
+
+    near = {a[:i] + c + a[i + cut :] for i in range(len(a) + 1) for cut in (0, 1) for c in ("", "a", "b")} - {a}
+    assert abi.one_edit(a, b) == (b in near)
+
+
+def test_calls_without_a_session():
+    from gleanery import abi
+    from gleanery.plans.planner import QueryError
+
+    got = abi.prepare_source({"vault_id": "v", "path": "a/b.md"}, b"# T\nwords")
+    assert got["coverage"] == "complete" and got["chunks"][0]["heading_path"] == ["T"]
+    assert abi.prepare_oversized({"vault_id": "v", "path": "b.html", "byte_length": 20 << 20})["coverage"] == "quarantined"
+    for bad in ({"vault_id": "v", "path": "../b.md"}, {"path": "b.md"}, {"vault_id": "v", "path": "b.zip"}, {"vault_id": "v", "path": "b.md", "format": "text"}):
+        with pytest.raises(ValueError):
+            abi.prepare_source(bad, b"")
+    with pytest.raises(ValueError):
+        abi.prepare_oversized({"vault_id": "v", "path": "b.md", "byte_length": 5})
+    plan = abi.prepare_query("river ston")
+    assert [t["text"] for t in plan["terms"]] == ["river", "ston"]
+    done = abi.finalize_query("river ston", {0: 3, 1: 0}, {1: ["stone"]})
+    assert [s["kind"] for s in done["stages"]][:3] == ["exact_metadata", "exact_phrase", "prefix_metadata"]
+    for evidence in (({5: 1}, None), ({0: 1}, {1: ["x"] * 17})):
+        with pytest.raises(QueryError):
+            abi.finalize_query("river ston", *evidence)
+    assert abi.prepare_typo("Nichz")["prefix"] == "nich" and abi.prepare_typo("two words")["term"] is None
+    assert abi.finalize_typo("nichz", [("nicht", 3), ("niche", 9), ("nichts", 99)]) == "niche"
