@@ -1,28 +1,37 @@
 """N-gram Jaccard join: every pair of shingle sets at or above a similarity, as components.
 
-Equal sets are one node. Nodes that may link meet through exact candidate keys:
-all shingles stand in one order, rare ones first, and of a set the first
+Equal sets are one node. A linked set shares its least overlap with others, so
+a set with more shingles of its own than that leaves has no link. Every second
+shingle, by its hash, is dealt out to be counted; sets with too many that stand
+in one document alone go before anything is compared. This is done for all
+documents, then for one document of each set that is left, so that copies don't
+hold each other.
+
+Of what is left, nodes that may link meet through exact candidate keys: all
+shingles stand in one order, rare ones first, and of a set the first
 ``n - least overlap + 1`` are its keys, so a linked pair has a key in common.
-The order comes from counts of all shingles in a table of fixed size; whatever
-it is, no link is lost, and shingles that many documents share are keys of
+The order comes from counts of these nodes' shingles in a table of fixed size;
+whatever it is, no link is lost, and shingles that many nodes share are keys of
 none but those that hold little else. Groups of nodes with a common key form
 candidate clusters, and each cluster is joined by a signature tree: leaves are
 sets, inner nodes hold the OR of their sets' token bitmaps and the range of
 their sizes, and a dual traversal drops node pairs whose largest possible
 overlap is too small. What is left is verified on the sets themselves.
 
-Scale. Three passes read the texts: sizes, names and counts; keys; the sets of
-candidates. Keys travel as packed arrays, not as rows, and nodes that share a
-key within a task are linked there, so a key that many nodes hold says one
-entry per task. Clusters above ``BLOCK`` nodes are first looked at through
+Scale. One pass makes the sets of all texts: sizes, names and counted shingles,
+8 bytes each. The other passes make those of nodes that are left: the second
+count, the table, keys, and the sets of candidates. Keys travel as packed
+arrays, not as rows, and nodes that share a key within a task are linked there,
+so a key that many nodes hold says one entry per task; a counted shingle says
+two a block of texts. Clusters above ``BLOCK`` nodes are first looked at through
 signature trees without sets, a few bits for each shingle: by ranges of sizes
 their blocks meet in pairs, and only nodes that could link stay together. What
 is still above ``BLOCK`` nodes or ``BLOCK_TOKENS`` shingles is cut into blocks;
 every block is joined in itself and with the cluster's hub, and only nodes that
 have not reached the hub's component meet the blocks of their own and the
 neighbouring range of sizes. Components come from star rounds over spanning
-edges. Broadcast are the order's table and a bitmap, 8 MB each,
-whatever the corpus.
+edges. Broadcast are the order's table and bitmaps, 8 MB each, whatever the
+corpus.
 
 Nodes are named by 128-bit hashes of their sets. Candidates go by one half of
 the name, where a clash only makes a cluster larger.
@@ -46,6 +55,10 @@ from .common import id_of, id_or_last
 from .components import components
 
 BLOCK, BLOCK_TOKENS = 1000, 1 << 20
+#: Counted shingles that a part holds, about, and that a task gathers before it sends them; texts in a block (16 bits name one).
+COUNTED, HELD_COUNTED, BLOCK_TEXTS = 1_000_000, 1_000_000, 1 << 16
+#: Bytes of text for each counted shingle, about: every second one is.
+COUNTED_BYTES = 10
 #: Keys that are matched at once, about; tasks of the key exchange at most, each with parts one after the other.
 PART_KEYS, MOST_TASKS = 400_000, 1 << 16
 TASK_BYTES = 128 << 20  # of sets that one join task reads, at most
@@ -117,28 +130,168 @@ def _names(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
-# Sizes, names, counts
+# Sizes, names, shingles that no other document holds
 
-_MEASURED = "slice int, id long, n long, node long, mark long, h long, g long, counts binary"
+_TEXT = "id long, n long, node long, mark long, h long, g long"
+_DEALT = f"part long, block long, at int, {_TEXT}, data binary"
+_COUNTED = f"block long, at int, {_TEXT}, data binary"
+_names_of = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
 
-def _measure(k: int) -> Callable:
-    """A row for each text, and of the task's counts a row for each slice."""
-    names = [x.split()[0] for x in _MEASURED.split(", ")]
+def counted_shingles(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Entries of every second shingle: 48 bits of its hash, 16 for the text ``at`` that holds it."""
+    some = (sets & np.uint64(1)) == 0
+    return (sets[some] & ~np.uint64(BLOCK_TEXTS - 1)) | at[some].astype(np.uint64)
+
+
+def told(entries: np.ndarray) -> np.ndarray:
+    """Sorted entries, two at most of a shingle: more would tell nothing else to others or to the texts that hold it."""
+    out = np.sort(entries)
+    name = out >> np.uint64(16)
+    return out[np.concatenate([np.ones(min(2, len(out)), bool), name[2:] != name[:-2]])]
+
+
+def held_alone(entries: np.ndarray) -> np.ndarray:
+    """Which entries name a shingle that no other one names."""
+    out = np.zeros(len(entries), bool)
+    if len(entries):
+        name = entries >> np.uint64(16)
+        order = np.argsort(name)
+        differ = name[order][1:] != name[order][:-1]
+        out[order[np.concatenate([[True], differ]) & np.concatenate([differ, [True]])]] = True
+    return out
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each run of ``values`` that ends at one of ``ends``."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _measure(k: int, parts: int, bitmap=None) -> Callable:
+    """A row for each text, or each that the bitmap holds, and for each block of texts and part a row of counted shingles."""
+    names = _names_of(_DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        numbers = itertools.count((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32)
+        block, texts, held = next(numbers), 0, []
+
+        def out() -> pa.RecordBatch:
+            entries = told(np.concatenate(held))
+            # hashes are even: a part is a range of them
+            part = (((entries >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            ends = np.flatnonzero(np.concatenate([part[1:] != part[:-1], [True]])) + 1 if len(part) else np.zeros(0, np.int64)
+            n = len(ends)
+            return pa.RecordBatch.from_arrays([pa.array(part[ends - 1]), pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 6, _binaries(entries, ends)], names=names)
+
+        for some in blocks(batches):
+            some = some if bitmap is None else some.filter(_held(bitmap, some.column(4)))
+            for start in range(0, some.num_rows, BLOCK_TEXTS // 2):
+                piece = some.slice(start, BLOCK_TEXTS // 2)
+                n = piece.num_rows
+                sets, bounds = shingle_sets(piece.column(1), k)
+                if held and (texts + n > BLOCK_TEXTS or sum(map(len, held)) + len(sets) // 2 > HELD_COUNTED):
+                    yield out()
+                    block, texts, held = next(numbers), 0, []
+                at = np.arange(texts, texts + n)
+                held.append(counted_shingles(sets, np.repeat(at, np.diff(bounds))))
+                texts += n
+                node, mark = (pa.array(x) for x in _names(sets, bounds).T.copy())
+                own = [pa.array((at + block) % parts), pa.array(np.full(n, block)), pa.array(at, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*own, piece.column(0), pa.array(np.diff(bounds)), node, mark, piece.column(2), piece.column(3), pa.nulls(n, pa.binary())], names=names)
+        if held:
+            yield out()
+
+    return tidy(run)
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in which a part's rows follow each other: texts as they are, and for each block the texts, one by one, of shingles held alone."""
+    names = _names_of(_COUNTED)
+
+    def matched() -> Iterator[pa.RecordBatch]:
+        if held:
+            n, entries = len(held), np.frombuffer(b"".join(held), np.uint64)
+            alone = held_alone(entries)
+            ends = np.concatenate([[0], np.cumsum(alone)])[np.cumsum([len(x) // 8 for x in held])]
+            texts = (entries[alone] & np.uint64(BLOCK_TEXTS - 1)).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 6, _binaries(texts, ends)], names=names)
+
+    at, held, owners = None, [], []
+    for batch in batches:
+        texts = pc.is_null(batch.column(9))
+        yield batch.filter(texts).select(names)
+        packed = batch.filter(pc.invert(texts))
+        for part, block, data in zip(*(packed.column(i).to_pylist() for i in (0, 1, 9)), strict=True):
+            if part != at:
+                yield from matched()
+                at, held, owners = part, [], []
+            held.append(data)
+            owners.append(block)
+    yield from matched()
+
+
+def _could_link(num: int, den: int) -> Callable:
+    """Whole blocks to those of their texts that aren't known to hold too many shingles alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[pa.RecordBatch] = []
+        alone: dict[int, np.ndarray] = {}
+        for batch in batches:
+            texts.append(batch.filter(pc.is_valid(batch.column(1))).select(["block", "at", "id", "n", "node", "mark"]))
+            packed = batch.filter(pc.is_null(batch.column(1)))
+            for block, data in zip(packed.column(0).to_pylist(), packed.column(8).to_pylist(), strict=True):
+                if block not in alone:
+                    alone[block] = np.zeros(BLOCK_TEXTS, np.int32)
+                found = np.bincount(np.frombuffer(data, "<u2"))
+                alone[block][: len(found)] += found.astype(np.int32)
+        for batch in texts:
+            block, at, n = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            own = np.zeros(len(n), np.int64)
+            for b in np.unique(block).tolist():
+                if b in alone:
+                    own[block == b] = alone[b][at[block == b]]
+            yield batch.filter(pa.array((n > 0) & (n - own >= -(-num * n // den)))).select(["id", "n", "node", "mark"])
+
+    return run
+
+
+def _parts(spark, expected: int) -> int:
+    """For so many counted shingles."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // COUNTED))
+
+
+def _counted(base: DataFrame, words: int, expected: int, bitmap=None) -> DataFrame:
+    """Texts, and for each block of them what is held alone."""
+    parts = _parts(base.sparkSession, expected)
+    tasks = min(parts, MOST_TASKS)
+    rows = base.mapInArrow(_measure(words, parts, bitmap), _DEALT).repartitionById(tasks, F.expr(f"cast(part % {tasks} as int)"))
+    return (rows.sortWithinPartitions("part") if tasks < parts else rows).mapInArrow(_alone, _COUNTED)
+
+
+def _left(counted: DataFrame, expected: int, num: int, den: int) -> DataFrame:
+    """One row, that with the smallest id, of each set that could link with another one."""
+    n = min(_parts(counted.sparkSession, expected), MOST_TASKS)
+    rows = counted.repartition(n, "block").mapInArrow(_could_link(num, den), "id long, n long, node long, mark long")
+    return cut(rows.groupBy("node", "mark").agg(F.min(id_or_last("id")).alias("id"), F.min("n").alias("n")))
+
+
+# Counts
+
+
+def _count(k: int, bitmap) -> Callable:
+    """Of a task's wanted texts, a row for each slice of the table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
-        for block in blocks(batches):
-            sets, bounds = shingle_sets(block.column(1), k)
+        for _, sets, _ in _wanted(batches, k, bitmap):
             counts += np.bincount((sets >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            node, mark = (pa.array(x) for x in _names(sets, bounds).T.copy())
-            n = block.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), block.column(0), pa.array(np.diff(bounds)), node, mark, block.column(2), block.column(3), pa.nulls(n, pa.binary())], names=names)
         for i, part in enumerate(np.split(counts, SLICES)):
             if part.any():
-                none = pa.nulls(1, pa.int64())
                 packed = pa.Codec("zstd").compress(part.tobytes(), asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[none] * 6, pa.array([packed])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed])], names=["slice", "counts"])
 
     return tidy(run)
 
@@ -156,9 +309,9 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([ranks.tobytes()])], names=["slice", "ranks"])
 
 
-def _order_of(measured: DataFrame) -> np.ndarray:
+def _order_of(counts: DataFrame) -> np.ndarray:
     """The rank of each entry of the table: how often its shingles occur, on a logarithmic scale. One row a slice comes to the driver."""
-    rows = measured.where("slice >= 0").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, ranks binary").collect()
+    rows = counts.repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, ranks binary").collect()
     out = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.uint16)
     for r in rows:
         out[r.slice] = np.frombuffer(r.ranks, "<u2")
@@ -197,8 +350,8 @@ def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
 
-def _emit(k: int, num: int, den: int, parts: int, ranks) -> Callable:
-    """Texts to packed rows of the key exchange."""
+def _emit(k: int, num: int, den: int, parts: int, ranks, bitmap) -> Callable:
+    """Wanted texts to packed rows of the key exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -226,8 +379,7 @@ def _emit(k: int, num: int, den: int, parts: int, ranks) -> Callable:
             if rows:
                 yield _packed(rows)
 
-        for block in blocks(batches, 0):
-            sets, bounds = shingle_sets(block.column(0), k)
+        for _, sets, bounds in _wanted(batches, k, bitmap):
             nodes = _names(sets, bounds)[:, 0]
             fresh: set[int] = set()
             seen.get_all(nodes.tolist(), lambda new: (fresh.update(new), [True] * len(new))[1])
@@ -473,12 +625,16 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _held(bitmap, hashes: pa.Array) -> pa.Array:
+    """Which hashed ids the bitmap holds."""
+    h = hashes.to_numpy(zero_copy_only=False)
+    return pa.array(((bitmap.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1).astype(bool))
+
+
 def _wanted(batches: Iterator[pa.RecordBatch], k: int, bitmap) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows whose ids the bitmap holds, with the sets of their texts."""
     for block in blocks(batches):
-        h = block.column(2).to_numpy(zero_copy_only=False)
-        hit = (bitmap.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1
-        some = block.filter(pa.array(hit.astype(bool)))
+        some = block.filter(_held(bitmap, block.column(2)))
         if some.num_rows:
             yield some, *shingle_sets(some.column(1), k)
 
@@ -597,21 +753,29 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, de
         raise ValueError("the similarity must lie in (0, 1]")
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text), F.xxhash64(F.lit(97), text))
-    measured = cut(base.mapInArrow(_measure(words), _MEASURED))
-    sets = measured.where("slice < 0").select(id_or_last("id").alias("id"), "n", "node", "mark", "h", "g")
-    total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ranks = spark.sparkContext.broadcast(_order_of(measured))
+    ident = id_or_last(id_col)
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text), F.xxhash64(F.lit(97), text), F.xxhash64(ident))
+    octets = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    expected = octets // COUNTED_BYTES
+    measured = cut(_counted(base, words, expected))
+    sets = measured.where("data IS NULL").select(id_or_last("id").alias("id"), "n", "node", "mark", "h", "g")
+    nodes = _left(measured, expected, num, den)
+    bitmap = spark.sparkContext.broadcast(_bitmap(nodes.select("id")))
+    # once more: exact copies have told of each other, and many others have gone
+    expected = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
+    nodes = _left(_counted(base, words, expected, bitmap), expected, num, den)
+    bitmap = spark.sparkContext.broadcast(_bitmap(nodes.select("id")))
+    ordered = docs.select(ident.alias("id"), text.alias("text")).withColumn("h", F.xxhash64("id"))
+    total, rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ranks = spark.sparkContext.broadcast(_order_of(ordered.mapInArrow(_count(words, bitmap), "slice int, counts binary")))
     parts = int(max(1, -(-(total * (den - num) // den + rows) // PART_KEYS)))
     tasks = min(parts, MOST_TASKS)
-    packed = base.select("text").mapInArrow(_emit(words, num, den, parts, ranks), _PACKED)
+    packed = ordered.mapInArrow(_emit(words, num, den, parts, ranks, bitmap), _PACKED)
     packed = packed.repartitionById(tasks, F.expr(f"cast(part % {tasks} as int)"))
     clusters = components((packed.sortWithinPartitions("part") if tasks < parts else packed).mapInArrow(_meet, "a long, b long"))
 
-    nodes = sets.where("n > 0").groupBy("node", "mark").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     # numbers that the checkpoint keeps: no two nodes share one
     wanted = cut(nodes.join(clusters.withColumnRenamed("node", "short"), F.col("node") == F.col("short")).select("id", "node", "mark", "n", "root", F.monotonically_increasing_id().alias("num")))
-    ordered = docs.select(id_or_last(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("id"))
     if num < den:
         counts = wanted.groupBy("root").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select(_other("root", 76).alias("k"))
         keyed = wanted.withColumn("k", _other("root", 76))
@@ -726,7 +890,7 @@ def _without(marked: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _run_tasks(tasks: DataFrame, num: int, den: int, total: int) -> DataFrame:
-    """``total``: shingles of the corpus, a bound on what the tasks read."""
+    """``total``: shingles of all nodes that could link, a bound on what the tasks read."""
     n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-8 * total // TASK_BYTES), MOST_TASKS))
     return tasks.repartition(n, "root", "task").sortWithinPartitions("root", "task", "side").mapInArrow(_join_blocks(num, den), "a long, b long")
 
