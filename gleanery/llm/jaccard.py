@@ -255,7 +255,7 @@ def _could_link(num: int, den: int) -> Callable:
                     own[block == b] = alone[b][at[block == b]]
             yield batch.filter(pa.array((n > 0) & (n - own >= -(-num * n // den)))).select(["id", "n", "node", "mark"])
 
-    return run
+    return tidy(run)
 
 
 def _parts(spark, expected: int) -> int:
@@ -268,7 +268,7 @@ def _counted(base: DataFrame, words: int, expected: int, bitmap=None) -> DataFra
     parts = _parts(base.sparkSession, expected)
     tasks = min(parts, MOST_TASKS)
     rows = base.mapInArrow(_measure(words, parts, bitmap), _DEALT).repartitionById(tasks, F.expr(f"cast(part % {tasks} as int)"))
-    return (rows.sortWithinPartitions("part") if tasks < parts else rows).mapInArrow(_alone, _COUNTED)
+    return (rows.sortWithinPartitions("part") if tasks < parts else rows).mapInArrow(tidy(_alone), _COUNTED)
 
 
 def _left(counted: DataFrame, expected: int, num: int, den: int) -> DataFrame:
@@ -311,7 +311,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _order_of(counts: DataFrame) -> np.ndarray:
     """The rank of each entry of the table: how often its shingles occur, on a logarithmic scale. One row a slice comes to the driver."""
-    rows = counts.repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, ranks binary").collect()
+    rows = counts.repartition(SLICES, "slice").mapInArrow(tidy(_add_counts), "slice int, ranks binary").collect()
     out = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.uint16)
     for r in rows:
         out[r.slice] = np.frombuffer(r.ranks, "<u2")
@@ -772,7 +772,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, de
     tasks = min(parts, MOST_TASKS)
     packed = ordered.mapInArrow(_emit(words, num, den, parts, ranks, bitmap), _PACKED)
     packed = packed.repartitionById(tasks, F.expr(f"cast(part % {tasks} as int)"))
-    clusters = components((packed.sortWithinPartitions("part") if tasks < parts else packed).mapInArrow(_meet, "a long, b long"))
+    clusters = components((packed.sortWithinPartitions("part") if tasks < parts else packed).mapInArrow(tidy(_meet), "a long, b long"))
 
     # numbers that the checkpoint keeps: no two nodes share one
     wanted = cut(nodes.join(clusters.withColumnRenamed("node", "short"), F.col("node") == F.col("short")).select("id", "node", "mark", "n", "root", F.monotonically_increasing_id().alias("num")))

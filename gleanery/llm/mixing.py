@@ -87,13 +87,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # at this time every source has spent its share of the budget and a document more: the cut lies before it
     late = budget + 2.0 * slack / max(total, 1)
     # broadcast is left to the planner, which checks the size: one row per source
-    target = _targets(stats, weights, max_repeats)
+    target = cut(_targets(stats, weights, max_repeats))
     u = F.conv(F.substring("__k", 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     rows = sized.drop("__s").join(target, "__n").withColumn("__rng", F.floor(u * F.ceil(F.col("n_docs") / rows_per_range)))
     sums = rows.groupBy("__n", "__rng").agg(F.sum("size").alias("__sum"))
     rows = rows.join(_ahead(sums, ["__n"], "__rng", "__sum", "__ahead"), ["__n", "__rng"])
     inside = Window.partitionBy("__n", "__rng").orderBy("__k", F.col("__id").asc_nulls_last(), "size")
     rows = rows.withColumns({"__rn": F.row_number().over(inside), "__in": F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    rows = cut(rows)  # without texts; the queue reads them twice, and the driver plans each half by itself
     copies = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     start = F.col("pass") * F.col("source_size") + F.col("__ahead") + F.col("__in")
     copies = copies.withColumn("virtual_finish", F.when((F.col("size") > 0) & (F.col("target") > 0), (start + F.col("size")) / F.col("target")))

@@ -256,6 +256,9 @@ def run_costs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", c
             lower = full.select("l", F.col("key").alias("end"), F.col("p").alias("less"))
             runs = runs.withColumn("end", F.col("key").bitwiseAND((1 << 16 * (n - 1)) - 1))
             full = runs.join(lower, ["l", "end"]).select("l", "key", "n", (F.col("p") + F.col("weight") * F.col("less")).alias("p"))
+        if n < ORDER:
+            # one plan for all orders is planned anew with each of its stages, which fills the driver; these tables are small
+            full = cut(full)
     return _split(full.select("l", "key", "n", F.round(-F.log("p") * UNITS).cast("long").alias("cost")), common)
 
 
