@@ -69,5 +69,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by their keys for work whose cost doesn't show in bytes: a small file may be one task's."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def keep(df: DataFrame, kind: str) -> DataFrame:
+    """Rows written to the shared folder once, for plans that read them more than once."""
+    root = scratch(df.sparkSession, kind)
+    df.write.parquet(root)
+    return df.sparkSession.read.schema(df.schema).parquet(root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

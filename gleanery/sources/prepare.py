@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.chunking import split_long
 from ..functions.text import wikilinks
 from ..operators.index import chunk_id, source_key
+from ..session import spread
 from . import html, markdown, office, pdf, structured, tree
 from .formats import MAX_BYTES, Extracted, Unreadable, format_identity_of, format_of, valid_path
 
@@ -79,7 +80,8 @@ def prepare(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     some = files.where(valid_path(F.col("path"))).select("vault_id", "room", "path", format_of(F.col("path")).alias("format"), F.when(F.col("byte_length") <= MAX_BYTES, F.col("content")).alias("content"), F.col("byte_length").cast("long"), F.col("mtime").cast("long"))
-    out = some.mapInArrow(run, schema)
+    # readers cost time by the source: tables of many small ones lie in few file splits
+    out = spread(some, "vault_id", "path").mapInArrow(run, schema)
     return out.withColumns({"source_key": source_key(F.col("vault_id"), F.col("path")), "format_identity": format_identity_of(F.col("format")), "outcome": F.when(F.col("coverage").isin("complete", "partial"), "indexed").otherwise("skipped"), "chunk_count": F.size("chunks").cast("long")})
 
 
