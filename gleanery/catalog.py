@@ -67,7 +67,7 @@ def field_stats(spark, sf_dir):
 
 @query(f"{BASE} SELECT term, count(DISTINCT chunk_id)::BIGINT AS df, sum(tf)::BIGINT AS occurrences, max((field <> 'content')::INT)::INT AS in_metadata FROM p GROUP BY term")
 def vocabulary(spark, sf_dir):
-    return I.vocabulary(I.postings(I.fields(document_chunks(spark, sf_dir))))
+    return I.vocabulary(document_chunks(spark, sf_dir))
 
 
 @query(r"""SELECT doc_id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(?i)\b(?:cve(?:-\d{4}-\d+| \d{4} \d+)|rfc(?:[- ]?\d+)|[a-z0-9][a-z0-9._/:+\-]{2,})\b'),
@@ -248,7 +248,7 @@ n40 AS (SELECT * FROM v WHERE starts_with(term, 'nich') AND strlen(term) <= 96 A
 SELECT term, df FROM n40 WHERE levenshtein(term, 'nichz') = 1 ORDER BY df DESC, term LIMIT 1""")
 def typo_suggestion(spark, sf_dir):
     """Among the 40 commonest terms of the prefix, by the sum over fields."""
-    return S.typo_suggestion(I.typo_vocabulary(I.postings(I.fields(document_chunks(spark, sf_dir)))), "nichz")
+    return S.typo_suggestion(I.typo_vocabulary(I.fields(document_chunks(spark, sf_dir))), "nichz")
 
 
 @query("""WITH h AS (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)::INT AS rank FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100),

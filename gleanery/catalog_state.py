@@ -70,7 +70,7 @@ def quantised_lengths(spark, sf_dir):
 
 @query(f"{BASE} SELECT term, count(*)::BIGINT AS df FROM p WHERE field <> 'tags' GROUP BY term")
 def typo_vocabulary(spark, sf_dir):
-    return I.typo_vocabulary(I.postings(I.fields(document_chunks(spark, sf_dir))))
+    return I.typo_vocabulary(I.fields(document_chunks(spark, sf_dir)))
 
 
 @query("SELECT (count(*) FILTER (WHERE o_orderstatus <> 'F'))::BIGINT AS documents, sum(CASE WHEN o_orderstatus <> 'F' THEN o_orderkey % 7 ELSE 0 END)::BIGINT AS chunks FROM orders")

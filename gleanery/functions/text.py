@@ -93,6 +93,11 @@ def short_token(token: Column) -> Column:
     return F.octet_length(token) < LONG_TOKEN_BYTES
 
 
+def short_tokens(column: Column) -> Column:
+    """The tokens that are kept, in order."""
+    return F.filter(tokens(column), short_token)
+
+
 def tokenize(value: str) -> list[str]:
     """The same tokens on the driver, for query text."""
     return [t for t in re.findall(r"[^\W_]+", fold_text(value)) if len(t.encode()) < LONG_TOKEN_BYTES]

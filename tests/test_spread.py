@@ -35,3 +35,12 @@ def test_page_titles_have_the_references_that_their_sql_knows(spark, tmp_path):
     rows = [(i, f"http://x/{i}", f"<html><head><title>{t}</title></head><body>{t}</body></html>") for i, t in enumerate(titles)]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     same_rows(catalog.QUERIES["page_titles"](spark, str(tmp_path)), duck(str(tmp_path)).sql(catalog.ORACLES["page_titles"]))
+
+
+def test_vocabularies_shuffle_terms_alone(spark, small):
+    """No row per posting leaves the JVM or is shuffled; a chunk's terms are counted where it stands."""
+    from gleanery import catalog
+
+    for name in ("vocabulary", "typo_vocabulary"):
+        plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("Exchange hashpartitioning") == 1
