@@ -19,7 +19,7 @@ from .operators import search as S
 from .operators import semantic as V
 from .plans import planner as P
 from .registry import ORACLES, QUERIES, query
-from .session import table
+from .session import keep, table
 from .sources import prepare as PR
 from .sources.formats import COVERAGE, format_of
 from .streaming import reconcile as ST
@@ -132,9 +132,7 @@ ONE = f"{BASE}, {SCORED}"
 s AS (SELECT p.chunk_id, round(sum({BM}), 6) AS score FROM p JOIN df USING (field, term) JOIN len USING (field, chunk_id) JOIN st USING (field), n WHERE term IN ('the', 'of') GROUP BY p.chunk_id HAVING count(*) = 2)
 SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM s ORDER BY score DESC, chunk_id LIMIT 10""")
 def bm25_two_terms(spark, sf_dir):
-    c = document_chunks(spark, sf_dir)
-    ix = S.Index(c, I.postings(_content(c)))
-    return _best(ix.all_terms([P.Term("the"), P.Term("of")], ("content",)), 10)
+    return _best(_index(spark, sf_dir).all_terms([P.Term("the"), P.Term("of")], ("content",)), 10)
 
 
 def _best(rows, k: int):
@@ -179,14 +177,14 @@ SELECT chunk_id, path, CASE t WHEN 1 THEN 'exact_phrase' ELSE 'partial_coverage'
 @query(LADDER.replace("x UNION ALL", "x WHERE false UNION ALL").replace("'the'", "'is'").replace("'and'", "'of'"))
 def evidence_ladder(spark, sf_dir):
     """A whole query: planned, probed, and answered by its stages; one word has no evidence and is relaxed."""
-    return _index(spark, sf_dir).cached().search("is qj of", limit=100)
+    return _index(spark, sf_dir).search("is qj of", limit=100)
 
 
 @query(LADDER.replace("'partial_coverage'", "'all_terms'"))
 def ladder_phrase_first(spark, sf_dir):
     """Phrase hits stand before better-scored hits of all terms."""
     plan = P.Plan("the and", "ordinary", "ready", (P.Term("the"), P.Term("and")), stages=(P.Stage("exact_phrase"), P.Stage("all_terms", (0, 1))))
-    return _index(spark, sf_dir).cached().ladder(plan, limit=100)
+    return _index(spark, sf_dir).ladder(plan, limit=100)
 
 
 @query(rf"""{BASE}, v AS (SELECT term, max((field <> 'content')::INT) AS named FROM p WHERE starts_with(term, 'th') GROUP BY term ORDER BY term LIMIT 256)
@@ -197,7 +195,7 @@ def prefix_expansions(spark, sf_dir):
 
 @query(f"""{ONE}, e AS (SELECT chunk_id, term FROM p WHERE starts_with(term, 'tho') GROUP BY ALL) SELECT chunk_id, count(*)::BIGINT AS terms FROM e GROUP BY chunk_id""")
 def explicit_prefix(spark, sf_dir):
-    ix = _index(spark, sf_dir)
+    ix = _index(spark, sf_dir).asked(dict.fromkeys(P.TEXT_FIELDS, I.Asked(ranges=frozenset(["tho"]))))
     found = ix.matches(P.parse_explicit("tho*"))
     words = ix.postings.where(F.startswith("term", F.lit("tho"))).select("chunk_id", "term").distinct()
     return found.join(words, "chunk_id").groupBy("chunk_id").agg(F.count("*").alias("terms"))
@@ -533,8 +531,8 @@ def html_sections(spark, sf_dir):
 @query()
 def page_search(spark, sf_dir):
     """A query over the sections of web pages, hits as a reader sees them."""
-    c = PR.chunks(PR.prepare(PR.pages_as_files(table(spark, sf_dir, "pages"))))
-    return S.Index(c).cached().hits("of", limit=20).select("rank", "tier", "score", "path", "chunk_id", "heading_path", "coverage", "excerpt")
+    c = keep(PR.chunks(PR.prepare(PR.pages_as_files(table(spark, sf_dir, "pages")))), "chunks")
+    return S.Index(c).hits("of", limit=20).select("rank", "tier", "score", "path", "chunk_id", "heading_path", "coverage", "excerpt")
 
 
 from . import catalog_sources, catalog_state  # noqa: E402  they use what stands above

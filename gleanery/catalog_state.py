@@ -15,7 +15,7 @@ from .operators import search as S
 from .operators import semantic as V
 from .plans import planner as P
 from .registry import query
-from .session import scratch, table
+from .session import keep, scratch, table
 from .streaming import reconcile as ST
 from .tables import document_chunks, document_sources
 
@@ -275,7 +275,7 @@ m AS (SELECT chunk_id, max(score) AS score FROM sc WHERE term IN (SELECT term FR
 SELECT chunk_id, path, 'prefix' AS tier, round(m.score + a.score, 6) AS score, row_number() OVER (ORDER BY round(m.score + a.score, 6) DESC, chunk_id, path)::INT AS rank FROM m JOIN a USING (chunk_id) JOIN c USING (chunk_id) ORDER BY rank LIMIT 100""")
 def ladder_prefix_stage(spark, sf_dir):
     """A required word, and the best expansion of a prefix."""
-    ix = _index(spark, sf_dir).cached()
+    ix = _index(spark, sf_dir).asked(dict.fromkeys(P.TEXT_FIELDS, I.Asked(frozenset(["the"]), frozenset(["tho"]))))
     grown = tuple(sorted(r.term for r in ix.expansions("tho").collect()))
     plan = P.Plan("the tho", "ordinary", "ready", (P.Term("the"), P.Term("tho")), stages=(P.Stage("prefix", (0,), (1,)),), expansions={1: grown})
     return ix.ladder(plan, limit=100)
@@ -287,7 +287,8 @@ SELECT chunk_id, path, 'all_terms' AS tier, score, row_number() OVER (ORDER BY s
 def ladder_identifier(spark, sf_dir):
     """An identifier that must stand in the text: the commonest one of the documents."""
     ix = _index(spark, sf_dir)
-    best = ix.names.where("field = 'identifier'").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").first()
+    ix.names = keep(ix.names.where("field = 'identifier'"), "names")
+    best = ix.names.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").first()
     name = best.value if best else "none-0"
     plan = P.Plan(name, "identifier", "ready", (P.Term(name, True, True),), stages=(P.Stage("all_terms", (0,)),))
     return ix.ladder(plan, limit=100)

@@ -5,8 +5,9 @@ Two jobs a query, whatever its number of terms: one answers all probes
 runs the union of at most six stages. Stages fill the result window in order; a
 chunk counts for the first stage that finds it.
 
-An index is either made from chunks or opened from stored tables. Stored
-postings are sorted by term and carry their field's length, so a query reads
+An index is either made from chunks or opened from stored tables. One that is
+made reads its chunks once a query: what the query asks for is kept in the
+shared folder, and all its probes and stages read that. Stored postings are sorted by term and carry their field's length, so a query reads
 its own terms' row groups and a few rows of statistics, and shuffles hits only.
 
 Scores are BM25 per field, the best field per token, summed over tokens;
@@ -15,6 +16,7 @@ rounded to six places before ordering, ties by chunk id and path.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import excerpt, highlight_terms, normalize_text, snippet, tokenize
 from ..plans import planner as P
+from ..session import keep
 from . import index as I
 from .manifest import PARTITION, partition_id
 
@@ -103,6 +106,8 @@ class Index:
 
     def __init__(self, chunks: DataFrame, field_postings: DataFrame | None = None, resources=None, stored: dict[str, DataFrame] | None = None):
         self.chunks = authorised(chunks, resources)
+        #: Whether postings are still to be made of the chunks
+        self.open = stored is None and field_postings is None
         # N is the number of chunks in scope, for every field
         if stored is not None:
             self.postings, self.names, words, stats, scopes = (authorised(stored[t], resources) for t in ("postings", "names", "vocabulary", "stats", "scopes"))
@@ -126,8 +131,31 @@ class Index:
 
     def cached(self) -> Index:
         self._use(self.postings.cache())
+        self.open = False
         return self
 
+    def asked(self, fields: dict[str, I.Asked], names: set[str] = frozenset()) -> Index:
+        """An index that is made: the same with the rows alone that a query asks for. Any other: itself."""
+        if not self.open:
+            return self
+        out = copy.copy(self)
+        out.open = False
+        if fields:
+            rows = keep(I.asked_postings(I.fields(self.chunks), fields), "hits")
+            out._use(I.hit_postings(rows))
+            out.totals = rows.groupBy("field").agg(F.sum("len").alias("total_len"))
+        if names:
+            every = self.names if any(map(I.may_be_identifier, names)) else I.exact_rows(self.chunks, I.SCOPE, False)
+            out.names = keep(every.where(F.col("value").isin(sorted(names))), "names")
+        return out
+
+    def _asked_by(self, plan: P.Plan, fields: tuple[str, ...] = P.TEXT_FIELDS) -> Index:
+        """What a plan's probes and stages read."""
+        words = {x for t in plan.terms if not t.identifier for x in tokenize(t.text)} | {x for v in plan.expansions.values() for x in v}
+        one = I.Asked(frozenset(words), frozenset(_stems(plan).values() if plan.execution == "awaiting_evidence" else ()))
+        names = {t.text for t in plan.terms if t.identifier} | {plan.exact} - {None}
+        return self.asked(dict.fromkeys(fields, one) if words or one.starts else {}, names)
+
     def _of(self, tokens: list[str], fields: tuple[str, ...]) -> DataFrame:
         return self.postings.where(F.col("term").isin(tokens) & F.col("field").isin(*fields))
 
@@ -161,8 +189,8 @@ class Index:
         wanted = {i: tokenize(t.text) for i, t in enumerate(plan.terms) if not t.identifier}
         names = {t.text: i for i, t in enumerate(plan.terms) if t.identifier}
         every = sorted({x for v in wanted.values() for x in v})
-        stems = {i: v[0] for i, v in wanted.items() if len(v) == 1 and len(plan.terms[i].text) >= P.MIN_PREFIX_CHARS and not plan.terms[i].anchor}
-        stems = dict(list(stems.items())[: P.MAX_PREFIX_TERMS])
+        stems = _stems(plan)
+        self = self._asked_by(plan)
         parts = []
         if every:
             parts.append(self._frequencies(wanted, every, plan.metadata_probe))
@@ -209,6 +237,7 @@ class Index:
 
     def expansions(self, prefix: str) -> DataFrame:
         """Of the first terms in byte order that start so, those kept: metadata terms first, short, then in order."""
+        self = self.asked(dict.fromkeys(P.TEXT_FIELDS, I.Asked(ranges=frozenset([prefix]))))
         found = self.words.where(F.startswith("term", F.lit(prefix))).select(F.lit(0).alias("i"), "term", "named")
         return _expanded(found, "i").select("term", "named")
 
@@ -221,6 +250,7 @@ class Index:
         names = sorted({t.text for _, t in parts if t.identifier})
         if any(not v and not t.identifier for v, t in parts):
             return self._none()
+        self = self.asked(dict.fromkeys(fields, I.Asked(frozenset(words))) if words else {}, set(names))
         hits = [self.scored(words, fields, within=within)] if words else []
         hits += [self.identifier_hits(names, within)] if names else []
         if not hits:
@@ -236,6 +266,7 @@ class Index:
         words = [x for t in terms for x in tokenize(t)]
         if not words:
             return self._none()
+        self = self.asked(dict.fromkeys(fields, I.Asked(frozenset(words))))
         some = self._of(sorted(set(words)), fields)
         df = some.groupBy("field", "term").agg(F.count("*").alias("df"))
         rows = some.where(within.place()).select(*CHUNK, "field", "term", "positions", "len").join(F.broadcast(df), ["field", "term"])
@@ -252,6 +283,7 @@ class Index:
 
     def exact(self, value: str, within: Filters = EVERYWHERE) -> DataFrame:
         """Equality with a name, title, heading or identifier: the best of fixed weights."""
+        self = self.asked({}, {value})
         weight = F.element_at(F.create_map(*[x for k, v in P.EXACT_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("field"))
         return self.names.where((F.col("value") == value) & within.place()).groupBy(*CHUNK).agg(F.max(weight).alias("score"))
 
@@ -283,6 +315,7 @@ class Index:
 
     def candidates(self, plan: P.Plan, filters: Filters = EVERYWHERE) -> DataFrame:
         """What the stages find, at most 6 * 256 rows: tier_no, chunk_id, path, score, and the stage's limit."""
+        self = self._asked_by(plan)
         frames = []
         anchors = [t for t in plan.terms if t.anchor]
         eligible = self.all_terms(anchors, within=filters).select("chunk_id") if anchors else None
@@ -311,6 +344,7 @@ class Index:
 
     def matches(self, node: tuple, within: Filters = EVERYWHERE) -> DataFrame:
         """(chunk_id, path, score) of an explicit query's tree: set operations over match sets."""
+        self = self.asked(_asked_by_tree(node))
         kind = node[0]
         if kind == "and":
             a, b = self.matches(node[1], within), self.matches(node[2], within)
@@ -343,10 +377,7 @@ class Index:
     def _range(self, name: str | None, low: str | None, high: str | None, low_in: bool, high_in: bool, within: Filters) -> DataFrame:
         """Chunks with a term between two, in the order of their bytes; an open end is None."""
         inside = F.col("field").isin(name) if name else F.col("field").isin(*P.TEXT_FIELDS)
-        if low is not None:
-            inside &= (F.col("term") >= low) if low_in else (F.col("term") > low)
-        if high is not None:
-            inside &= (F.col("term") <= high) if high_in else (F.col("term") < high)
+        inside &= I.in_range(F.col("term"), low, high, low_in, high_in)
         return self.postings.where(inside & within.place()).groupBy(*CHUNK).agg(F.lit(1.0).alias("score"))
 
     def explicit(self, query: str, filters: Filters = EVERYWHERE, limit: int = 20) -> DataFrame:
@@ -361,7 +392,8 @@ class Index:
         plan = P.prepare(query)
         if plan.execution == "explicit_bypass":
             return self.explicit(query, filters, limit)
-        return self.ladder(P.finalize(plan, self.evidence(plan)), filters, limit)
+        ix = self._asked_by(plan)
+        return ix.ladder(P.finalize(plan, ix.evidence(plan)), filters, limit)
 
     def hits(self, query: str, filters: Filters = EVERYWHERE, limit: int = 20) -> DataFrame:
         """Search hits with what a reader is shown; contents are joined for final rows only.
@@ -378,6 +410,33 @@ class Index:
         return rows.select("chunk_id", same.alias("path"), "tier", "score", "rank", *columns, marked.alias("excerpt")).orderBy("rank")
 
 
+def _stems(plan: P.Plan) -> dict[int, str]:
+    """The terms whose expansions a plan asks for, by their numbers."""
+    words = {i: tokenize(t.text) for i, t in enumerate(plan.terms) if not t.identifier}
+    stems = {i: v[0] for i, v in words.items() if len(v) == 1 and len(plan.terms[i].text) >= P.MIN_PREFIX_CHARS and not plan.terms[i].anchor}
+    return dict(list(stems.items())[: P.MAX_PREFIX_TERMS])
+
+
+def _asked_by_tree(node: tuple) -> dict[str, I.Asked]:
+    """What an explicit query's tree asks of each field."""
+    kind = node[0]
+    if kind in ("and", "or", "not", "should", "boost"):
+        out: dict[str, I.Asked] = {}
+        for part in node[1 : 2 if kind == "boost" else 3]:
+            for f, a in _asked_by_tree(part).items():
+                out[f] = out.get(f, I.Asked()) | a
+        return out
+    if kind == "every" or node[1] == "path":
+        return {}
+    if kind == "range":
+        one = I.Asked(ranges=frozenset([tuple(node[2:])]))
+    elif kind == "prefix":
+        one = I.Asked(ranges=frozenset([node[2]]))
+    else:
+        one = I.Asked(frozenset(x for t in (node[2] if kind == "phrase" else [node[2]]) for x in tokenize(t)))
+    return dict.fromkeys((node[1],) if node[1] else P.TEXT_FIELDS, one)
+
+
 def _expanded(rows: DataFrame, by: str) -> DataFrame:
     """Of (by, term, named): the first ``EXPANSION_SCAN`` terms in byte order, of them ``MAX_EXPANSIONS``: metadata terms first, short, in order."""
     scan = rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("term"))).where(F.col("nth") <= P.EXPANSION_SCAN)

@@ -44,3 +44,27 @@ def test_vocabularies_shuffle_terms_alone(spark, small):
     for name in ("vocabulary", "typo_vocabulary"):
         plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+QUERIES = ("river stonew", "rfc 7230 river", "stone wall", "content:[ri TO st} OR tags:>a", "ston* AND river", "+river^2 wall -word", "한국")
+
+
+def test_one_pass_answers_like_whole_postings(spark):
+    from gleanery.operators import search as S
+
+    from .test_engine import NOTES, files
+
+    chunks = prepare.chunks(prepare.prepare(files(spark, NOTES | {"k.md": "# 한국 river\n한국 말 stone river"}))).cache()
+    made, whole = S.Index(chunks), S.Index(chunks).cached()
+    for q in QUERIES:
+        found = lambda ix: [(r.chunk_id, r.tier, r.score) for r in ix.search(q).orderBy("rank").collect()]  # noqa: B023, E731
+        assert found(made) == found(whole), q
+
+
+def test_a_query_makes_no_whole_postings(spark, small):
+    """What is asked for is found in one pass in the JVM; stages and statistics read that."""
+    from gleanery import catalog
+
+    for name in ("dismax_multi_field", "explicit_boolean", "phrase_match", "ladder_phrase_first"):
+        plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "/hits-" in plan and "text" not in plan
