@@ -79,8 +79,15 @@ def normalize_text(value: str) -> str | None:
     return out if out and len(out.encode()) <= MAX_NORMALIZED_BYTES else None
 
 
+def collapsed(column: Column) -> Column:
+    return fold(F.btrim(F.regexp_replace(column, f"[{WHITE}]+", " ")))
+
+
 def normalized(column: Column) -> Column:
-    one = fold(F.btrim(F.regexp_replace(column, f"[{WHITE}]+", " ")))
+    return bounded(collapsed(column))
+
+
+def bounded(one: Column) -> Column:
     return F.when((F.length(one) > 0) & (F.octet_length(one) <= MAX_NORMALIZED_BYTES), one)
 
 

@@ -206,8 +206,9 @@ class Generations:
             frame = frame(written) if callable(frame) else frame
             folders, order = (partition_by or {}).get(table, []), (sort_by or {}).get(table, ())
             if order:
-                # a range of the sort key in each file, whatever key is hot: the last sort column is a chunk's
-                frame = frame.repartitionByRange(*folders, *order).sortWithinPartitions(*folders, *order)
+                # each task sorts what it made: a key's rows stand in a row group of each file, and nothing is shuffled
+                # (ranges would make every table twice, once to find their bounds)
+                frame = frame.sortWithinPartitions(*folders, *order)
             writer = frame.write.partitionBy(*folders) if folders else frame.write
             writer.parquet(f"{self.root}/{candidate}/{table}")
         if "sources" in tables and "chunks" in tables:
@@ -261,9 +262,9 @@ class Generations:
 
     def publish_index(self, sources: DataFrame, chunks: DataFrame, tenant: str = "local") -> str:
         """Sources, chunks and all that a query reads, in folders of resources."""
-        placed = lambda v: (lambda read: with_partition(v(read), tenant)) if callable(v) else with_partition(v, tenant)
-        made = {k: placed(v) for k, v in index.tables(chunks).items()}
-        frames = {"sources": sources, "chunks": with_partition(chunks, tenant), **made}
+        placed = with_partition(chunks, tenant)  # a chunk's folder is worked out once, not for each of its postings
+        made = {k: v if PARTITION in v.columns else with_partition(v, tenant) for k, v in index.tables(placed, (PARTITION,)).items()}
+        frames = {"sources": sources, "chunks": placed, **made}
         return self.publish(frames, dict.fromkeys(("chunks", *made), [PARTITION]), {**index.STORED, "chunks": ("chunk_id",)})
 
 
