@@ -102,3 +102,10 @@ def test_publishing_reads_chunks_once_a_table(spark, tmp_path):
     assert seen.value <= 7 * chunks.count()  # names read them twice
     terms = [r.term for r in kept.read("postings").coalesce(1).select("term").collect()]
     assert sorted(terms) == sorted(r.term for r in I.postings(I.fields(chunks)).select("term").collect())
+
+
+def test_pages_are_read_once_a_search(spark, small):
+    from gleanery import catalog
+
+    plan = catalog.QUERIES["page_search"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "/chunks-" in plan and "MapInArrow" not in plan and "pages.parquet" not in plan
